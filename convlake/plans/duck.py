@@ -78,3 +78,27 @@ def contacts(expr: str) -> dict[str, str]:
 
 def contains_any(expr: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains({expr}, {q(t)})" for t in terms) + ")"
+
+
+def re2_flags(rx: str) -> str:
+    """Java flag groups -> RE2: drop (?U) and (?d); keep (?m)/(?i)/(?s)."""
+    for a, b in (("(?U)(?md)", "(?m)"), ("(?iU)", "(?i)"), ("(?md)", "(?m)"), ("(?U)", "")):
+        rx = rx.replace(a, b)
+    return rx
+
+
+def apply_rules(expr: str, rules) -> str:
+    for rx, r in rules:
+        expr = f"regexp_replace({expr}, {q(re2_flags(rx))}, {q(rep(r))}, 'g')"
+    return expr
+
+
+def classify(expr: str, rules, default: str) -> str:
+    parts = []
+    for cat, kind, terms in rules:
+        if kind == "contains":
+            cond = " OR ".join(f"contains(lower({expr}), {q(t)})" for t in terms)
+        else:
+            cond = " OR ".join(f"starts_with({expr}, {q(t)})" for t in terms)
+        parts.append(f"WHEN {cond} THEN {q(cat)}")
+    return f"CASE WHEN {expr} IS NULL THEN NULL " + " ".join(parts) + f" ELSE {q(default)} END"
