@@ -43,6 +43,13 @@ SELECT msg_id AS lead_id, session_id, brand, CASE WHEN msg_id % 9 = 1 THEN 'webs
  CASE WHEN msg_id % 4 = 0 THEN '' ELSE CONCAT('n', CAST(msg_id AS VARCHAR(20))) END AS name, CASE WHEN msg_id % 5 = 0 THEN NULL ELSE CONCAT('u', CAST(msg_id AS VARCHAR(20)), '@example.com') END AS email FROM {v_msg}""",
     "v_turn": """
 SELECT conv_id, turn, role, text, CAST(conv_id * 100000 + turn AS BIGINT) AS seq, SUBSTRING(text, 1, 200) AS head FROM {conversations}""",
+    # Gazetteer for location tagging: per region its name, then its nations.
+    "v_gaz": """
+SELECT CAST(r_regionkey * 1000 AS INT) AS priority, 'region' AS kind, LOWER(r_name) AS term,
+ CAST(NULL AS VARCHAR(20)) AS city, r_name AS region, 'EARTH' AS state FROM {region}
+UNION ALL
+SELECT CAST(n_regionkey * 1000 + 1 + n_nationkey AS INT) AS priority, 'city' AS kind, LOWER(n_name) AS term,
+ n_name AS city, r_name AS region, 'EARTH' AS state FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
 }
 
 # Inputs of each view: base tables or other views.
@@ -52,6 +59,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_attempt": ("events",),
     "v_lead": ("v_msg",),
     "v_turn": ("conversations",),
+    "v_gaz": ("nation", "region"),
 }
 
 
