@@ -82,6 +82,19 @@ def sliding_count(df: DataFrame, keys: Sequence[str], us: str, window_us: int, o
     return t.withColumn(out, F.count(F.lit(1)).over(w)).filter("_own").drop("_b", "_own")
 
 
+def sliding_counts(df: DataFrame, keys: Sequence[str], us: str, windows: dict[str, int],
+                   bucket_us: int | None = None) -> DataFrame:
+    """Several range-frame counts over one (key, bucket) partitioning: a single
+    shuffle whatever the number of windows."""
+    widest = max(windows.values())
+    bw = bucket_us or bucket_width(widest)
+    t = time_buckets(df, us, bw, widest)
+    for out, w_us in windows.items():
+        w = Window.partitionBy(*keys, "_b").orderBy(F.col(us)).rangeBetween(-(w_us - 1), 0)
+        t = t.withColumn(out, F.count(F.lit(1)).over(w))
+    return t.filter("_own").drop("_b", "_own")
+
+
 def prev_gap(df: DataFrame, keys: Sequence[str], us: str, tiebreak: str, horizon_us: int, out: str,
              bucket_us: int | None = None) -> DataFrame:
     """Microseconds since the previous row of the key (ordered by us, tiebreak);
