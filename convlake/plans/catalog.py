@@ -1,4 +1,4 @@
 """Imports every query module so their queries register."""
 
-from convlake.plans import q_history, q_logs, q_provider, q_requests, q_rules, q_text  # noqa: F401
+from convlake.plans import q_history, q_logs, q_provider, q_requests, q_rules, q_sequential, q_text  # noqa: F401
 from convlake.plans.registry import REGISTRY  # noqa: F401

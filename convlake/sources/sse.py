@@ -25,9 +25,10 @@ def render_sse(tokens: DataFrame, keys: list[str], full: DataFrame | None = None
     """Token events, a heartbeat comment after every ``heartbeat_every`` tokens,
     then a ``done`` event carrying the full reply. Output (keys, line_no, value)."""
     ev = F.to_json(F.struct(F.lit("token").alias("type"), F.col("tok").alias("content")))
-    lines = tokens.select(*keys, (F.col("seq") * 2).alias("line_no"), F.concat(F.lit(DATA_PREFIX), ev).alias("value"))
+    lines = tokens.select(*keys, (F.col("seq") * 2).cast("bigint").alias("line_no"),
+                          F.concat(F.lit(DATA_PREFIX), ev).alias("value"))
     beats = (tokens.filter(((F.col("seq") + 1) % heartbeat_every) == 0)
-                   .select(*keys, (F.col("seq") * 2 + 1).alias("line_no"), F.lit(HEARTBEAT).alias("value")))
+                   .select(*keys, (F.col("seq") * 2 + 1).cast("bigint").alias("line_no"), F.lit(HEARTBEAT).alias("value")))
     out = lines.unionByName(beats)
     if full is not None:
         done = F.to_json(F.struct(F.lit("done").alias("type"), F.col("response").alias("response")))
