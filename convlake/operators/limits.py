@@ -114,3 +114,22 @@ def sessions_for(reqs: DataFrame, keys: DataFrame, on=("brand", "session_id")) -
     """JOIN-5: requests of many sessions at once: a left-semi join on the key pair
     (AQE broadcasts the key set when it is small)."""
     return reqs.join(keys.select(*on).distinct(), list(on), "left_semi")
+
+
+def expire_idle(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts: str = "ts",
+                tiebreak: str = "req_id") -> DataFrame:
+    """STR-4 batch twin: closed sessions (start, end = last activity + gap, size).
+    Aggregation after ``sessionize`` is partial, so a hot session is cheap."""
+    s = sessionize(reqs, gap_s, key, ts, tiebreak).withColumn("_us", epoch_us(F.col(ts)))
+    return (s.groupBy(key, "session_start_us")
+             .agg(F.count(F.lit(1)).alias("n_requests"), F.max("_us").alias("_last"))
+             .select(key, "session_start_us", (F.col("_last") + gap_s * US).alias("session_end_us"), "n_requests"))
+
+
+def abandoned_captures(events: DataFrame, idle_s: int = 300, flag: str = "capture_start", key: str = "session_id",
+                       ts: str = "ts", tiebreak: str = "req_id") -> DataFrame:
+    """STR-7 batch twin: a capture is abandoned when its session goes idle for
+    more than ``idle_s``; reported at the idle expiry."""
+    s = sessionize(events, idle_s, key, ts, tiebreak).withColumn("_us", epoch_us(F.col(ts)))
+    g = s.groupBy(key, "session_start_us").agg(F.max(F.col(flag).cast("int")).alias("_cap"), F.max("_us").alias("_last"))
+    return g.filter("_cap = 1").select(key, "session_start_us", (F.col("_last") + idle_s * US).alias("abandoned_at_us"))

@@ -98,3 +98,26 @@ WHERE EXISTS (SELECT 1 FROM v_msg m WHERE m.brand = r.brand AND m.session_id = r
 def join5_sessions_for(spark, sf):
     r = view(spark, sf, "v_req").select("req_id", "brand", "session_id")
     return LM.sessions_for(r, view(spark, sf, "v_msg"))
+
+
+@register("str4_expire_idle", ("STR-4", "WIN-5"), oracle=W("v_req").rstrip() + ",\n" + SESS_SQL + f"""
+SELECT session_id, session_start_us, max(us) + {H * 1_000_000} AS session_end_us, CAST(COUNT(*) AS BIGINT) AS n_requests
+FROM ss GROUP BY session_id, session_start_us""")
+def str4_expire_idle(spark, sf):
+    r = view(spark, sf, "v_req").select("req_id", "session_id", "ts")
+    return LM.expire_idle(r, H)
+
+
+CAP_SQL = f"""g AS (SELECT *, epoch_us(ts) AS us, message = 'q3' AS capture_start,
+   epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, req_id) AS gap FROM v_req),
+s AS (SELECT *, (gap IS NULL OR gap > {6 * H * 1_000_000}) AS is_start FROM g),
+ss AS (SELECT *, max(CASE WHEN is_start THEN us END) OVER (PARTITION BY session_id ORDER BY ts, req_id
+   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_start_us FROM s)"""
+
+
+@register("str7_abandoned_captures", "STR-7", oracle=W("v_req").rstrip() + ",\n" + CAP_SQL + f"""
+SELECT session_id, session_start_us, max(us) + {6 * H * 1_000_000} AS abandoned_at_us FROM ss
+GROUP BY session_id, session_start_us HAVING bool_or(capture_start)""")
+def str7_abandoned_captures(spark, sf):
+    r = view(spark, sf, "v_req").select("req_id", "session_id", "ts", (F.col("message") == "q3").alias("capture_start"))
+    return LM.abandoned_captures(r, 6 * H)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake import schemas as S
@@ -42,14 +43,21 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
          .write.mode(mode).partitionBy("date").json(path))
 
 
-def read_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC-1: read every JSON log (one object per file or per line); unreadable
-    records go to a quarantine frame instead of being dropped silently.
-    Returns (logs, quarantine)."""
+def read_logs(spark: SparkSession, path: str, quarantine_path: str | None = None) -> DataFrame:
+    """SRC-1: read every JSON log (one object per line/file) with a fixed schema.
+
+    Unreadable records are not dropped silently: with ``quarantine_path`` the
+    parse is persisted once (memory and disk), the corrupt records are written
+    there, and the good records are returned from the same parse.
+    """
     schema = S.CONVERSATION_LOG + ", stamp STRING, _corrupt STRING"
     raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
                 .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt"), raw.filter(F.col("_corrupt").isNotNull())
+    if quarantine_path:
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+        raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "session_id") \
+           .write.mode("append").json(quarantine_path)
+    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def list_logs(logs: DataFrame, limit: int | None = None) -> DataFrame:
