@@ -30,7 +30,7 @@ def win2_trim_history(spark, sf):
 DIGEST_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC, msg_id DESC) AS rn FROM v_msg),
 p AS (SELECT session_id, string_agg(CONCAT(COALESCE(role, 'unknown'), ': ', SUBSTRING(text, 1, 40), '...'), ' '
         ORDER BY turn, msg_id) AS j FROM r WHERE rn > 10 AND COALESCE(length(text), 0) > 0 GROUP BY session_id),
-d AS (SELECT s.session_id, COALESCE(CONCAT('[History: ', right(p.j, 300), ']'), '') AS digest
+d AS (SELECT s.session_id, CASE WHEN p.j IS NULL THEN '' ELSE '[History: ' || right(p.j, 300) || ']' END AS digest
       FROM (SELECT DISTINCT session_id FROM v_msg) s LEFT JOIN p USING (session_id))"""
 
 
