@@ -43,17 +43,25 @@ WEB_RULES = [
 ]
 WEB_CAP = 3500
 
-# ASCII word boundary (JS ``\b``), spelled with look-arounds so it does not
-# depend on the JVM's Unicode defaults.
-_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# JS ``\b`` is an ASCII word boundary; it is spelled with look-arounds so it
+# does not depend on the JVM's Unicode defaults, reduced to the one side that
+# can hold next to the token ([a-zA-Z0-9'] starts and ends every phrase).
+# Possessive quantifiers cannot change a match here (the next token never
+# matches a word character) and avoid useless backtracking.
+_W = "[A-Za-z0-9_]"
+_B_START = rf"(?:(?<!{_W})(?=[A-Za-z0-9])|(?<={_W})(?='))"
+_B_END = rf"(?:(?<=[A-Za-z0-9])(?!{_W})|(?<=')(?={_W}))"
 TRANSCRIPT_RULES = [
     (r"(?U)\s+", " "),
     (r"(?U)^\s+|\s+$", ""),
-    (rf"(?i){_B}((?:[a-zA-Z0-9']+\s+){{1,5}}[a-zA-Z0-9']+)\s+\1{_B}", "$1"),
-    (rf"(?i){_B}([a-zA-Z0-9']+)\s+\1{_B}", "$1"),
-    (rf"(?i){_B}([a-zA-Z0-9']+)\s+\1{_B}", "$1"),
-    (rf"(?i){_B}what\s+us\s+the{_B}", "what is the"),
-    (rf"(?i){_B}what\s+us{_B}", "what is"),
+    (rf"(?i){_B_START}((?:[a-zA-Z0-9']++\s++){{1,5}}[a-zA-Z0-9']++)\s+\1{_B_END}", "$1"),
+    (rf"(?i){_B_START}([a-zA-Z0-9']++)\s+\1{_B_END}", "$1"),
+    (rf"(?i){_B_START}([a-zA-Z0-9']++)\s+\1{_B_END}", "$1"),
+]
+# Slip corrections (literal first, so the matcher skips quickly).
+SLIP_RULES = [
+    (rf"(?i)(?<!{_W})what\s+us\s+the(?!{_W})", "what is the"),
+    (rf"(?i)(?<!{_W})what\s+us(?!{_W})", "what is"),
 ]
 
 
@@ -81,4 +89,4 @@ def clean_markdown(c: Column, variant: str = "voice") -> Column:
 
 def clean_transcript(c: Column) -> Column:
     """SCL-2: collapse whitespace and stuttered phrases/words, fix two slips."""
-    return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(apply_rules(c, TRANSCRIPT_RULES))
+    return F.coalesce(apply_rules(c, TRANSCRIPT_RULES + SLIP_RULES), F.lit(""))
