@@ -22,8 +22,8 @@ def trim_history(msgs: DataFrame, session: str = "session_id", turn: str = "turn
                  msg_id: str = "msg_id", max_len: int = 11) -> DataFrame:
     """WIN-2: sessions longer than ``max_len`` keep message 0 and the newest
     ``max_len - 1``; shorter sessions keep everything."""
-    newest = top_k(msgs, [session], [F.col(turn).desc(), F.col(msg_id).desc()], max_len - 1, "_rk")
-    first = top_k(msgs, [session], [F.col(turn).asc(), F.col(msg_id).asc()], 1, "_rk")
+    newest = top_k(msgs, [session], [F.col(turn).desc(), F.col(msg_id).desc()], max_len - 1, "_rk", salt_of=[msg_id])
+    first = top_k(msgs, [session], [F.col(turn).asc(), F.col(msg_id).asc()], 1, "_rk", salt_of=[msg_id])
     return newest.unionByName(first).drop("_rk").dropDuplicates([msg_id])
 
 
@@ -35,11 +35,11 @@ def digest(msgs: DataFrame, session: str = "session_id", turn: str = "turn", msg
     last ``tail`` characters, wrapped "[History: ...]"; '' when nothing is older.
     """
     order = [F.col(turn).desc(), F.col(msg_id).desc()]
-    newest = top_k(msgs.select(session, turn, msg_id), [session], order, keep).select(msg_id)
+    newest = top_k(msgs.select(session, turn, msg_id), [session], order, keep, salt_of=[msg_id]).select(msg_id)
     nonempty = msgs.filter(F.coalesce(F.length(content), F.lit(0)) > 0)
-    cand = top_k(nonempty, [session], order, keep + DIGEST_PARTS)
+    cand = top_k(nonempty, [session], order, keep + DIGEST_PARTS, salt_of=[msg_id])
     older = cand.join(newest, msg_id, "left_anti")
-    older = top_k(older.drop("_rk"), [session], order, DIGEST_PARTS)
+    older = top_k(older.drop("_rk"), [session], order, DIGEST_PARTS, salt_of=[msg_id])
     part = F.concat(F.coalesce(F.col(role), F.lit("unknown")), F.lit(": "),
                     F.substring(F.col(content), 1, head), F.lit("..."))
     parts = (older.groupBy(session)
@@ -63,7 +63,7 @@ def model_context(msgs: DataFrame, session: str = "session_id", turn: str = "tur
     message; otherwise the default instruction is used.
     """
     order = [F.col(turn).desc(), F.col(msg_id).desc()]
-    newest = top_k(msgs, [session], order, keep)
+    newest = top_k(msgs, [session], order, keep, salt_of=[msg_id])
     sys_first = F.min_by(F.col(content), F.when(F.col(role) == "system", F.struct(turn, msg_id)))
     ctx = newest.groupBy(session).agg(
         sys_first.alias("_sys"),

@@ -41,9 +41,10 @@ def route_knowledge(msgs: DataFrame, packs: DataFrame, text: str = "text", brand
                .when(contains_any(low, D.PRIMARY_TERMS + list(brand_terms)), F.lit(True))
                .when(contains_any(low, D.SERVICE_TERMS + D.GENERAL_TERMS), F.lit(True))
                .otherwise(F.lit(False)))
+    from convlake.operators.lookup import checked_broadcast
     p = packs.select(F.col("brand").alias("_pb"), F.col("pack").alias("_pack"))
-    # The pack dimension holds one row per brand: broadcast it (no shuffle of msgs).
-    j = msgs.withColumn("_routed", routed).join(F.broadcast(p), F.col(brand) == F.col("_pb"), "left")
+    # One row per brand: broadcast after a bounded size check (no shuffle of msgs).
+    j = msgs.withColumn("_routed", routed).join(checked_broadcast(p), F.col(brand) == F.col("_pb"), "left")
     return (j.withColumn("knowledge", F.when(F.col("_routed") & (F.length(F.col("_pack")) > 0), F.col("_pack")))
              .drop("_routed", "_pb", "_pack"))
 

@@ -172,7 +172,7 @@ def flt5_quote_intent(spark, sf):
 PACKS = [("a", "pack_a"), ("b", "pack_b")]
 
 
-@register("flt6_route_knowledge", "FLT-6", oracle=W("v_msg") + f"""SELECT msg_id,
+@register("flt6_route_knowledge", ("FLT-6", "UDF-1"), oracle=W("v_msg") + f"""SELECT msg_id,
  CASE WHEN regexp_matches(lower(text), {K.q(D.MATH_PREFIX)}) THEN NULL
       WHEN brand = 'b' THEN p.pack
       WHEN {K.contains_any('lower(text)', D.PRIMARY_TERMS)} THEN p.pack
@@ -184,7 +184,7 @@ def flt6_route_knowledge(spark, sf):
     return R.route_knowledge(m, packs, always_brands=("b",)).select("msg_id", "knowledge")
 
 
-@register("flt7_route_tools", "FLT-7", oracle=W("v_msg") + f"""SELECT msg_id, concat_ws(',',
+@register("flt7_route_tools", ("FLT-7", "UDF-1"), oracle=W("v_msg") + f"""SELECT msg_id, concat_ws(',',
  CASE WHEN {K.contains_any('lower(text)', D.TOOL_RULES[0][1])} THEN '{D.TOOL_RULES[0][0]}' END,
  CASE WHEN {K.contains_any('lower(text)', D.TOOL_RULES[1][1])} THEN '{D.TOOL_RULES[1][0]}' END) AS tools FROM v_msg""")
 def flt7_route_tools(spark, sf):

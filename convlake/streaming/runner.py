@@ -38,3 +38,24 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     if trigger:
         w = w.trigger(**trigger)
     return w.start(path)
+
+
+def file_table_stream(spark: SparkSession, sf_dir: str, table: str, schema):
+    """A driver table file as a file stream (the directory is the base path and
+    a one-file glob selects the table)."""
+    return (spark.readStream.schema(schema).option("basePath", sf_dir.rstrip("/"))
+                 .parquet(f"{sf_dir.rstrip('/')}/{table}.parque[t]"))
+
+
+def run_to_files(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Run a streaming query over everything available now into parquet files
+    in the shared checkpoint folder; return those files as a batch DataFrame."""
+    spark = df.sparkSession
+    name = name or f"s_{uuid.uuid4().hex[:12]}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    q = (df.writeStream.format("parquet").option("checkpointLocation", f"{root}/_ckpt")
+           .trigger(availableNow=True).start(f"{root}/out"))
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
