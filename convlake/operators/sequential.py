@@ -143,12 +143,69 @@ def _cache_batches(ttl_us: int):
 
 
 def replay_cache(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
-                 stream_col: str = "is_stream", partitions: int | None = None) -> DataFrame:
+                 stream_col: str = "is_stream", partitions: int | None = None,
+                 serial_max: int = 1_000_000) -> DataFrame:
     """JOIN-3 exact / STR-3 batch twin: a non-stream request is a hit when the
-    last *miss* with the same key is younger than the TTL; hits never refresh."""
+    last *miss* with the same key is younger than the TTL; hits never refresh.
+
+    Keys with at most ``serial_max`` requests are replayed serially (one
+    ordered stream per key, bounded state); larger keys go through
+    ``replay_cache_doubling``, which is exact and splits a hot key over the
+    whole cluster.
+    """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = (requests.filter(F.col(stream_col) == 0)
                  .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("_k"),
-                         epoch_us(F.col("ts")).alias("_us"))
-                 .repartition(n, "_k").sortWithinPartitions("_k", "_us", "req_id"))
-    return d.mapInPandas(_cache_batches(ttl_s * US), "req_id long, cached boolean")
+                         epoch_us(F.col("ts")).alias("_us")))
+    sizes = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > serial_max).select("_k")
+    if serial_max > 0 and hot.limit(1).count() == 0:
+        cold, hot_rows = d, None
+    else:
+        cold = d.join(hot, "_k", "left_anti")
+        hot_rows = d.join(hot, "_k", "left_semi")
+    out = (cold.repartition(n, "_k").sortWithinPartitions("_k", "_us", "req_id")
+               .mapInPandas(_cache_batches(ttl_s * US), "req_id long, cached boolean"))
+    if hot_rows is not None:
+        out = out.unionByName(replay_cache_doubling(hot_rows, ttl_s * US))
+    return out
+
+
+def replay_cache_doubling(d: DataFrame, ttl_us: int) -> DataFrame:
+    """Exact cache replay by pointer doubling (rows: req_id, _k, _us).
+
+    Within a key ordered by (time, id), the miss after a miss at row r is the
+    first row at least ``ttl`` later: its position is ``p0 + A`` where p0 is
+    the first position sharing r's time and A counts the rows in
+    [t_r, t_r + ttl). Misses are the chain of these pointers from position 1.
+    Jump tables J_k (2^k steps) are built by self-joins on (key, position) and
+    the chain is expanded from the head by descending powers: O(log n) joins,
+    none of which puts a key in one task. Each round is checkpointed into the
+    shared checkpoint folder to cut the lineage.
+    """
+    from convlake.operators.sequence import bucket_width, prefix_count, sliding_count
+    from convlake.session import cut_lineage
+
+    d = prefix_count(d, ["_k"], "_us", "req_id", bucket_width(ttl_us), "pos")
+    d = d.withColumn("_neg", -F.col("_us"))
+    d = sliding_count(d, ["_k"], "_neg", ttl_us, "_a")          # rows with t in [t_r, t_r + ttl)
+    p0 = d.groupBy("_k", "_us").agg(F.min("pos").alias("_p0"))
+    n_by_k = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    d = cut_lineage(d.join(p0, ["_k", "_us"]).join(n_by_k, "_k")
+                     .select("req_id", "_k", "pos", "_n", (F.col("_p0") + F.col("_a")).alias("nxt")))
+    max_n = d.agg(F.max("_n")).collect()[0][0] or 0
+    levels = [d.select("_k", "pos", "_n", "nxt")]
+    while (1 << len(levels)) <= max_n:
+        j = levels[-1]
+        b = j.select(F.col("_k").alias("_bk"), F.col("pos").alias("_bp"), F.col("nxt").alias("_bn"))
+        nxt = (j.join(b, (F.col("_k") == F.col("_bk")) & (F.col("nxt") == F.col("_bp")), "left")
+                .select("_k", "pos", "_n", F.coalesce("_bn", F.col("_n") + 1).alias("nxt")))
+        levels.append(cut_lineage(nxt))
+    chain = d.filter(F.col("pos") == 1).select("_k", "pos")
+    for j in reversed(levels):
+        step = (chain.join(j, ["_k", "pos"]).filter(F.col("nxt") <= F.col("_n"))
+                     .select("_k", F.col("nxt").alias("pos")))
+        chain = cut_lineage(chain.unionByName(step).distinct())
+    miss = chain.withColumn("_miss", F.lit(True))
+    return (d.join(miss, ["_k", "pos"], "left")
+             .select("req_id", F.col("_miss").isNull().alias("cached")))

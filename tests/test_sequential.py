@@ -105,3 +105,14 @@ def test_replay_cache_random(spark):
     reqs = make_requests(2000, 5, max_gap=30)
     got = {r.req_id: r.cached for r in SQ.replay_cache(spark.createDataFrame(reqs, SCHEMA), 20).collect()}
     assert got == reference_cache(reqs, 20)
+
+
+def test_replay_cache_doubling_equals_serial(spark):
+    reqs = make_requests(1500, 9, ips=1, sessions_per_ip=1, max_gap=12)
+    df = spark.createDataFrame(reqs, SCHEMA)
+    serial = {r.req_id: r.cached for r in SQ.replay_cache(df, 20).collect()}
+    doubled = {r.req_id: r.cached for r in SQ.replay_cache(df, 20, serial_max=0).collect()}
+    assert serial == doubled == reference_cache(reqs, 20)
+    ties = [(i, T0 + timedelta(seconds=(i // 3) * 7), "i", "s", "a", "m", 0) for i in range(60)]
+    tdf = spark.createDataFrame(ties, SCHEMA)
+    assert {r.req_id: r.cached for r in SQ.replay_cache(tdf, 20, serial_max=0).collect()} == reference_cache(ties, 20)
