@@ -52,10 +52,10 @@ def sessionize(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts:
     (a gap of exactly ``gap_s`` stays in the session). Adds ``is_start`` and
     ``session_start_us`` (epoch microseconds of the session's first request)."""
     gap = gap_s * US
-    d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, gap, "_gap")
+    d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, gap, "_gap", keep_bucket="_gb")
     d = d.withColumn("is_start", F.col("_gap").isNull()).withColumn(
         "_start", F.when(F.col("is_start"), F.col("_us")))
-    d = carry_last(d, [key], "_us", tiebreak, ["_start"], bucket_width(gap), suffix="_now")
+    d = carry_last(d, [key], "_us", tiebreak, ["_start"], bucket_width(gap), suffix="_now", bucket_col="_gb")
     return d.withColumnRenamed("_start_now", "session_start_us").drop("_start", "_gap", "_us")
 
 

@@ -54,16 +54,17 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 def time_buckets(df: DataFrame, us: str, bucket_us: int, halo_us: int) -> DataFrame:
     """Add ``_b`` (bucket of the row) and ``_own``; rows in the last ``halo_us``
-    of a bucket are copied into the next bucket with ``_own = false``."""
+    of a bucket are also emitted into the next bucket with ``_own = false``.
+    One pass: the copy is a generator over the same scan (no union, no re-read)."""
     if halo_us > bucket_us:
         raise ValueError("halo must not exceed the bucket width")
     b = F.floor(F.col(us) / F.lit(bucket_us)).cast("bigint")
-    own = df.withColumn("_b", b).withColumn("_own", F.lit(True))
     if halo_us <= 0:
-        return own
-    halo = (own.filter(F.col(us) >= (F.col("_b") + 1) * F.lit(bucket_us) - F.lit(halo_us))
-               .withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
-    return own.unionByName(halo)
+        return df.withColumn("_b", b).withColumn("_own", F.lit(True))
+    in_halo = F.col(us) >= (b + 1) * F.lit(bucket_us) - F.lit(halo_us)
+    shifts = F.when(in_halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (df.select("*", F.explode(shifts).alias("_shift"))
+              .withColumn("_b", b + F.col("_shift")).withColumn("_own", F.col("_shift") == 0).drop("_shift"))
 
 
 def bucket_width(window_us: int, factor: int = 8, floor_us: int = 3_600_000_000) -> int:
@@ -96,20 +97,22 @@ def sliding_counts(df: DataFrame, keys: Sequence[str], us: str, windows: dict[st
 
 
 def prev_gap(df: DataFrame, keys: Sequence[str], us: str, tiebreak: str, horizon_us: int, out: str,
-             bucket_us: int | None = None) -> DataFrame:
+             bucket_us: int | None = None, keep_bucket: str | None = None) -> DataFrame:
     """Microseconds since the previous row of the key (ordered by us, tiebreak);
-    null when there is none within ``horizon_us``."""
+    null when there is none within ``horizon_us``. ``keep_bucket`` names a column
+    keeping the row's bucket, so a following per-(key, bucket) step reuses the
+    partitioning instead of shuffling again."""
     bw = bucket_us or bucket_width(horizon_us)
     t = time_buckets(df, us, bw, horizon_us)
     w = Window.partitionBy(*keys, "_b").orderBy(F.col(us), F.col(tiebreak))
     gap = F.col(us) - F.lag(us).over(w)
-    return (t.withColumn(out, gap).filter("_own")
-             .withColumn(out, F.when(F.col(out) <= horizon_us, F.col(out)))
-             .drop("_b", "_own"))
+    t = (t.withColumn(out, gap).filter("_own")
+          .withColumn(out, F.when(F.col(out) <= horizon_us, F.col(out))).drop("_own"))
+    return t.withColumnRenamed("_b", keep_bucket) if keep_bucket else t.drop("_b")
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], order: str, tiebreak: str, values: Sequence[str],
-               bucket: int, suffix: str = "_last") -> DataFrame:
+               bucket: int, suffix: str = "_last", bucket_col: str | None = None) -> DataFrame:
     """For each value column: the last non-null value at or before the row
     (ordered by ``order``, ``tiebreak``) within the key, across all buckets.
 
@@ -117,7 +120,8 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: str, tiebreak: str, va
     (key, bucket) -> running last over earlier buckets (one row per bucket, so a
     hot key costs one row per bucket) -> joined back on (key, bucket).
     """
-    d = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("bigint"))
+    d = (df.withColumnRenamed(bucket_col, "_b") if bucket_col
+         else df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("bigint")))
     w = Window.partitionBy(*keys, "_b").orderBy(order, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     for v in values:
         d = d.withColumn(v + suffix, F.last(v, ignorenulls=True).over(w))
@@ -127,7 +131,7 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: str, tiebreak: str, va
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_b.select(*keys, "_b", *[F.last("_pb_" + v, ignorenulls=True).over(wb).alias("_c_" + v)
                                          for v in values])
-    d = d.join(carried, [*keys, "_b"], "left")
+    d = _join_buckets(d, carried, keys)
     for v in values:
         d = d.withColumn(v + suffix, F.coalesce(F.col(v + suffix), F.col("_c_" + v))).drop("_c_" + v)
     return d.drop("_b")
@@ -143,5 +147,16 @@ def prefix_count(df: DataFrame, keys: Sequence[str], order: str, tiebreak: str,
     per_b = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = per_b.select(*keys, "_b", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
-    return (d.join(before, [*keys, "_b"], "left")
-             .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b"))
+    return (_join_buckets(d, before, keys)
+              .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b"))
+
+
+def _join_buckets(d: DataFrame, per_b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach per-(key, bucket) values. Every (key, bucket) of ``d`` has a row in
+    ``per_b`` (it was aggregated from ``d``), so a null-safe inner join keeps all
+    rows; being inner, both sides share the same scan and exchange subtree,
+    which Spark reuses instead of recomputing."""
+    r = per_b.select(*[F.col(k).alias("_j_" + k) for k in [*keys, "_b"]],
+                     *[c for c in per_b.columns if c not in (*keys, "_b")])
+    cond = [d[k].eqNullSafe(r["_j_" + k]) for k in [*keys, "_b"]]
+    return d.join(r, cond, "inner").drop(*["_j_" + k for k in [*keys, "_b"]])
