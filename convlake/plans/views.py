@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.sources.tables import load_table
+from convlake.sources.tables import load_table, spread
+
+# Tables whose per-row work is regex-heavy text processing.
+CPU_HEAVY = {"documents", "pages"}
 
 VIEW_SQL: dict[str, str] = {
     "v_msg": """
@@ -66,7 +69,8 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view (or base table) as a Spark DataFrame."""
     if name not in VIEW_SQL:
-        return load_table(spark, sf_dir, name)
+        t = load_table(spark, sf_dir, name)
+        return spread(t) if name in CPU_HEAVY else t
     args = {dep: view(spark, sf_dir, dep) for dep in VIEW_DEPS[name]}
     return spark.sql(VIEW_SQL[name], **args)
 

@@ -13,3 +13,11 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a CPU-heavy input only when its scan has fewer partitions
+    than the cluster has cores (e.g. a single-row-group file). At scale the scan
+    already yields many partitions and this is a no-op, so no shuffle is added."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
