@@ -12,10 +12,54 @@ from convlake.plans.views import duckdb_with, view
 H = 3600
 # Hour-scale policy: the test requests are sparse (0 gaps under 3 s).
 HOUR_POLICY = RequestPolicy(ip_short_window=H, ip_short_limit=3, ip_long_window=6 * H, ip_long_limit=8,
-                            session_cooldown=600, session_total=20, session_idle=6 * H, cache_ttl=24 * H)
+                            session_cooldown=600, session_total=5, session_idle=6 * H, cache_ttl=24 * H)
 
 
-@register("str2_admit", ("STR-2", "UDF-3"))
+def _admit_oracle(p: RequestPolicy) -> str:
+    """Exact admission replay in SQL: a recursive CTE steps through each
+    client's requests in (time, id) order carrying the accepted times, the
+    per-session state and the cache entries as lists."""
+    us = 1_000_000
+    sess_t = "STRUCT(sid VARCHAR, recent BIGINT, total BIGINT, last BIGINT)"
+    return duckdb_with("v_req").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+r AS (SELECT req_id, ip, session_id, CONCAT(brand, '|', session_id, '|', message) AS ck, is_stream = 1 AS stream,
+   epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY epoch_us(ts), req_id) AS pos FROM v_req),
+st AS (
+ SELECT ip, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS req_id, CAST(NULL AS VARCHAR) AS session_id,
+   CAST(NULL AS VARCHAR) AS verdict, CAST([] AS BIGINT[]) AS acc, CAST([] AS {sess_t}[]) AS sess,
+   CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS cache
+ FROM (SELECT DISTINCT ip FROM r) i
+ UNION ALL
+ SELECT ip, pos, req_id, session_id, verdict,
+   CASE WHEN verdict = 'accepted' THEN list_append(acc1, now) ELSE acc1 END,
+   list_append(list_filter(sess, lambda x: x.sid <> session_id), struct_pack(sid := session_id,
+     recent := CASE WHEN verdict = 'accepted' THEN now ELSE e.recent END,
+     total := CASE WHEN verdict = 'accepted' THEN total0 + 1 ELSE total0 END,
+     last := CASE WHEN verdict = 'accepted' THEN now ELSE last0 END)),
+   CASE WHEN verdict = 'accepted' AND NOT stream
+        THEN list_append(list_filter(cache, lambda x: x.k <> ck), struct_pack(k := ck, t := now)) ELSE cache END
+ FROM (
+  SELECT *, CASE
+     WHEN len(list_filter(acc1, lambda t: now - t < {p.ip_short_window * us})) >= {p.ip_short_limit} THEN 'ip_1min'
+     WHEN len(acc1) >= {p.ip_long_limit} THEN 'ip_10min'
+     WHEN e.recent IS NOT NULL AND now - e.recent < {p.session_cooldown * us} THEN 'session_cooldown'
+     WHEN total0 >= {p.session_total} THEN 'session_total'
+     WHEN NOT stream AND hit IS NOT NULL AND now - hit < {p.cache_ttl * us} THEN 'cached'
+     ELSE 'accepted' END AS verdict
+  FROM (
+   SELECT *, CASE WHEN e.last IS NOT NULL AND now - e.last > {p.session_idle * us} THEN 0
+                  ELSE COALESCE(e.total, 0) END AS total0,
+          CASE WHEN e.last IS NOT NULL AND now - e.last > {p.session_idle * us} THEN NULL ELSE e.last END AS last0
+   FROM (
+    SELECT st.ip, r.pos, r.req_id, r.session_id, r.ck, r.stream, r.us AS now, st.sess, st.cache,
+      list_filter(st.acc, lambda t: r.us - t < {p.ip_long_window * us}) AS acc1,
+      list_filter(st.sess, lambda x: x.sid = r.session_id)[1] AS e,
+      list_filter(st.cache, lambda x: x.k = r.ck)[1].t AS hit
+    FROM st JOIN r ON r.ip = st.ip AND r.pos = st.pos + 1) a) b) c)
+SELECT req_id, ip, session_id, verdict FROM st WHERE pos > 0"""
+
+
+@register("str2_admit", ("STR-2", "UDF-3"), oracle=_admit_oracle(HOUR_POLICY))
 def str2_admit(spark, sf):
     return SQ.admit(view(spark, sf, "v_req"), HOUR_POLICY)
 
