@@ -67,15 +67,23 @@ def available_models(attempts: DataFrame, ttl_s: int = 6 * 3600, model: str = "m
 def first_success(attempts: DataFrame, request: str = "request_id", attempt_no: str = "attempt_no",
                   model: str = "model", error: str = "error") -> DataFrame:
     """WIN-8: per request the first successful attempt along the chain and how
-    many attempts failed before it. A request's chain is bounded by the retry
-    policy (passes x models), so its attempts are gathered into one sorted array."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(attempt_no).alias("n"), F.col("attempt_id").alias("i"),
-                                               F.col(error).isNull().alias("ok"), F.col(model).alias("m"))))
-    g = attempts.groupBy(request).agg(arr.alias("_a"))
-    pos = F.array_position(F.transform("_a", lambda x: x["ok"]), True)
-    first = F.when(pos > 0, F.element_at("_a", pos.cast("int")))
-    return g.select(request, first["m"].alias("first_ok_model"), first["n"].alias("first_ok_attempt"),
-                    F.when(pos > 0, pos - 1).otherwise(F.size("_a")).cast("bigint").alias("n_failed_before"))
+    many attempts came before it (all of them failed, by definition).
+
+    No per-request array is built: the first success is a lexicographic
+    ``min(struct(attempt_no, attempt_id, model))`` (partial aggregation), and
+    the attempts before it are counted after an equi-join on the request (AQE
+    splits a hot request); null request ids form one ordinary group.
+    """
+    key = F.struct(F.col(attempt_no).alias("n"), F.col("attempt_id").alias("i"))
+    firsts = (attempts.filter(F.col(error).isNull())
+                      .groupBy(request).agg(F.min(F.struct(key.alias("k"), F.col(model).alias("m"))).alias("_f")))
+    j = attempts.select(request, key.alias("_k")).join(
+        firsts.withColumnRenamed(request, "_r"), F.col(request).eqNullSafe(F.col("_r")), "left")
+    before = F.when(F.col("_f").isNull() | (F.col("_k") < F.col("_f.k")), 1).otherwise(0)
+    return (j.groupBy(request)
+             .agg(F.first("_f", ignorenulls=True).alias("_f"), F.sum(before).cast("bigint").alias("n_failed_before"))
+             .select(request, F.col("_f.m").alias("first_ok_model"), F.col("_f.k.n").alias("first_ok_attempt"),
+                     "n_failed_before"))
 
 
 def preferred(df: DataFrame, id_col: str, prefs: list[str], excludes: list[str], k: int, by: str,
