@@ -88,6 +88,41 @@ def join3_mark_cached_doubling(spark, sf):
     return SQ.replay_cache(view(spark, sf, "v_req"), ttl_s=24 * H, serial_max=0)
 
 
-@register("scl3_chunk_sentences", ("SCL-3", "UDF-2"))
+def _chunk_oracle() -> str:
+    """The chunk cursor as a recursive CTE: the remaining buffer is the state;
+    each step cuts at the first boundary at or after the minimum length (20
+    before the first kept chunk, 60 after) and keeps the cleaned chunk when it
+    has at least two characters; the rest of the buffer is the last chunk."""
+    from convlake.functions.chunking import FIRST_MIN, MIN_SPOKEN, NEXT_MIN
+    from convlake.functions.cleanup import WEB_CAP, WEB_RULES
+    from convlake.plans import duck as K
+
+    def speech(x: str) -> str:
+        t = K.ustrip(K.apply_rules(x, WEB_RULES))
+        return f"CASE WHEN length({t}) > {WEB_CAP} THEN {K.ustrip(f'SUBSTRING({t}, 1, {WEB_CAP})')} ELSE {t} END"
+
+    cut_rx = K.q("(?s)^(.*?)(([.!?][\"')\\]]*)\\s|\n)")
+    return f"""WITH RECURSIVE st AS (
+ SELECT doc_id, text AS b, 0 AS enq, CAST(NULL AS VARCHAR) AS chunk, 0 AS step, false AS done
+ FROM documents WHERE text IS NOT NULL AND text <> ''
+ UNION ALL
+ SELECT doc_id, rest, enq + CASE WHEN keep THEN 1 ELSE 0 END, CASE WHEN keep THEN spoken END, step + 1, fin
+ FROM (SELECT *, COALESCE(length(spoken), 0) >= {MIN_SPOKEN} AND NOT skip AS keep FROM (
+  SELECT *, {speech('raw')} AS spoken FROM (
+   SELECT doc_id, enq, step, fin, skip,
+     CASE WHEN fin THEN b ELSE SUBSTRING(b, 1, cut) END AS raw,
+     CASE WHEN fin THEN '' ELSE SUBSTRING(b, cut + 1) END AS rest
+   FROM (
+    SELECT *, NOT (length(b) > ml AND regexp_matches(tail, {cut_rx})) AS fin,
+      (NOT (length(b) > ml AND regexp_matches(tail, {cut_rx}))) AND {K.ustrip('b')} = '' AS skip,
+      ml + length(regexp_extract(tail, {cut_rx}, 1)) + length(regexp_extract(tail, {cut_rx}, 2)) AS cut
+    FROM (SELECT *, CASE WHEN enq = 0 THEN {FIRST_MIN} ELSE {NEXT_MIN} END AS ml,
+            SUBSTRING(b, CASE WHEN enq = 0 THEN {FIRST_MIN} ELSE {NEXT_MIN} END + 1) AS tail
+          FROM st WHERE NOT done) a) b) c) d) e)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_no, chunk
+FROM st WHERE chunk IS NOT NULL"""
+
+
+@register("scl3_chunk_sentences", ("SCL-3", "UDF-2"), oracle=_chunk_oracle())
 def scl3_chunk_sentences(spark, sf):
     return chunk_sentences(view(spark, sf, "documents"), "doc_id", "text")

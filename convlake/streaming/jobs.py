@@ -159,3 +159,15 @@ def assemble_stream(lines: DataFrame) -> DataFrame:
     return ev.groupBy("conv_id", "turn").transformWithStateInPandas(
         AssembleProcessor(), "conv_id long, turn long, assembled string, ended_by string, response string",
         "Append", "None")
+
+
+def probe_timeline_stream(probes: DataFrame, minutes: int = 4, ts: str = "ts", ok: str = "ok",
+                          watermark: str = "10 minutes") -> DataFrame:
+    """STR-6: per tumbling window the latest probe verdict and the probe count;
+    a window is emitted once the watermark passes its end."""
+    t = probes.withColumn("_ts", F.col(ts).cast("timestamp"))
+    return (t.withWatermark("_ts", watermark)
+             .groupBy(F.window("_ts", f"{minutes} minutes").alias("w"))
+             .agg(F.max_by(F.col(ok), F.struct(F.col("_ts"), F.col("attempt_id"))).alias("latest_ok"),
+                  F.count(F.lit(1)).alias("n_probes"))
+             .select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "latest_ok", "n_probes"))

@@ -77,3 +77,27 @@ def test_assemble_stream_equals_batch(spark):
     exp = {(r.conv_id, r.turn): r.text or "" for r in t.collect()}
     assert {(r.conv_id, r.turn): r.assembled for r in got.collect()} == exp
     assert all(r.ended_by == "done" for r in got.collect())
+
+
+def test_probe_timeline_stream_equals_batch(spark):
+    from convlake.operators import provider as P
+    a = view(spark, SF_SMALL, "v_attempt").withColumn("ok", F.col("error").isNull()) \
+        .select("attempt_id", "ts", "ok")
+    sentinel = spark.createDataFrame([(-1, "2030-01-01 00:00:00", True)], "attempt_id long, ts string, ok boolean") \
+                    .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = run_available(J.probe_timeline_stream(_as_stream(spark, a.unionByName(sentinel), parts=1)))
+    assert rows(got) == rows(P.probe_timeline(a))
+
+
+def test_abandoned_captures_stream_equals_batch(spark):
+    r = view(spark, SF_SMALL, "v_req").select("req_id", "session_id", "ts",
+                                               (F.col("message") == "q3").alias("capture_start"))
+    sentinel = spark.createDataFrame([(-1, "zz", "2030-01-01 00:00:00", False)],
+                                     "req_id long, session_id string, ts string, capture_start boolean") \
+                    .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = run_available(J.abandoned_captures(_as_stream(spark, r.unionByName(sentinel), parts=1), 6 * 3600,
+                                             watermark="1 hour"))
+    exp = LM.abandoned_captures(r, 6 * 3600)
+    assert sorted((x.session_id, x.abandoned_at.replace(tzinfo=None)) for x in got.collect()) == sorted(
+        (x.session_id, __import__("datetime").datetime(1970, 1, 1) + __import__("datetime").timedelta(
+            microseconds=x.abandoned_at_us)) for x in exp.collect())
