@@ -44,9 +44,12 @@ def _phrase_texts(low: Column, phrases) -> list[Column]:
 def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text", msg_id: str = "msg_id",
                  phrases=D.LOCATION_PHRASES) -> DataFrame:
     """Adds loc_kind, loc_city, loc_region, loc_state (null when nothing matched)."""
+    # One bounded read decides the literal plan: at most LITERAL_MAX + 1 small
+    # rows ever reach the driver.
+    head = gazetteer.limit(LITERAL_MAX + 1).collect()
+    if len(head) <= LITERAL_MAX:
+        return _tag_literal(msgs, head, text, phrases)
     n = gazetteer.limit(BROADCAST_MAX + 1).count()
-    if n <= LITERAL_MAX:
-        return _tag_literal(msgs, gazetteer, text, phrases)
     return _tag_join(msgs, gazetteer, text, msg_id, phrases, broadcast=n <= BROADCAST_MAX)
 
 
@@ -54,9 +57,8 @@ def _contained_in(t: Column):
     return lambda g: F.contains(t, g["term"])
 
 
-def _tag_literal(msgs, gazetteer, text, phrases):
-    # Bounded by the check above: at most LITERAL_MAX small rows reach the driver.
-    rows = sorted(gazetteer.collect(), key=lambda r: r["priority"])
+def _tag_literal(msgs, gazetteer_rows, text, phrases):
+    rows = sorted(gazetteer_rows, key=lambda r: r["priority"])
     arr = F.array(*[F.struct(F.lit(r["term"]).alias("term"),
                              *[F.lit(r[f]).cast("string").alias(f) for f in HIT_FIELDS]) for r in rows])
     cities = F.filter(arr, lambda g: g["kind"] == "city")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from convlake.functions import dictionaries as D
 from convlake.operators import leads as L
 from convlake.plans.q_logs import SAVED_AT
-from convlake.plans.q_text import DETECTED_AT, _lead_sql
+from convlake.plans.q_text import DETECTED_AT
 from convlake.plans.registry import REGISTRY, register
 from convlake.plans.views import duckdb_with, view
 from convlake.session import checkpoint_dir
