@@ -136,18 +136,22 @@ class AssembleProcessor(StatefulProcessor):
             return
         pdf = pd.concat(list(rows)).sort_values("line_no")
         toks = pdf[pdf["type"] == "token"]
-        if len(toks):
-            self.tokens.appendList([(int(n), c) for n, c in zip(toks["line_no"], toks["content"])])
         end = pdf[pdf["type"].isin(["done", "error"])]
-        if len(end):
-            first_end = end.iloc[0]
-            got = sorted((r for r in self.tokens.get() if r[0] < first_end["line_no"]), key=lambda r: r[0])
-            text = "".join(c or "" for _, c in got)
+        if not len(end):
+            # Reply still open: keep its tokens for a later micro-batch.
+            if len(toks):
+                self.tokens.appendList([(int(n), c) for n, c in zip(toks["line_no"], toks["content"])])
+            return
+        first_end = end.iloc[0]
+        got = [(int(n), c) for n, c in zip(toks["line_no"], toks["content"])]
+        if self.tokens.exists():  # tokens from earlier micro-batches
+            got += [(int(r[0]), r[1]) for r in self.tokens.get()]
             self.tokens.clear()
-            self.closed.update((True,))
-            yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "assembled": [text],
-                                "ended_by": [first_end["type"]],
-                                "response": [first_end["response"] if first_end["type"] == "done" else None]})
+        text = "".join(c or "" for n, c in sorted(got) if n < first_end["line_no"])
+        self.closed.update((True,))
+        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "assembled": [text],
+                            "ended_by": [first_end["type"]],
+                            "response": [first_end["response"] if first_end["type"] == "done" else None]})
 
     def close(self) -> None:
         pass
