@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from convlake.session import checkpoint_dir
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ensure_state_store(spark: SparkSession) -> None:
+    """transformWithStateInPandas needs the RocksDB state store (several column
+    families per operator); select it for new queries when the session has not."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def stream_source(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None):
     r = spark.readStream.schema(schema).format(fmt)
     if max_files:
@@ -21,6 +31,7 @@ def run_available(df: DataFrame, name: str | None = None, output_mode: str = "ap
     trigger) into a memory table and return that table. The checkpoint goes to
     the session's shared checkpoint folder, so a restart resumes exactly."""
     spark = df.sparkSession
+    ensure_state_store(spark)
     name = name or f"s_{uuid.uuid4().hex[:12]}"
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
@@ -34,6 +45,7 @@ def run_available(df: DataFrame, name: str | None = None, output_mode: str = "ap
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", output_mode: str = "append",
                  **trigger):
     """Production sink: files (or any format) with a checkpoint in shared storage."""
+    ensure_state_store(df.sparkSession)
     w = df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
@@ -51,6 +63,7 @@ def run_to_files(df: DataFrame, name: str | None = None) -> DataFrame:
     """Run a streaming query over everything available now into parquet files
     in the shared checkpoint folder; return those files as a batch DataFrame."""
     spark = df.sparkSession
+    ensure_state_store(spark)
     name = name or f"s_{uuid.uuid4().hex[:12]}"
     root = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     q = (df.writeStream.format("parquet").option("checkpointLocation", f"{root}/_ckpt")
