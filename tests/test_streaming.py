@@ -101,3 +101,24 @@ def test_abandoned_captures_stream_equals_batch(spark):
     assert sorted((x.session_id, x.abandoned_at.replace(tzinfo=None)) for x in got.collect()) == sorted(
         (x.session_id, __import__("datetime").datetime(1970, 1, 1) + __import__("datetime").timedelta(
             microseconds=x.abandoned_at_us)) for x in exp.collect())
+
+
+def test_assemble_stream_error_and_late_token(spark):
+    schema = "conv_id long, turn long, line_no long, value string"
+    first = spark.createDataFrame([
+        (1, 0, 0, 'data: {"type": "token", "content": "Hel"}'), (1, 0, 1, ": heartbeat"),
+        (1, 0, 2, 'data: {"type": "token", "content": "lo"}'), (1, 0, 3, 'data: {"type": "done", "response": "Hello"}'),
+        (2, 0, 0, 'data: {"type": "token", "content": "par"}'), (2, 0, 1, 'data: {broken'),
+        (2, 0, 2, 'data: {"type": "error", "content": "boom"}'), (2, 0, 3, 'data: {"type": "done", "response": "x"}'),
+        (3, 0, 0, 'data: {"type": "token", "content": "early "}')], schema)
+    later = spark.createDataFrame([
+        (1, 0, 4, 'data: {"type": "token", "content": "late"}'),
+        (3, 0, 1, 'data: {"type": "token", "content": "bird"}'), (3, 0, 2, 'data: {"type": "done", "response": "early bird"}')],
+        schema)
+    d = tempfile.mkdtemp(prefix="convlake-sse-") + "/data"
+    first.coalesce(1).write.parquet(d)
+    later.coalesce(1).write.mode("append").parquet(d)
+    got = {(r.conv_id, r.assembled, r.ended_by, r.response) for r in
+           run_available(J.assemble_stream(stream_source(spark, d, first.schema, max_files=1))).collect()}
+    # a token after done is ignored; error before done ends the reply; tokens carry across batches
+    assert got == {(1, "Hello", "done", "Hello"), (2, "par", "error", None), (3, "early bird", "done", "early bird")}
