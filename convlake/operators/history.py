@@ -7,11 +7,11 @@ so a session holding a large share of all rows is never sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
-from convlake.operators.sequence import top_k
+from convlake.operators.sequence import top_k_multi
 
 # A digest part is at least 6 characters plus a separator, so the newest 52
 # older parts always cover the 300 characters that are kept.
@@ -21,10 +21,38 @@ DIGEST_PARTS = 52
 def trim_history(msgs: DataFrame, session: str = "session_id", turn: str = "turn",
                  msg_id: str = "msg_id", max_len: int = 11) -> DataFrame:
     """WIN-2: sessions longer than ``max_len`` keep message 0 and the newest
-    ``max_len - 1``; shorter sessions keep everything."""
-    newest = top_k(msgs, [session], [F.col(turn).desc(), F.col(msg_id).desc()], max_len - 1, "_rk", salt_of=[msg_id])
-    first = top_k(msgs, [session], [F.col(turn).asc(), F.col(msg_id).asc()], 1, "_rk", salt_of=[msg_id])
-    return newest.unionByName(first).drop("_rk").dropDuplicates([msg_id])
+    ``max_len - 1``; shorter sessions keep everything. One two-stage pass ranks
+    both ends (no union, no de-dup shuffle)."""
+    r = top_k_multi(msgs, [session], {
+        "_first": ([F.col(turn).asc(), F.col(msg_id).asc()], 1),
+        "_last": ([F.col(turn).desc(), F.col(msg_id).desc()], max_len - 1)}, salt_of=[msg_id])
+    return r.drop("_first", "_last")
+
+
+def _recent(msgs: DataFrame, session: str, turn: str, msg_id: str, content: str, keep: int) -> DataFrame:
+    """Survivors carrying ``_new`` (rank among all messages, newest first, <= keep)
+    and ``_ne`` (rank among non-empty messages, <= keep + DIGEST_PARTS)."""
+    order = [F.col(turn).desc(), F.col(msg_id).desc()]
+    nonempty = F.coalesce(F.length(content), F.lit(0)) > 0
+    return top_k_multi(msgs, [session], {"_new": (order, keep), "_ne": (order, keep + DIGEST_PARTS, nonempty)},
+                       salt_of=[msg_id])
+
+
+def _digest_of(recent: DataFrame, session: str, turn: str, msg_id: str, role: str, content: str,
+               head: int, tail: int) -> DataFrame:
+    """Digest per session from the survivors of ``_recent`` (at most
+    keep + keep + DIGEST_PARTS rows per session, so the window below is bounded)."""
+    older = recent.filter(F.col("_new").isNull() & F.col("_ne").isNotNull())
+    w = Window.partitionBy(session).orderBy(F.col(turn).desc(), F.col(msg_id).desc())
+    older = older.withColumn("_o", F.row_number().over(w)).filter(F.col("_o") <= DIGEST_PARTS)
+    part = F.concat(F.coalesce(F.col(role), F.lit("unknown")), F.lit(": "),
+                    F.substring(F.col(content), 1, head), F.lit("..."))
+    parts = older.groupBy(session).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(msg_id).alias("i"),
+                                             part.alias("p")))).alias("_ps"))
+    text = F.array_join(F.transform("_ps", lambda x: x["p"]), " ")
+    return parts.select(session, text.alias("_j")).select(
+        session, F.concat(F.lit(D.DIGEST_PREFIX), F.expr(f"right(_j, {tail})"), F.lit("]")).alias("digest"))
 
 
 def digest(msgs: DataFrame, session: str = "session_id", turn: str = "turn", msg_id: str = "msg_id",
@@ -34,20 +62,8 @@ def digest(msgs: DataFrame, session: str = "session_id", turn: str = "turn", msg
     "{role}: {first 40 chars}..." for each non-empty one, joined by spaces, the
     last ``tail`` characters, wrapped "[History: ...]"; '' when nothing is older.
     """
-    order = [F.col(turn).desc(), F.col(msg_id).desc()]
-    newest = top_k(msgs.select(session, turn, msg_id), [session], order, keep, salt_of=[msg_id]).select(msg_id)
-    nonempty = msgs.filter(F.coalesce(F.length(content), F.lit(0)) > 0)
-    cand = top_k(nonempty, [session], order, keep + DIGEST_PARTS, salt_of=[msg_id])
-    older = cand.join(newest, msg_id, "left_anti")
-    older = top_k(older.drop("_rk"), [session], order, DIGEST_PARTS, salt_of=[msg_id])
-    part = F.concat(F.coalesce(F.col(role), F.lit("unknown")), F.lit(": "),
-                    F.substring(F.col(content), 1, head), F.lit("..."))
-    parts = (older.groupBy(session)
-                  .agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(msg_id).alias("i"),
-                                                            part.alias("p")))).alias("_ps")))
-    text = F.array_join(F.transform("_ps", lambda x: x["p"]), " ")
-    parts = parts.select(session, text.alias("_j")).select(
-        session, F.concat(F.lit(D.DIGEST_PREFIX), F.expr(f"right(_j, {tail})"), F.lit("]")).alias("digest"))
+    recent = _recent(msgs, session, turn, msg_id, content, keep)
+    parts = _digest_of(recent, session, turn, msg_id, role, content, head, tail)
     sessions = msgs.select(session).distinct()
     return sessions.join(parts, session, "left").select(session, F.coalesce("digest", F.lit("")).alias("digest"))
 
@@ -60,16 +76,17 @@ def model_context(msgs: DataFrame, session: str = "session_id", turn: str = "tur
 
     The system text is the first system message among (memory note, newest
     ``keep``): a digest, when there is one, takes precedence over any system
-    message; otherwise the default instruction is used.
+    message; otherwise the default instruction is used. Newest messages and
+    digest come from the same ranking pass.
     """
-    order = [F.col(turn).desc(), F.col(msg_id).desc()]
-    newest = top_k(msgs, [session], order, keep, salt_of=[msg_id])
+    recent = _recent(msgs, session, turn, msg_id, content, keep)
+    newest = recent.filter(F.col("_new").isNotNull())
     sys_first = F.min_by(F.col(content), F.when(F.col(role) == "system", F.struct(turn, msg_id)))
     ctx = newest.groupBy(session).agg(
         sys_first.alias("_sys"),
         F.sum(F.when(F.col(role) != "system", 1).otherwise(0)).cast("bigint").alias("n_context"))
-    dg = digest(msgs, session, turn, msg_id, role, content, keep=keep)
-    memo = F.when(F.col("digest") != "", F.concat(F.lit(D.MEMORY_PREFIX), F.col("digest")))
+    dg = _digest_of(recent, session, turn, msg_id, role, content, 40, 300)
+    memo = F.concat(F.lit(D.MEMORY_PREFIX), F.col("digest"))
     return (ctx.join(dg, session, "left")
                .select(session, F.coalesce(memo, F.col("_sys"), F.lit(default_instruction)).alias("system_content"),
                        "n_context"))

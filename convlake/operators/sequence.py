@@ -52,6 +52,37 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return s.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k).drop("_salt")
 
 
+def top_k_multi(df: DataFrame, group: Sequence[str], rankings: dict, salt_of: Sequence[str] | None = None,
+                salt: int = DEFAULT_SALT) -> DataFrame:
+    """Several exact top-k rankings per group in one salted two-stage pass.
+
+    ``rankings`` maps an output column to ``(order, k)`` or ``(order, k, cond)``;
+    with a condition only rows satisfying it are ranked. A row survives when
+    it is within the top k of any ranking; each rank column holds the exact
+    rank (1..k) or null. Exact because the global top k of every ranking is
+    inside its (group, salt) bucket's top k, so stage 2 sees all of them.
+    """
+    salt_expr = F.pmod(F.hash(*(salt_of or df.columns)), F.lit(salt))
+    specs = {name: (r[0], r[1], r[2] if len(r) > 2 else F.lit(True)) for name, r in rankings.items()}
+    d = df.withColumn("_salt", salt_expr)
+    for name, (_, _, cond) in specs.items():
+        d = d.withColumn("_ok" + name, F.coalesce(cond, F.lit(False)))
+
+    def ranked(d, parts):
+        keep = None
+        for name, (order, k, _) in specs.items():
+            w = Window.partitionBy(*parts, "_ok" + name).orderBy(*order)
+            d = d.withColumn(name, F.when(F.col("_ok" + name), F.row_number().over(w)))
+            d = d.withColumn(name, F.when(F.col(name) <= k, F.col(name)))
+            c = F.col(name).isNotNull()
+            keep = c if keep is None else (keep | c)
+        return d.filter(keep)
+
+    d = ranked(d, [*group, "_salt"])
+    d = ranked(d, list(group))
+    return d.drop("_salt", *["_ok" + n for n in specs])
+
+
 def time_buckets(df: DataFrame, us: str, bucket_us: int, halo_us: int) -> DataFrame:
     """Add ``_b`` (bucket of the row) and ``_own``; rows in the last ``halo_us``
     of a bucket are also emitted into the next bucket with ``_own = false``.
