@@ -134,6 +134,25 @@ def admit(requests: DataFrame, policy: RequestPolicy = RequestPolicy(), partitio
     return d.mapInPandas(_admit_batches(policy), "req_id long, ip string, session_id string, verdict string")
 
 
+def quota_policy(limit: int = 15, window_s: int = 3600) -> RequestPolicy:
+    """Admission policy reduced to one accepted-only sliding window: more than
+    ``limit`` accepted in the window rejects (so limit+1 are admitted)."""
+    big = 1 << 40
+    return RequestPolicy(ip_short_window=1, ip_short_limit=big, ip_long_window=window_s, ip_long_limit=limit + 1,
+                         session_cooldown=0, session_total=big, session_idle=window_s, cache_ttl=0)
+
+
+def hourly_quota_exact(requests: DataFrame, limit: int = 15, window_s: int = 3600, key: str = "session_id",
+                       partitions: int | None = None) -> DataFrame:
+    """WIN-6 exact: per user, a request is admitted unless more than ``limit``
+    *admitted* requests fall in the trailing window; rejections are not
+    recorded. The admission replay with every other rule switched off."""
+    r = requests.select("req_id", "ts", F.col(key).alias("ip"), F.col(key).alias("session_id"),
+                        F.lit("-").alias("brand"), F.lit("-").alias("message"), F.lit(1).alias("is_stream"))
+    v = admit(r, quota_policy(limit, window_s), partitions)
+    return v.select("req_id", F.col("ip").alias(key), (F.col("verdict") == "accepted").alias("admitted"))
+
+
 def cross_ip_sessions(requests: DataFrame) -> DataFrame:
     """Sessions that appear under more than one ip (partial aggregation)."""
     return (requests.groupBy("session_id").agg(F.countDistinct("ip").alias("n_ips"))

@@ -15,7 +15,7 @@ HOUR_POLICY = RequestPolicy(ip_short_window=H, ip_short_limit=3, ip_long_window=
                             session_cooldown=600, session_total=5, session_idle=6 * H, cache_ttl=24 * H)
 
 
-def _admit_oracle(p: RequestPolicy) -> str:
+def _admit_oracle(p: RequestPolicy, req_sql: str | None = None) -> str:
     """Exact admission replay in SQL: a recursive CTE steps through each
     client's requests in (time, id) order carrying the accepted times, the
     per-session state and the cache entries as lists."""
@@ -23,7 +23,8 @@ def _admit_oracle(p: RequestPolicy) -> str:
     sess_t = "STRUCT(sid VARCHAR, recent BIGINT, total BIGINT, last BIGINT)"
     return duckdb_with("v_req").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
 r AS (SELECT req_id, ip, session_id, CONCAT(brand, '|', session_id, '|', message) AS ck, is_stream = 1 AS stream,
-   epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY epoch_us(ts), req_id) AS pos FROM v_req),
+   epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip ORDER BY epoch_us(ts), req_id) AS pos
+   FROM ({req_sql or "SELECT * FROM v_req"}) q),
 st AS (
  SELECT ip, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS req_id, CAST(NULL AS VARCHAR) AS session_id,
    CAST(NULL AS VARCHAR) AS verdict, CAST([] AS BIGINT[]) AS acc, CAST([] AS {sess_t}[]) AS sess,
@@ -76,6 +77,17 @@ m AS (SELECT k, pos, nxt FROM n WHERE pos = 1
 SELECT r.req_id, m.pos IS NULL AS cached FROM r LEFT JOIN m ON r.k = m.k AND r.pos = m.pos"""
 
 
+QUOTA_REQ = "SELECT req_id, ts, session_id AS ip, session_id, '-' AS brand, '-' AS message, 1 AS is_stream FROM v_req"
+
+
+@register("win6_hourly_quota_exact", ("WIN-6", "STR-2"), oracle=f"""SELECT req_id, ip AS session_id,
+ verdict = 'accepted' AS admitted FROM ({_admit_oracle(SQ.quota_policy(3, 24 * H), QUOTA_REQ)}) x""")
+def win6_hourly_quota_exact(spark, sf):
+    """Accepted-only quota (3 per 24 h here; the service used 15 per hour):
+    rejections do not count against the user."""
+    return SQ.hourly_quota_exact(view(spark, sf, "v_req"), limit=3, window_s=24 * H)
+
+
 @register("join3_mark_cached_exact", ("JOIN-3", "STR-3"), oracle=_cache_oracle(24 * H))
 def join3_mark_cached_exact(spark, sf):
     return SQ.replay_cache(view(spark, sf, "v_req"), ttl_s=24 * H)

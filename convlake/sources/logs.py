@@ -85,6 +85,8 @@ def export_bundle(logs: DataFrame, path: str, exported_at: str) -> DataFrame:
     """SNK-4: write the logs partitioned plus the manifest; no-op on empty input
     (the manifest then says 0 and no log files are written)."""
     manifest = export_manifest(logs, exported_at)
+    if logs.limit(1).count() == 0:
+        return manifest
     logs.write.mode("overwrite").json(f"{path}/conversations")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return manifest
