@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from convlake.functions.dictionaries import RequestPolicy
 from convlake.operators import leads as L
 from convlake.operators.sequence import epoch_us
-from convlake.operators.sequential import Admission
+from convlake.operators.sequential import Admission, state_horizon
 from convlake.sources import sse as SSE
 
 
@@ -56,15 +56,26 @@ def abandoned_captures(events: DataFrame, idle_s: int = 300, key: str = "session
 # pandas side would see them renamed).
 
 
+def _rearm(handle: StatefulProcessorHandle, expiry_ms: int) -> None:
+    """Keep exactly one event-time timer per key, at ``expiry_ms``."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    handle.registerTimer(expiry_ms)
+
+
 class AdmissionProcessor(StatefulProcessor):
     """STR-2: keyed by ip; the whole admission state of the ip is one value
     (bounded: accepted times of the last long window, live sessions, fresh
-    cache entries). Rows of a micro-batch are replayed in (time, id) order."""
+    cache entries). Rows of a micro-batch are replayed in (time, id) order.
+    An event-time timer clears the state once the watermark passes the last
+    request plus the state horizon (all counters would have expired)."""
 
     def __init__(self, policy: RequestPolicy = RequestPolicy()):
         self.policy = policy
+        self.horizon_ms = state_horizon(policy) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("admission", "blob string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -73,27 +84,42 @@ class AdmissionProcessor(StatefulProcessor):
         verdicts = [st.step(int(u), s, b, m, bool(x)) for u, s, b, m, x in
                     zip(pdf["ts_us"], pdf["session_id"], pdf["brand"], pdf["message"], pdf["is_stream"])]
         self.state.update((st.dumps(),))
+        _rearm(self.handle, int(pdf["wm_us"].max()) // 1000 + self.horizon_ms + 1)
         yield pd.DataFrame({"req_id": pdf["req_id"].astype("int64"), "ip": pdf["ip"],
                             "session_id": pdf["session_id"], "verdict": verdicts})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def admit_stream(requests: DataFrame, policy: RequestPolicy = RequestPolicy()) -> DataFrame:
-    d = requests.select("req_id", "ip", "session_id", "brand", "message",
-                        F.col("is_stream").cast("boolean").alias("is_stream"), epoch_us(F.col("ts")).alias("ts_us"))
+def _with_event_time(d: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Watermark column for the timers: event time as an absolute timestamp and
+    its epoch microseconds (both in the same session zone as the watermark)."""
+    et = F.col(ts).cast("timestamp")
+    return d.withColumn("event_time", et).withColumn("wm_us", F.unix_micros(et)).withWatermark("event_time", watermark)
+
+
+def admit_stream(requests: DataFrame, policy: RequestPolicy = RequestPolicy(), watermark: str = "10 minutes") -> DataFrame:
+    d = _with_event_time(requests, "ts", watermark).select(
+        "req_id", "ip", "session_id", "brand", "message", F.col("is_stream").cast("boolean").alias("is_stream"),
+        epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time")
     return d.groupBy("ip").transformWithStateInPandas(
-        AdmissionProcessor(policy), "req_id long, ip string, session_id string, verdict string", "Append", "None")
+        AdmissionProcessor(policy), "req_id long, ip string, session_id string, verdict string", "Append", "EventTime")
 
 
 class CacheProcessor(StatefulProcessor):
-    """STR-3: per cache key the time of the last miss; a hit never refreshes it."""
+    """STR-3: per cache key the time of the last miss; a hit never refreshes it.
+    The entry is dropped by an event-time timer once it can no longer hit."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last_miss", "us long")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -108,18 +134,24 @@ class CacheProcessor(StatefulProcessor):
                 hits.append(False)
                 last = us
         self.last.update((last,))
+        _rearm(self.handle, int(pdf["wm_us"].max()) // 1000 + self.ttl_us // 1000 + 1)
         yield pd.DataFrame({"req_id": pdf["req_id"].astype("int64"), "cached": hits})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message")) -> DataFrame:
-    d = (requests.filter(F.col("is_stream") == 0)
-                 .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("cache_key"),
-                         epoch_us(F.col("ts")).alias("ts_us")))
-    return d.groupBy("cache_key").transformWithStateInPandas(CacheProcessor(ttl_s * 1_000_000), "req_id long, cached boolean",
-                                                      "Append", "None")
+def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
+                    watermark: str = "10 minutes") -> DataFrame:
+    d = (_with_event_time(requests.filter(F.col("is_stream") == 0), "ts", watermark)
+         .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("cache_key"),
+                 epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time"))
+    return d.groupBy("cache_key").transformWithStateInPandas(
+        CacheProcessor(ttl_s * 1_000_000), "req_id long, cached boolean", "Append", "EventTime")
 
 
 class AssembleProcessor(StatefulProcessor):
@@ -127,9 +159,14 @@ class AssembleProcessor(StatefulProcessor):
     ``error``) arrives; then the reply is emitted and the key closed, so
     tokens after ``done`` are ignored."""
 
+    def __init__(self, close_ttl_ms: int | None = None):
+        self.close_ttl_ms = close_ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tokens = handle.getListState("tokens", "line_no long, content string")
-        self.closed = handle.getValueState("closed", "flag boolean")
+        # With a TTL (processing-time mode) closed replies are forgotten after it.
+        self.closed = (handle.getValueState("closed", "flag boolean", ttlDurationMs=self.close_ttl_ms)
+                       if self.close_ttl_ms else handle.getValueState("closed", "flag boolean"))
 
     def handleInputRows(self, key, rows, timerValues):
         if self.closed.exists():
@@ -157,12 +194,17 @@ class AssembleProcessor(StatefulProcessor):
         pass
 
 
-def assemble_stream(lines: DataFrame) -> DataFrame:
-    """SSE lines (conv_id, turn, line_no, value) -> one row per finished reply."""
+def assemble_stream(lines: DataFrame, close_ttl_ms: int | None = None) -> DataFrame:
+    """SSE lines (conv_id, turn, line_no, value) -> one row per finished reply.
+
+    ``close_ttl_ms`` (for live queries on a processing-time trigger) forgets
+    closed replies after the TTL; without it the one-flag-per-reply state is
+    kept, which is what an ``availableNow`` replay needs.
+    """
     ev = SSE.parse_sse(lines)
     return ev.groupBy("conv_id", "turn").transformWithStateInPandas(
-        AssembleProcessor(), "conv_id long, turn long, assembled string, ended_by string, response string",
-        "Append", "None")
+        AssembleProcessor(close_ttl_ms), "conv_id long, turn long, assembled string, ended_by string, response string",
+        "Append", "ProcessingTime" if close_ttl_ms else "None")
 
 
 def probe_timeline_stream(probes: DataFrame, minutes: int = 4, ts: str = "ts", ok: str = "ok",
