@@ -181,7 +181,7 @@ def _tool_calls(spark, sf):
 TOOL_SQL = f"""SELECT lead_id, COALESCE(NULLIF(ui, ''), {K.q(D.TOOL_LEAD_NAME)}) AS company_name,
  COALESCE(NULLIF(ui, ''), {K.q(D.TOOL_LEAD_NAME)}) AS contact_name, CASE WHEN contains(ui, '@') THEN ui END AS email,
  CONCAT({K.q(D.TOOL_LEAD_NOTES_PREFIX)}, 'quote for ', session_id) AS notes,
- to_json({{'session_id': session_id, 'brand': brand}}) AS metadata
+ CAST(to_json({{'session_id': session_id, 'brand': brand}}) AS VARCHAR) AS metadata
 FROM (SELECT *, CASE WHEN email IS NOT NULL THEN email ELSE name END AS ui FROM v_lead) x"""
 
 

@@ -19,8 +19,8 @@ def _lead_sql(src: str, id_col: str, text: str, session: str, ip: str, brand: st
     return f"""SELECT {id_col}, company_name, contact_name, email, phone, {K.q(D.LEAD_STATUS)} AS status,
  {K.q(D.LEAD_SOURCE)} AS source, COALESCE(NULLIF({brand}, ''), {K.q(D.DEFAULT_BRAND)}) AS brand,
  CONCAT({K.q(D.LEAD_NOTES_PREFIX)}, CAST({session} AS VARCHAR), ': ', SUBSTRING({text}, 1, 200)) AS notes,
- to_json({{'session_id': CAST({session} AS VARCHAR), 'client_ip': CAST({ip} AS VARCHAR),
-   'detected_at': CAST({K.q(DETECTED_AT)} AS VARCHAR), 'raw_message': SUBSTRING({text}, 1, 500)}}) AS metadata{extra}
+ CAST(to_json({{'session_id': CAST({session} AS VARCHAR), 'client_ip': CAST({ip} AS VARCHAR),
+   'detected_at': CAST({K.q(DETECTED_AT)} AS VARCHAR), 'raw_message': SUBSTRING({text}, 1, 500)}}) AS VARCHAR) AS metadata{extra}
 FROM (SELECT *, {c['email']} AS email, {c['phone']} AS phone, {c['company_name']} AS company_name,
   {c['contact_name']} AS contact_name FROM {src}) x
 WHERE COALESCE(email, phone, company_name) IS NOT NULL"""
