@@ -64,6 +64,12 @@ def resolve_brand(param: Column, rules: list[tuple[str, list[str]]], default: st
     return F.when(given, out.otherwise(F.lit(default))).otherwise(F.lit(default))
 
 
+def resolve_brand_web(param: Column, other_terms: list[str], other: str, default: str) -> Column:
+    """SCL-9 (browser variant): any given value that does not name the other
+    brand resolves to the default brand (no second rule)."""
+    return resolve_brand(param, [(other, other_terms)], default)
+
+
 def session_key(brand: Column, session_id: Column) -> Column:
     """SCL-10: brand-namespaced key, unless the id already carries the prefix."""
     prefix = F.concat(brand, F.lit("_"))

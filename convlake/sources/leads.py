@@ -35,12 +35,17 @@ def _from_local(d: DataFrame) -> DataFrame:
 
 
 def append_leads(leads: DataFrame, path: str, fmt: str = "parquet", name: str = "contact_name",
-                 email: str = "email", rejected_path: str | None = None) -> None:
+                 email: str = "email", rejected_path: str | None = None, jdbc: dict | None = None) -> None:
     """SNK-2: validated append. Rows failing FLT-3 go to ``rejected_path`` (when
     given) instead of vanishing; the writer fails loudly instead of reporting
-    success after a failed write."""
+    success after a failed write. ``jdbc`` (url, dbtable, user, ...) sends the
+    valid rows to a database table through the same writer instead of files."""
     v = valid_leads(leads, name, email)
-    v.filter("is_valid").drop("is_valid").write.mode("append").format(fmt).save(path)
+    ok = v.filter("is_valid").drop("is_valid").write.mode("append")
+    if jdbc:
+        ok.format("jdbc").options(**jdbc).save()
+    else:
+        ok.format(fmt).save(path)
     if rejected_path:
         v.filter(~F.col("is_valid")).drop("is_valid").write.mode("append").format(fmt).save(rejected_path)
 

@@ -34,9 +34,12 @@ def log_records(msgs: DataFrame, session: str, turn: str, role: str, content: st
     return logs.select("session_id", "timestamp", "messages", loc.alias("location"), tl.alias("tools_used"))
 
 
-def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
+def write_logs(logs: DataFrame, path: str, mode: str = "append", enabled: bool = True) -> None:
     """SNK-1: JSON logs partitioned by save date; the file stamp format of the
-    single-file logger survives as the ``stamp`` column."""
+    single-file logger survives as the ``stamp`` column. ``enabled`` is the
+    logging switch (off: nothing is written)."""
+    if not enabled:
+        return
     ts = F.to_timestamp(F.regexp_replace("timestamp", "Z$", ""))
     (logs.withColumn("date", F.date_format(ts, "yyyy-MM-dd"))
          .withColumn("stamp", F.concat(F.col("session_id"), F.lit("_"), F.date_format(ts, "yyyyMMdd_HHmmss")))
@@ -133,6 +136,24 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def merge_sessions_stream(updates: DataFrame, root: str, checkpoint: str):
+    """SNK-3 streaming: every micro-batch of session updates is merged into the
+    newest complete version and written as the next version (the batch id
+    orders versions, so a replayed batch rewrites the same version)."""
+    spark = updates.sparkSession
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        try:
+            base = read_latest_version(spark, root)
+        except Exception:  # noqa: BLE001 - first batch: nothing to merge with
+            base = None
+        merged = batch.drop("seq") if base is None else merge_sessions(base, batch)
+        write_version(merged.select("session_id", "history", "title", "updated_at"), root, batch_id + 1)
+
+    return (updates.writeStream.option("checkpointLocation", checkpoint)
+                   .foreachBatch(upsert).trigger(availableNow=True).start())
+
+
 def read_latest_version(spark: SparkSession, root: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -78,3 +78,8 @@ def test_merge_sessions_titles_and_ties(spark):
     assert (r.title, r.history) == ("New", "[9]")  # same updated_at: the later update wins
     r2 = LG.merge_sessions(base, upd.filter("seq < 2")).collect()[0]
     assert (r2.title, r2.history) == ("Old", "[1,2,3]")  # null and '' leave the title unchanged
+
+
+def test_brand_web_variant(spark):
+    got = _col(spark, ["Green Co", "my AI", "other", ""], lambda c: C.resolve_brand_web(c, ["green", "landscap"], "b", "a"))
+    assert got == ["b", "a", "a", "a"]

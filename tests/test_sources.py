@@ -69,3 +69,33 @@ def test_location_region_keeps_city_and_substring(spark):
     # phrase rule: "near tampa fl" captures "fl", so the gazetteer scan decides
     p = spark.createDataFrame([(9, "i'm in orlando near tampa")], "msg_id long, text string")
     assert G.tag_location(p, G.default_gazetteer(spark)).collect()[0].loc_city == "Orlando"
+
+
+def test_merge_sessions_stream_versions(spark):
+    root = tempfile.mkdtemp(prefix="convlake-sess-") + "/sessions"
+    src_dir = tempfile.mkdtemp(prefix="convlake-upd-") + "/updates"
+    schema = "session_id string, title string, history string, updated_at timestamp_ntz, seq long"
+    b1 = spark.createDataFrame([("s", "T", "[1]", "2024-01-01 00:00:00", 0)],
+                               "session_id string, title string, history string, updated_at string, seq long") \
+              .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    b1.write.parquet(src_dir)
+    b2 = b1.withColumn("title", F.lit("")).withColumn("history", F.lit("[1,2]")) \
+           .withColumn("updated_at", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).withColumn("seq", F.lit(1).cast("long"))
+    b2.write.mode("append").parquet(src_dir)
+    q = LG.merge_sessions_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir), root,
+                                 tempfile.mkdtemp(prefix="convlake-ck-"))
+    q.awaitTermination()
+    r = LG.read_latest_version(spark, root).collect()
+    assert [(x.session_id, x.title, x.history) for x in r] == [("s", "T", "[1,2]")]
+
+
+def test_image_gate_and_logging_switch(spark):
+    from convlake.operators import routing as R
+    meta = spark.createDataFrame([(0, 503, "image/png", 5000), (1, 404, "image/png", 5000), (2, 200, "text/html", 5000),
+                                  (3, 200, "image/png", 50), (4, 200, "image/png", 5000)],
+                                 "i int, status int, content_type string, length long")
+    assert [r.verdict for r in R.gate_images(meta).orderBy("i").collect()] == \
+        ["server_error", "bad_status", "non_image", "invalid_image", "ok"]
+    d = tempfile.mkdtemp(prefix="convlake-off-") + "/logs"
+    LG.write_logs(spark.range(1).selectExpr("'s' AS session_id", "'2024-01-01T00:00:00Z' AS timestamp"), d, enabled=False)
+    assert not os.path.exists(d)
