@@ -30,6 +30,18 @@ def offered_load(reqs: DataFrame, windows: dict[str, int], key: str = "ip", ts:
     return d.drop("_us")
 
 
+def offered_load_dense(reqs: DataFrame, windows: dict[str, int], key: str = "ip", ts: str = "ts",
+                       id_col: str = "req_id") -> DataFrame:
+    """WIN-1 for keys that are dense within a window: same counts as
+    ``offered_load`` through a range-partitioned global sort, so a client with
+    any number of requests per window is split over many tasks."""
+    from convlake.operators.sequence import sliding_counts_sorted
+    d = sliding_counts_sorted(with_us(reqs, ts), key, "_us", id_col, {k: v * US for k, v in windows.items()})
+    for k in windows:
+        d = d.withColumn(k, (F.col(k) - 1).cast("bigint"))
+    return d.drop("_us")
+
+
 def hourly_quota(reqs: DataFrame, limit: int = 15, window_s: int = 3600, key: str = "session_id",
                  ts: str = "ts") -> DataFrame:
     """WIN-6: admitted when at most ``limit`` earlier requests fall in the

@@ -191,3 +191,75 @@ def _join_buckets(d: DataFrame, per_b: DataFrame, keys: Sequence[str]) -> DataFr
                      *[c for c in per_b.columns if c not in (*keys, "_b")])
     cond = [d[k].eqNullSafe(r["_j_" + k]) for k in [*keys, "_b"]]
     return d.join(r, cond, "inner").drop(*["_j_" + k for k in [*keys, "_b"]])
+
+
+def sliding_count_sorted(df: DataFrame, key: str, us: str, id_col: str, window_us: int, out: str,
+                         partitions: int | None = None) -> DataFrame:
+    """One window of ``sliding_counts_sorted``."""
+    return sliding_counts_sorted(df, key, us, id_col, {out: window_us}, partitions)
+
+
+def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows: dict[str, int],
+                          partitions: int | None = None) -> DataFrame:
+    """Exact ``sliding_count`` whatever the density of a key: P(t) - P(t - w),
+    where P(x) counts the key's rows at or before x.
+
+    Every row becomes a data point and query points (t and t - w per window). The
+    points are range-partitioned on (key, time, kind) - the sampled range
+    boundaries split even a single dense key over many partitions - and sorted
+    within partitions. A first pass counts data points per (partition, key);
+    only the first key of a partition can continue from earlier partitions, so
+    the carried-in counts form a table of at most one row per partition. A
+    second pass turns running counts into P for every query point.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from convlake.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(id_col).alias("rid"))
+    data = base.select("k", "t", F.lit(0).alias("kind"), "rid", F.lit(0).alias("tag"))
+    pts = data.unionByName(base.select("k", "t", F.lit(1).alias("kind"), "rid", F.lit(1).alias("tag")))
+    names = list(windows)
+    for i, name in enumerate(names):
+        pts = pts.unionByName(base.select("k", (F.col("t") - F.lit(windows[name])).alias("t"), F.lit(1).alias("kind"),
+                                          "rid", F.lit(2 + i).alias("tag")))
+    pts = pts.repartitionByRange(n, "k", "t", "kind").sortWithinPartitions("k", "t", "kind")
+    pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
+    counts = pts.filter("kind = 0").groupBy("pid", "k").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("off", F.coalesce(F.sum("c").over(w), F.lit(0))).filter("off > 0")
+    # Bounded: one continuing key per partition at most.
+    offsets = {r["pid"]: (r["k"], r["off"]) for r in carried.collect()}
+
+    def run(batches):
+        cur, run_count = None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ks, is_data = pdf["k"].to_numpy(), (pdf["kind"].to_numpy() == 0).astype(np.int64)
+            pid = int(pdf["pid"].iloc[0])
+            starts = np.r_[True, ks[1:] != ks[:-1]]
+            grp = np.cumsum(starts) - 1
+            csum = np.cumsum(is_data)
+            first_idx = np.flatnonzero(starts)
+            before = np.r_[0, csum][first_idx]          # data points before each key group in this batch
+            p = csum - before[grp]
+            # base of each group: carry-over for the key continuing from the previous batch/partition
+            bases = np.zeros(len(first_idx), dtype=np.int64)
+            if cur is not None and ks[0] == cur:
+                bases[0] = run_count
+            elif cur is None and pid in offsets and offsets[pid][0] == ks[0]:
+                bases[0] = offsets[pid][1]
+            p = p + bases[grp]
+            cur, run_count = ks[-1], int(p[-1])
+            q = pdf["kind"].to_numpy() == 1
+            yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[q], "tag": pdf["tag"].to_numpy()[q], "p": p[q]})
+
+    pv = pts.mapInPandas(run, "rid long, tag int, p long")
+    hi_p = F.max(F.when(F.col("tag") == 1, F.col("p")))
+    res = pv.groupBy("rid").agg(*[(hi_p - F.max(F.when(F.col("tag") == 2 + i, F.col("p")))).alias(name)
+                                  for i, name in enumerate(names)])
+    return df.join(res.withColumnRenamed("rid", id_col), id_col)

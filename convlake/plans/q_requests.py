@@ -25,6 +25,14 @@ def win1_offered_load(spark, sf):
     return LM.offered_load(r, {"n_1h": H, "n_6h": 6 * H}).select("req_id", "ip", "n_1h", "n_6h")
 
 
+@register("win1_offered_load_dense", "WIN-1", oracle=W("v_req") + f"""SELECT req_id, ip,
+ {_range_count('ip', H)} AS n_1h, {_range_count('ip', 6 * H)} AS n_6h FROM v_req""")
+def win1_offered_load_dense(spark, sf):
+    """Same answer as win1_offered_load through the density-independent sorted plan."""
+    r = view(spark, sf, "v_req").select("req_id", "ip", "ts")
+    return LM.offered_load_dense(r, {"n_1h": H, "n_6h": 6 * H}).select("req_id", "ip", "n_1h", "n_6h")
+
+
 @register("win6_hourly_quota", "WIN-6", oracle=W("v_req") + f"""SELECT req_id,
  {_range_count('session_id', 24 * H)} AS n_window, ({_range_count('session_id', 24 * H)} <= 3) AS admitted FROM v_req""")
 def win6_hourly_quota(spark, sf):

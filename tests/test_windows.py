@@ -85,3 +85,24 @@ def test_dead_model_ttl_boundary(spark):
                                     "ts timestamp_ntz, error string")
     got = {x.attempt_id: x.available for x in P.available_models(a, 6 * 3600).collect()}
     assert got == {0: True, 1: False, 2: True, 3: True}
+
+
+def test_sliding_count_sorted_dense_key(spark):
+    from convlake.operators.sequence import sliding_count_sorted
+    rnd = random.Random(8)
+    ev, t = [], 0
+    for i in range(6000):
+        t += rnd.choice([0, 0, 1, 2, 7])          # one very dense key plus a few sparse ones
+        ev.append((i, "hot" if i % 5 else f"k{i % 3}", t))
+    df = spark.createDataFrame(ev, "id long, k string, us long")
+    w = 50
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # several batches per partition
+    try:
+        got = {r.id: r.n for r in sliding_count_sorted(df, "k", "us", "id", w, "n", partitions=7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for i, k, us in ev:
+        by.setdefault(k, []).append(us)
+    for i, k, us in ev:
+        assert got[i] == sum(1 for u in by[k] if us - w < u <= us), i
