@@ -59,11 +59,17 @@ def cooldown(reqs: DataFrame, secs: int = 3, key: str = "session_id", ts: str =
 
 
 def sessionize(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts: str = "ts",
-               tiebreak: str = "req_id") -> DataFrame:
+               tiebreak: str = "req_id", plan: str = "buckets") -> DataFrame:
     """WIN-5: a new session starts after more than ``gap_s`` seconds of silence
     (a gap of exactly ``gap_s`` stays in the session). Adds ``is_start`` and
-    ``session_start_us`` (epoch microseconds of the session's first request)."""
+    ``session_start_us`` (epoch microseconds of the session's first request).
+
+    ``plan='buckets'`` uses (key, time bucket) windows; ``plan='sorted'`` a
+    range-partitioned global sort, for keys dense even within one bucket."""
     gap = gap_s * US
+    if plan == "sorted":
+        from convlake.operators.sequence import sessionize_sorted
+        return sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us")
     d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, gap, "_gap", keep_bucket="_gb")
     d = d.withColumn("is_start", F.col("_gap").isNull()).withColumn(
         "_start", F.when(F.col("is_start"), F.col("_us")))

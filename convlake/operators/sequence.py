@@ -263,3 +263,86 @@ def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows
     res = pv.groupBy("rid").agg(*[(hi_p - F.max(F.when(F.col("tag") == 2 + i, F.col("p")))).alias(name)
                                   for i, name in enumerate(names)])
     return df.join(res.withColumnRenamed("rid", id_col), id_col)
+
+
+def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int,
+                      partitions: int | None = None) -> DataFrame:
+    """Session starts (a gap of more than ``gap_us`` opens a session) whatever the
+    density of a key: adds ``is_start`` and ``session_start_us``.
+
+    Rows are range-partitioned and sorted on (key, time, id), so every task
+    holds a bounded slice even of a single dense key. Pass 1 summarises each
+    (partition, key): first and last time and the last session start inside.
+    Only keys spanning several partitions need carried-in state - at most two
+    per partition - so that table is bounded and resolved in order on the
+    driver. Pass 2 marks starts and carries the session start along.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from convlake.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pts = (df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(id_col).alias("rid"))
+             .repartitionByRange(n, "k", "t", "rid").sortWithinPartitions("k", "t", "rid"))
+    pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy()
+        first = np.r_[True, ks[1:] != ks[:-1]]
+        gap = np.r_[0, ts[1:] - ts[:-1]]
+        start = (~first) & (gap > gap_us)
+        return pd.DataFrame({"k": ks, "t": ts, "first": first, "start": start})
+
+    def summary(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
+        loc = local(pdf)
+        loc["int_start"] = np.where(loc["start"], loc["t"], np.nan)
+        g = loc.groupby("k", sort=False).agg(first_t=("t", "min"), last_t=("t", "max"), last_int=("int_start", "max"))
+        g = g.reset_index()
+        yield pd.DataFrame({"pid": int(pdf["pid"].iloc[0]), "k": g["k"], "first_t": g["first_t"].astype("int64"),
+                            "last_t": g["last_t"].astype("int64"), "last_int": g["last_int"]})
+
+    summ = pts.mapInPandas(summary, "pid int, k string, first_t long, last_t long, last_int double")
+    multi = summ.groupBy("k").agg(F.count(F.lit(1)).alias("np")).filter("np > 1").select("k")
+    boundary = sorted(summ.join(multi, "k", "left_semi").collect(), key=lambda r: (r["k"], r["pid"]))
+    carry: dict[int, tuple] = {}   # pid -> (key, last time before, last session start before)
+    prev_k, last_t, last_start = None, None, None
+    for r in boundary:
+        if r["k"] != prev_k:
+            prev_k, last_t, last_start = r["k"], None, None
+        else:
+            carry[r["pid"]] = (r["k"], last_t, last_start)
+        first_is_start = last_t is None or r["first_t"] - last_t > gap_us
+        if r["last_int"] == r["last_int"] and r["last_int"] is not None:   # not NaN
+            last_start = int(r["last_int"])
+        elif first_is_start:
+            last_start = r["first_t"]
+        last_t = r["last_t"]
+
+    def mark(batches):
+        cur_k, cur_t, cur_start = None, None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pid = int(pdf["pid"].iloc[0])
+            if cur_k is None and pid in carry:
+                cur_k, cur_t, cur_start = carry[pid]
+            ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy()
+            is_start = np.empty(len(pdf), dtype=bool)
+            sess = np.empty(len(pdf), dtype=np.int64)
+            for i in range(len(pdf)):
+                k, t = ks[i], int(ts[i])
+                s = k != cur_k or cur_t is None or t - cur_t > gap_us
+                if s:
+                    cur_start = t
+                is_start[i], sess[i] = s, cur_start
+                cur_k, cur_t = k, t
+            yield pd.DataFrame({"rid": pdf["rid"], "is_start": is_start, "session_start_us": sess})
+
+    res = pts.mapInPandas(mark, "rid long, is_start boolean, session_start_us long")
+    return df.join(res.withColumnRenamed("rid", id_col), id_col)

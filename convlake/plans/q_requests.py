@@ -62,6 +62,14 @@ def win5_sessionize(spark, sf):
     return LM.sessionize(r, gap_s=H).select("req_id", "is_start", "session_start_us")
 
 
+@register("win5_sessionize_sorted", "WIN-5", oracle=W("v_req").rstrip() + ",\n" + SESS_SQL
+          + "\nSELECT req_id, is_start, session_start_us FROM ss")
+def win5_sessionize_sorted(spark, sf):
+    """Same answer as win5_sessionize through the density-independent sorted plan."""
+    r = view(spark, sf, "v_req").select("req_id", "session_id", "ts")
+    return LM.sessionize(r, gap_s=H, plan="sorted").select("req_id", "is_start", "session_start_us")
+
+
 @register("agg3_session_totals", ("AGG-3", "WIN-5"), oracle=W("v_req").rstrip() + ",\n" + SESS_SQL + """
 SELECT req_id, session_start_us, seq_in_session, seq_in_session <= 5 AS within_cap FROM (
  SELECT req_id, session_start_us, row_number() OVER (PARTITION BY session_id, session_start_us ORDER BY ts, req_id)

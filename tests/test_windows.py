@@ -106,3 +106,26 @@ def test_sliding_count_sorted_dense_key(spark):
         by.setdefault(k, []).append(us)
     for i, k, us in ev:
         assert got[i] == sum(1 for u in by[k] if us - w < u <= us), i
+
+
+def test_sessionize_sorted_dense_key(spark):
+    from convlake.operators.sequence import sessionize_sorted
+    rnd = random.Random(12)
+    ev, t = [], 0
+    for i in range(5000):
+        t += rnd.choice([0, 1, 2, 3, 40, 41, 200])
+        ev.append((i, "hot" if i % 6 else f"k{i % 4}", t))
+    df = spark.createDataFrame(ev, "id long, k string, us long")
+    gap = 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = {r.id: (r.is_start, r.session_start_us) for r in sessionize_sorted(df, "k", "us", "id", gap, 6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, start = {}, {}
+    for i, k, us in sorted(ev, key=lambda e: (e[1], e[2], e[0])):
+        s = k not in last or us - last[k] > gap
+        if s:
+            start[k] = us
+        last[k] = us
+        assert got[i] == (s, start[k]), (i, k, us)
