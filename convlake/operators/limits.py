@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlake.operators.sequence import bucket_width, carry_last, epoch_us, prefix_count, prev_gap, sliding_counts
+from convlake.operators.sequence import (DENSE_ROWS, bucket_width, carry_last, densest_bucket, epoch_us,
+                                         prefix_count, prev_gap, sliding_counts)
 
 US = 1_000_000
 
@@ -20,9 +21,19 @@ def with_us(reqs: DataFrame, ts: str = "ts", out: str = "_us") -> DataFrame:
     return reqs.withColumn(out, epoch_us(F.col(ts)))
 
 
-def offered_load(reqs: DataFrame, windows: dict[str, int], key: str = "ip", ts: str = "ts") -> DataFrame:
+def offered_load(reqs: DataFrame, windows: dict[str, int], key: str = "ip", ts: str = "ts",
+                 plan: str = "auto", id_col: str = "req_id") -> DataFrame:
     """WIN-1: for each request, the earlier requests of the key younger than each
-    window (age strictly below the window; same-timestamp peers count)."""
+    window (age strictly below the window; same-timestamp peers count).
+
+    ``plan``: 'buckets' (time-bucketed windows), 'sorted' (range-partitioned
+    global sort, any density) or 'auto' (sorted only when some (key, bucket)
+    holds more than ``DENSE_ROWS`` rows)."""
+    if plan == "auto":
+        bw = bucket_width(max(windows.values()) * US)
+        plan = "sorted" if densest_bucket(with_us(reqs, ts), [key], "_us", bw) > DENSE_ROWS else "buckets"
+    if plan == "sorted":
+        return offered_load_dense(reqs, windows, key, ts, id_col)
     d = with_us(reqs, ts)
     d = sliding_counts(d, [key], "_us", {k: v * US for k, v in windows.items()})
     for k in windows:
@@ -59,14 +70,18 @@ def cooldown(reqs: DataFrame, secs: int = 3, key: str = "session_id", ts: str =
 
 
 def sessionize(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts: str = "ts",
-               tiebreak: str = "req_id", plan: str = "buckets") -> DataFrame:
+               tiebreak: str = "req_id", plan: str = "auto") -> DataFrame:
     """WIN-5: a new session starts after more than ``gap_s`` seconds of silence
     (a gap of exactly ``gap_s`` stays in the session). Adds ``is_start`` and
     ``session_start_us`` (epoch microseconds of the session's first request).
 
     ``plan='buckets'`` uses (key, time bucket) windows; ``plan='sorted'`` a
-    range-partitioned global sort, for keys dense even within one bucket."""
+    range-partitioned global sort, for keys dense even within one bucket;
+    ``'auto'`` picks sorted only when some (key, bucket) exceeds ``DENSE_ROWS``."""
     gap = gap_s * US
+    if plan == "auto":
+        dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(gap)) > DENSE_ROWS
+        plan = "sorted" if dense else "buckets"
     if plan == "sorted":
         from convlake.operators.sequence import sessionize_sorted
         return sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us")

@@ -114,6 +114,17 @@ def sliding_count(df: DataFrame, keys: Sequence[str], us: str, window_us: int, o
     return t.withColumn(out, F.count(F.lit(1)).over(w)).filter("_own").drop("_b", "_own")
 
 
+DENSE_ROWS = 2_000_000
+
+
+def densest_bucket(df: DataFrame, keys: Sequence[str], us: str, bucket_us: int) -> int:
+    """Rows in the fullest (key, time bucket): one partial aggregation, used to
+    pick between bucketed windows and the sorted plans."""
+    b = F.floor(F.col(us) / F.lit(bucket_us))
+    r = df.groupBy(*keys, b.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
+    return int(r or 0)
+
+
 def sliding_counts(df: DataFrame, keys: Sequence[str], us: str, windows: dict[str, int],
                    bucket_us: int | None = None) -> DataFrame:
     """Several range-frame counts over one (key, bucket) partitioning: a single

@@ -129,3 +129,16 @@ def test_sessionize_sorted_dense_key(spark):
             start[k] = us
         last[k] = us
         assert got[i] == (s, start[k]), (i, k, us)
+
+
+def test_auto_plan_switches_to_sorted(spark, monkeypatch):
+    from convlake.operators import limits as LMod
+    from convlake.plans.views import view
+    from tests.conftest import SF_SMALL
+    r = view(spark, SF_SMALL, "v_req").select("req_id", "ip", "session_id", "ts")
+    b1 = {x.req_id: (x.n_1h,) for x in LMod.offered_load(r, {"n_1h": 3600}, plan="buckets").collect()}
+    b2 = {x.req_id: (x.is_start, x.session_start_us) for x in LMod.sessionize(r, 3600, plan="buckets").collect()}
+    monkeypatch.setattr(LMod, "DENSE_ROWS", 1)  # every bucket counts as dense
+    a1 = {x.req_id: (x.n_1h,) for x in LMod.offered_load(r, {"n_1h": 3600}).collect()}
+    a2 = {x.req_id: (x.is_start, x.session_start_us) for x in LMod.sessionize(r, 3600).collect()}
+    assert a1 == b1 and a2 == b2
