@@ -62,9 +62,18 @@ def hourly_quota(reqs: DataFrame, limit: int = 15, window_s: int = 3600, key: st
 
 
 def cooldown(reqs: DataFrame, secs: int = 3, key: str = "session_id", ts: str = "ts",
-             tiebreak: str = "req_id") -> DataFrame:
+             tiebreak: str = "req_id", plan: str = "auto") -> DataFrame:
     """WIN-7: a request arriving less than ``secs`` after the previous request of
-    the same session is a cooldown hit."""
+    the same session is a cooldown hit (``plan`` as in ``offered_load``)."""
+    if plan == "auto":
+        dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(secs * US)) > DENSE_ROWS
+        plan = "sorted" if dense else "buckets"
+    if plan == "sorted":
+        from convlake.operators.sequence import sessionize_sorted
+        d = sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, secs * US)
+        d = d.withColumn("gap_us", F.when(F.col("gap_us") <= secs * US, F.col("gap_us")))
+        return (d.withColumn("cooldown_hit", F.coalesce(F.col("gap_us") < secs * US, F.lit(False)))
+                 .drop("_us", "is_start", "session_start_us", "seq_in_session"))
     d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, secs * US, "gap_us")
     return d.withColumn("cooldown_hit", F.coalesce(F.col("gap_us") < secs * US, F.lit(False))).drop("_us")
 
@@ -84,7 +93,7 @@ def sessionize(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts:
         plan = "sorted" if dense else "buckets"
     if plan == "sorted":
         from convlake.operators.sequence import sessionize_sorted
-        return sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us")
+        return sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us", "gap_us", "seq_in_session")
     d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, gap, "_gap", keep_bucket="_gb")
     d = d.withColumn("is_start", F.col("_gap").isNull()).withColumn(
         "_start", F.when(F.col("is_start"), F.col("_us")))
@@ -96,9 +105,15 @@ def session_totals(reqs: DataFrame, cap: int = 50, idle_s: int = 3600, key: str
                    ts: str = "ts", tiebreak: str = "req_id") -> DataFrame:
     """AGG-3: position of each request in its (idle-split) session and whether
     it is within the per-session cap."""
-    s = with_us(sessionize(reqs, idle_s, key, ts, tiebreak), ts)
-    s = prefix_count(s, [key, "session_start_us"], "_us", tiebreak, bucket_width(idle_s * US), "seq_in_session")
-    return s.withColumn("within_cap", F.col("seq_in_session") <= cap).drop("_us")
+    gap = idle_s * US
+    dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(gap)) > DENSE_ROWS
+    if dense:
+        from convlake.operators.sequence import sessionize_sorted
+        s = sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us", "gap_us")
+    else:
+        s = with_us(sessionize(reqs, idle_s, key, ts, tiebreak, plan="buckets"), ts)
+        s = prefix_count(s, [key, "session_start_us"], "_us", tiebreak, bucket_width(gap), "seq_in_session").drop("_us")
+    return s.withColumn("within_cap", F.col("seq_in_session") <= cap)
 
 
 def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),

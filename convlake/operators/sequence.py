@@ -278,15 +278,18 @@ def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows
 
 def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int,
                       partitions: int | None = None) -> DataFrame:
-    """Session starts (a gap of more than ``gap_us`` opens a session) whatever the
-    density of a key: adds ``is_start`` and ``session_start_us``.
+    """Ordered per-key scan whatever the density of a key. Adds ``gap_us`` (time
+    since the previous row of the key, null for its first row), ``is_start``
+    (a gap of more than ``gap_us`` opens a session), ``session_start_us`` and
+    ``seq_in_session`` (1-based position inside the session).
 
     Rows are range-partitioned and sorted on (key, time, id), so every task
     holds a bounded slice even of a single dense key. Pass 1 summarises each
-    (partition, key): first and last time and the last session start inside.
-    Only keys spanning several partitions need carried-in state - at most two
-    per partition - so that table is bounded and resolved in order on the
-    driver. Pass 2 marks starts and carries the session start along.
+    (partition, key): first and last time, row count, the last session start
+    inside and the rows from it on. Only keys spanning several partitions need
+    carried-in state - at most two per partition - so that table is bounded and
+    resolved in order on the driver. Pass 2 carries time, session start and
+    position along each partition.
     """
     import numpy as np
     import pandas as pd
@@ -299,61 +302,71 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
              .repartitionByRange(n, "k", "t", "rid").sortWithinPartitions("k", "t", "rid"))
     pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy()
-        first = np.r_[True, ks[1:] != ks[:-1]]
-        gap = np.r_[0, ts[1:] - ts[:-1]]
-        start = (~first) & (gap > gap_us)
-        return pd.DataFrame({"k": ks, "t": ts, "first": first, "start": start})
-
     def summary(batches):
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
-        loc = local(pdf)
-        loc["int_start"] = np.where(loc["start"], loc["t"], np.nan)
-        g = loc.groupby("k", sort=False).agg(first_t=("t", "min"), last_t=("t", "max"), last_int=("int_start", "max"))
-        g = g.reset_index()
+        ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy().astype(np.int64)
+        first = np.r_[True, ks[1:] != ks[:-1]]
+        start = (~first) & (np.r_[0, ts[1:] - ts[:-1]] > gap_us)
+        idx = np.arange(len(pdf))
+        loc = pd.DataFrame({"k": ks, "t": ts, "i": idx, "si": np.where(start, idx, -1)})
+        g = loc.groupby("k", sort=False).agg(first_t=("t", "min"), last_t=("t", "max"), n=("i", "size"),
+                                             last_i=("i", "max"), si=("si", "max")).reset_index()
+        has = g["si"].to_numpy() >= 0
+        last_int = np.where(has, ts[np.maximum(g["si"].to_numpy(), 0)], -1)
+        after = np.where(has, g["last_i"].to_numpy() - g["si"].to_numpy() + 1, -1)
         yield pd.DataFrame({"pid": int(pdf["pid"].iloc[0]), "k": g["k"], "first_t": g["first_t"].astype("int64"),
-                            "last_t": g["last_t"].astype("int64"), "last_int": g["last_int"]})
+                            "last_t": g["last_t"].astype("int64"), "n": g["n"].astype("int64"),
+                            "last_int": last_int.astype("int64"), "after": after.astype("int64")})
 
-    summ = pts.mapInPandas(summary, "pid int, k string, first_t long, last_t long, last_int double")
+    summ = pts.mapInPandas(summary, "pid int, k string, first_t long, last_t long, n long, last_int long, after long")
     multi = summ.groupBy("k").agg(F.count(F.lit(1)).alias("np")).filter("np > 1").select("k")
     boundary = sorted(summ.join(multi, "k", "left_semi").collect(), key=lambda r: (r["k"], r["pid"]))
-    carry: dict[int, tuple] = {}   # pid -> (key, last time before, last session start before)
-    prev_k, last_t, last_start = None, None, None
+    carry: dict[int, tuple] = {}   # pid -> (key, last time, session start, rows of the session so far)
+    prev_k = last_t = last_start = cnt = None
     for r in boundary:
         if r["k"] != prev_k:
-            prev_k, last_t, last_start = r["k"], None, None
+            prev_k, last_t, last_start, cnt = r["k"], None, None, 0
         else:
-            carry[r["pid"]] = (r["k"], last_t, last_start)
+            carry[r["pid"]] = (r["k"], last_t, last_start, cnt)
         first_is_start = last_t is None or r["first_t"] - last_t > gap_us
-        if r["last_int"] == r["last_int"] and r["last_int"] is not None:   # not NaN
-            last_start = int(r["last_int"])
+        if r["last_int"] >= 0 and r["after"] >= 0:
+            last_start, cnt = r["last_int"], r["after"]
         elif first_is_start:
-            last_start = r["first_t"]
+            last_start, cnt = r["first_t"], r["n"]
+        else:
+            cnt += r["n"]
         last_t = r["last_t"]
 
     def mark(batches):
-        cur_k, cur_t, cur_start = None, None, None
+        cur_k = cur_t = cur_start = None
+        cur_n = 0
         for pdf in batches:
             if not len(pdf):
                 continue
             pid = int(pdf["pid"].iloc[0])
             if cur_k is None and pid in carry:
-                cur_k, cur_t, cur_start = carry[pid]
+                cur_k, cur_t, cur_start, cur_n = carry[pid]
             ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy()
-            is_start = np.empty(len(pdf), dtype=bool)
-            sess = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
+            m = len(pdf)
+            gaps = np.empty(m, dtype=object)
+            is_start = np.empty(m, dtype=bool)
+            sess = np.empty(m, dtype=np.int64)
+            seq = np.empty(m, dtype=np.int64)
+            for i in range(m):
                 k, t = ks[i], int(ts[i])
-                s = k != cur_k or cur_t is None or t - cur_t > gap_us
-                if s:
-                    cur_start = t
-                is_start[i], sess[i] = s, cur_start
+                same = k == cur_k and cur_t is not None
+                gaps[i] = t - cur_t if same else None
+                st = not same or t - cur_t > gap_us
+                if st:
+                    cur_start, cur_n = t, 0
+                cur_n += 1
+                is_start[i], sess[i], seq[i] = st, cur_start, cur_n
                 cur_k, cur_t = k, t
-            yield pd.DataFrame({"rid": pdf["rid"], "is_start": is_start, "session_start_us": sess})
+            yield pd.DataFrame({"rid": pdf["rid"], "gap_us": pd.array(list(gaps), dtype="Int64"), "is_start": is_start,
+                                "session_start_us": sess, "seq_in_session": seq})
 
-    res = pts.mapInPandas(mark, "rid long, is_start boolean, session_start_us long")
+    res = pts.mapInPandas(mark, "rid long, gap_us long, is_start boolean, session_start_us long, seq_in_session long")
     return df.join(res.withColumnRenamed("rid", id_col), id_col)

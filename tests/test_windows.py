@@ -119,16 +119,19 @@ def test_sessionize_sorted_dense_key(spark):
     gap = 40
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
     try:
-        got = {r.id: (r.is_start, r.session_start_us) for r in sessionize_sorted(df, "k", "us", "id", gap, 6).collect()}
+        got = {r.id: (r.is_start, r.session_start_us, r.gap_us, r.seq_in_session)
+               for r in sessionize_sorted(df, "k", "us", "id", gap, 6).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    last, start = {}, {}
+    last, start, seq = {}, {}, {}
     for i, k, us in sorted(ev, key=lambda e: (e[1], e[2], e[0])):
         s = k not in last or us - last[k] > gap
+        g = us - last[k] if k in last else None
         if s:
-            start[k] = us
+            start[k], seq[k] = us, 0
+        seq[k] += 1
         last[k] = us
-        assert got[i] == (s, start[k]), (i, k, us)
+        assert got[i] == (s, start[k], g, seq[k]), (i, k, us)
 
 
 def test_auto_plan_switches_to_sorted(spark, monkeypatch):
@@ -138,7 +141,11 @@ def test_auto_plan_switches_to_sorted(spark, monkeypatch):
     r = view(spark, SF_SMALL, "v_req").select("req_id", "ip", "session_id", "ts")
     b1 = {x.req_id: (x.n_1h,) for x in LMod.offered_load(r, {"n_1h": 3600}, plan="buckets").collect()}
     b2 = {x.req_id: (x.is_start, x.session_start_us) for x in LMod.sessionize(r, 3600, plan="buckets").collect()}
+    b3 = {x.req_id: (x.gap_us, x.cooldown_hit) for x in LMod.cooldown(r, 3600, plan="buckets").collect()}
+    b4 = {x.req_id: (x.seq_in_session, x.within_cap) for x in LMod.session_totals(r, 5, 3600).collect()}
     monkeypatch.setattr(LMod, "DENSE_ROWS", 1)  # every bucket counts as dense
     a1 = {x.req_id: (x.n_1h,) for x in LMod.offered_load(r, {"n_1h": 3600}).collect()}
     a2 = {x.req_id: (x.is_start, x.session_start_us) for x in LMod.sessionize(r, 3600).collect()}
-    assert a1 == b1 and a2 == b2
+    a3 = {x.req_id: (x.gap_us, x.cooldown_hit) for x in LMod.cooldown(r, 3600).collect()}
+    a4 = {x.req_id: (x.seq_in_session, x.within_cap) for x in LMod.session_totals(r, 5, 3600).collect()}
+    assert a1 == b1 and a2 == b2 and a3 == b3 and a4 == b4
