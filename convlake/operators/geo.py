@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
-from convlake.operators.sequence import carry_last
+from convlake.operators.sequence import DENSE_ROWS, carry_last, carry_last_sorted, densest_bucket
 
 LITERAL_MAX = 256
 BROADCAST_MAX = 200_000
@@ -109,7 +109,7 @@ def _gram_hits(sl: DataFrame, g: DataFrame, msg_id: str) -> DataFrame:
 
 
 def running_location(tagged: DataFrame, session: str = "session_id", turn: str = "turn",
-                     msg_id: str = "msg_id", bucket: int = 1 << 20) -> DataFrame:
+                     msg_id: str = "msg_id", bucket: int = 1 << 20, plan: str = "auto") -> DataFrame:
     """WIN-4: city, region and state each keep their last non-null value along
     the session (a region-only hit leaves the older city in place).
 
@@ -117,5 +117,10 @@ def running_location(tagged: DataFrame, session: str = "session_id", turn: str =
     """
     t = tagged.withColumn("city", F.col("loc_city")).withColumn("region", F.col("loc_region")) \
               .withColumn("state", F.col("loc_state"))
+    if plan == "auto":
+        plan = "sorted" if densest_bucket(t, [session], turn, bucket) > DENSE_ROWS else "buckets"
+    if plan == "sorted":
+        out = carry_last_sorted(t, session, turn, msg_id, ["city", "region", "state"], suffix="_now")
+        return out.drop("city", "region", "state")
     out = carry_last(t, [session], turn, msg_id, ["city", "region", "state"], bucket, suffix="_now")
     return out.drop("city", "region", "state")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions.classify import classify_error
-from convlake.operators.sequence import bucket_width, epoch_us, time_buckets, top_k
+from convlake.operators.sequence import (DENSE_ROWS, bucket_width, carry_last_sorted, densest_bucket, epoch_us,
+                                         time_buckets, top_k)
 
 US = 1_000_000
 
@@ -46,7 +47,7 @@ def error_report(attempts: DataFrame, model: str = "model", error: str = "error"
 
 
 def available_models(attempts: DataFrame, ttl_s: int = 6 * 3600, model: str = "model", ts: str = "ts",
-                     tiebreak: str = "attempt_id") -> DataFrame:
+                     tiebreak: str = "attempt_id", plan: str = "auto") -> DataFrame:
     """JOIN-4: an attempt's model is available unless an earlier attempt of the
     same model failed as model_unavailable at most ``ttl_s`` before (a model is
     kept only once the age exceeds the TTL).
@@ -56,6 +57,15 @@ def available_models(attempts: DataFrame, ttl_s: int = 6 * 3600, model: str = "m
     """
     ttl = ttl_s * US
     a = with_category(attempts).withColumn("_us", epoch_us(F.col(ts)))
+    if plan == "auto":
+        plan = "sorted" if densest_bucket(a, [model], "_us", bucket_width(ttl)) > DENSE_ROWS else "buckets"
+    if plan == "sorted":
+        # Models are few, so each is a hot key: a range-partitioned scan carries
+        # the last unavailable time (strictly earlier attempts only).
+        a = a.withColumn("_dead_at", F.when(F.col("category") == "model_unavailable", F.col("_us")))
+        d = carry_last_sorted(a, model, "_us", tiebreak, ["_dead_at"], suffix="_before", inclusive=False)
+        avail = F.col("_dead_at_before").isNull() | (F.col("_us") - F.col("_dead_at_before") > ttl)
+        return d.withColumn("available", avail).drop("_dead_at", "_dead_at_before", "_us")
     t = time_buckets(a, "_us", bucket_width(ttl), ttl)
     w = Window.partitionBy(model, "_b").orderBy("_us", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     last_dead = F.max(F.when(F.col("category") == "model_unavailable", F.col("_us"))).over(w)

@@ -370,3 +370,79 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
 
     res = pts.mapInPandas(mark, "rid long, gap_us long, is_start boolean, session_start_us long, seq_in_session long")
     return df.join(res.withColumnRenamed("rid", id_col), id_col)
+
+
+def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values: Sequence[str],
+                      suffix: str = "_last", inclusive: bool = True, partitions: int | None = None) -> DataFrame:
+    """``carry_last`` whatever the density of a key: for each value column the
+    last non-null value at (``inclusive``) or strictly before the row, along
+    (order, tiebreak) within the key.
+
+    Range-partitioned sort on (key, order, tiebreak); pass 1 keeps, per
+    (partition, key), the last non-null value of each column; the carry into a
+    partition exists only for its first key (at most one row per partition),
+    resolved on the driver; pass 2 forward-fills each partition.
+    """
+    import pandas as pd
+
+    from convlake.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vals = list(values)
+    pts = (df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(tiebreak).alias("rid"),
+                     *[F.col(v).alias(f"v{i}") for i, v in enumerate(vals)])
+             .repartitionByRange(n, "k", "o", "rid").sortWithinPartitions("k", "o", "rid"))
+    pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
+    vcols = [f"v{i}" for i in range(len(vals))]
+    vtypes = {f"v{i}": df.schema[v].dataType.simpleString() for i, v in enumerate(vals)}
+
+    def summary(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
+        g = pdf.groupby("k", sort=False)[vcols].last().reset_index()   # last non-null per column
+        g.insert(0, "pid", int(pdf["pid"].iloc[0]))
+        yield g
+
+    summ = pts.mapInPandas(summary, "pid int, k " + df.schema[key].dataType.simpleString() + ", "
+                           + ", ".join(f"{c} {vtypes[c]}" for c in vcols))
+    multi = summ.groupBy("k").agg(F.count(F.lit(1)).alias("np")).filter("np > 1").select("k")
+    boundary = sorted(summ.join(multi, "k", "left_semi").collect(), key=lambda r: (r["k"], r["pid"]))
+    carry: dict[int, tuple] = {}
+    prev_k, lastv = None, None
+    for r in boundary:
+        if r["k"] != prev_k:
+            prev_k, lastv = r["k"], [None] * len(vcols)
+        else:
+            carry[r["pid"]] = (r["k"], list(lastv))
+        lastv = [r[c] if r[c] is not None else lastv[i] for i, c in enumerate(vcols)]
+
+    def fill(batches):
+        cur_k, cur = None, [None] * len(vcols)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pid = int(pdf["pid"].iloc[0])
+            if cur_k is None and pid in carry:
+                cur_k, cur = carry[pid][0], list(carry[pid][1])
+            ks = pdf["k"].to_numpy()
+            cols = [pdf[c].tolist() for c in vcols]
+            outs = [[None] * len(pdf) for _ in vcols]
+            for i in range(len(pdf)):
+                if ks[i] != cur_k:
+                    cur_k, cur = ks[i], [None] * len(vcols)
+                for j in range(len(vcols)):
+                    v = cols[j][i]
+                    has = v is not None and v == v
+                    if inclusive and has:
+                        cur[j] = v
+                    outs[j][i] = cur[j]
+                    if not inclusive and has:
+                        cur[j] = v
+            yield pd.DataFrame({"rid": pdf["rid"], **{vals[j] + suffix: outs[j] for j in range(len(vcols))}})
+
+    res = pts.mapInPandas(fill, "rid " + df.schema[tiebreak].dataType.simpleString() + ", "
+                          + ", ".join(f"{v}{suffix} {vtypes[f'v{j}']}" for j, v in enumerate(vals)))
+    return df.join(res.withColumnRenamed("rid", tiebreak), tiebreak)

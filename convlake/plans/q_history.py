@@ -8,7 +8,7 @@ from convlake.functions import dictionaries as D
 from convlake.operators import geo as G
 from convlake.operators import history as H
 from convlake.plans import duck as K
-from convlake.plans.registry import register
+from convlake.plans.registry import REGISTRY, register
 from convlake.plans.views import duckdb_with, view
 
 W = duckdb_with
@@ -113,3 +113,11 @@ def win4_running_location(spark, sf):
     m = view(spark, sf, "v_msg").select("msg_id", "session_id", "turn", "text")
     tagged = G.tag_location(m, view(spark, sf, "v_gaz"))
     return G.running_location(tagged, bucket=1000).select("msg_id", "city_now", "region_now", "state_now")
+
+
+@register("win4_running_location_sorted", ("WIN-4", "JOIN-1"), oracle=REGISTRY["win4_running_location"].oracle)
+def win4_running_location_sorted(spark, sf):
+    """Same answer through the range-partitioned carry used for huge sessions."""
+    m = view(spark, sf, "v_msg").select("msg_id", "session_id", "turn", "text")
+    tagged = G.tag_location(m, view(spark, sf, "v_gaz"))
+    return G.running_location(tagged, plan="sorted").select("msg_id", "city_now", "region_now", "state_now")

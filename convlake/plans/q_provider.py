@@ -35,14 +35,23 @@ def agg5_error_report(spark, sf):
     return P.error_report(view(spark, sf, "v_attempt"))
 
 
-@register("join4_available_models", "JOIN-4", oracle=W("v_attempt") + f"""SELECT attempt_id,
+JOIN4_SQL = W("v_attempt") + f"""SELECT attempt_id,
  (d IS NULL OR epoch_us(ts) - d > {6 * H * 1_000_000}) AS available FROM (
  SELECT attempt_id, ts, max(CASE WHEN {CAT} = 'model_unavailable' THEN epoch_us(ts) END) OVER (PARTITION BY model
-  ORDER BY epoch_us(ts), attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM v_attempt) t""")
+  ORDER BY epoch_us(ts), attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM v_attempt) t"""
+
+
+@register("join4_available_models", "JOIN-4", oracle=JOIN4_SQL)
 def join4_available_models(spark, sf):
     return P.available_models(view(spark, sf, "v_attempt")).select("attempt_id", "available")
 
 
+@register("join4_available_models_sorted", "JOIN-4", oracle=JOIN4_SQL)
+def join4_available_models_sorted(spark, sf):
+    """Same answer through the range-partitioned scan used for hot models."""
+    return P.available_models(view(spark, sf, "v_attempt"), plan="sorted").select("attempt_id", "available")
+
+
 @register("win8_first_success", "WIN-8", oracle=W("v_attempt") + """, f AS (SELECT request_id,
  arg_min(model, struct_pack(n := attempt_no, i := attempt_id)) AS first_ok_model,
  arg_min(attempt_no, struct_pack(n := attempt_no, i := attempt_id)) AS first_ok_attempt,

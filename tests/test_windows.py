@@ -149,3 +149,22 @@ def test_auto_plan_switches_to_sorted(spark, monkeypatch):
     a3 = {x.req_id: (x.gap_us, x.cooldown_hit) for x in LMod.cooldown(r, 3600).collect()}
     a4 = {x.req_id: (x.seq_in_session, x.within_cap) for x in LMod.session_totals(r, 5, 3600).collect()}
     assert a1 == b1 and a2 == b2 and a3 == b3 and a4 == b4
+
+
+def test_carry_last_sorted_matches_bucketed(spark):
+    from convlake.operators.sequence import carry_last_sorted
+    rnd = random.Random(5)
+    ev = [(i, "hot" if i % 4 else "cold", i * 10, rnd.choice([None, None, None, "x", "y"])) for i in range(3000)]
+    df = spark.createDataFrame(ev, "id long, k string, o long, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        inc = {r.id: r.v_last for r in carry_last_sorted(df, "k", "o", "id", ["v"], partitions=5).collect()}
+        exc = {r.id: r.v_last for r in carry_last_sorted(df, "k", "o", "id", ["v"], inclusive=False, partitions=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for i, k, o, v in ev:
+        assert exc[i] == last.get(k), i
+        if v is not None:
+            last[k] = v
+        assert inc[i] == last.get(k), i
