@@ -121,9 +121,16 @@ def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id",
     """JOIN-3 (simple mode): a non-stream request is served from cache when the
     previous non-stream request with the same key is younger than ``ttl_s``.
     The exact mode (a hit does not refresh the entry) is ``sequential.replay_cache``."""
-    ns = reqs.filter(F.col(stream_col) == 0)
-    d = prev_gap(with_us(ns, ts), list(keys), "_us", tiebreak, ttl_s * US, "_gap")
-    return d.withColumn("cached", F.coalesce(F.col("_gap") < ttl_s * US, F.lit(False))).drop("_gap", "_us")
+    ns = with_us(reqs.filter(F.col(stream_col) == 0), ts)
+    ttl = ttl_s * US
+    if densest_bucket(ns, list(keys), "_us", bucket_width(ttl)) > DENSE_ROWS:
+        from convlake.operators.sequence import sessionize_sorted
+        k = ns.withColumn("_ck", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
+        d = sessionize_sorted(k, "_ck", "_us", tiebreak, ttl).withColumnRenamed("gap_us", "_gap") \
+            .drop("_ck", "is_start", "session_start_us", "seq_in_session")
+    else:
+        d = prev_gap(ns, list(keys), "_us", tiebreak, ttl, "_gap")
+    return d.withColumn("cached", F.coalesce(F.col("_gap") < ttl, F.lit(False))).drop("_gap", "_us")
 
 
 def leads_per_ip(leads: DataFrame, as_of: str, hours: int, ip: str = "ip_address", ts: str = "ts") -> DataFrame:

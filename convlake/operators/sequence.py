@@ -239,7 +239,9 @@ def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows
                                           "rid", F.lit(2 + i).alias("tag")))
     pts = pts.repartitionByRange(n, "k", "t", "kind").sortWithinPartitions("k", "t", "kind")
     pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
-    counts = pts.filter("kind = 0").groupBy("pid", "k").agg(F.count(F.lit(1)).alias("c"))
+    # Every (partition, key) with any point, data or query: a partition may hold
+    # only query points of a key that continues from earlier partitions.
+    counts = pts.groupBy("pid", "k").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("c"))
     w = Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     carried = counts.withColumn("off", F.coalesce(F.sum("c").over(w), F.lit(0))).filter("off > 0")
     # Bounded: one continuing key per partition at most.

@@ -218,12 +218,15 @@ def replay_cache_doubling(d: DataFrame, ttl_us: int) -> DataFrame:
     none of which puts a key in one task. Each round is checkpointed into the
     shared checkpoint folder to cut the lineage.
     """
-    from convlake.operators.sequence import bucket_width, prefix_count, sliding_count
+    from convlake.operators.sequence import sessionize_sorted, sliding_counts_sorted
     from convlake.session import cut_lineage
 
-    d = prefix_count(d, ["_k"], "_us", "req_id", bucket_width(ttl_us), "pos")
+    # These keys are the hot ones, so positions and forward counts come from
+    # range-partitioned sorts (bounded tasks whatever the density).
+    d = sessionize_sorted(d, "_k", "_us", "req_id", 1 << 62).withColumnRenamed("seq_in_session", "pos") \
+        .drop("gap_us", "is_start", "session_start_us")
     d = d.withColumn("_neg", -F.col("_us"))
-    d = sliding_count(d, ["_k"], "_neg", ttl_us, "_a")          # rows with t in [t_r, t_r + ttl)
+    d = sliding_counts_sorted(d, "_k", "_neg", "req_id", {"_a": ttl_us})   # rows with t in [t_r, t_r + ttl)
     p0 = d.groupBy("_k", "_us").agg(F.min("pos").alias("_p0"))
     n_by_k = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     d = cut_lineage(d.join(p0, ["_k", "_us"]).join(n_by_k, "_k")

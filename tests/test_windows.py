@@ -168,3 +168,17 @@ def test_carry_last_sorted_matches_bucketed(spark):
         if v is not None:
             last[k] = v
         assert inc[i] == last.get(k), i
+
+
+def test_sliding_count_sorted_query_only_partitions(spark):
+    """Negated time puts the t - w query points of a key into partitions that
+    may hold no data point of that key; the carried count must still apply."""
+    from convlake.operators.sequence import sliding_count_sorted
+    ev = [(i, "hot", -(i // 3) * 10) for i in range(600)] + [(1000 + i, "z", -i) for i in range(50)]
+    df = spark.createDataFrame(ev, "id long, k string, us long")
+    got = {r.id: r.n for r in sliding_count_sorted(df, "k", "us", "id", 2000, "n", partitions=9).collect()}
+    by = {}
+    for i, k, us in ev:
+        by.setdefault(k, []).append(us)
+    for i, k, us in ev:
+        assert got[i] == sum(1 for u in by[k] if us - 2000 < u <= us), i
