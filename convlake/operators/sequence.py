@@ -21,6 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALT = 64
+SALT_TARGET_ROWS = 5_000_000
+MAX_SALT = 1 << 20
+
+
+def adaptive_salt(df: DataFrame, group: Sequence[str], minimum: int = DEFAULT_SALT) -> int:
+    """Salt buckets so that no (group, salt) slice exceeds ~SALT_TARGET_ROWS rows:
+    one partial aggregation finds the largest group."""
+    biggest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
+    return int(min(MAX_SALT, max(minimum, -(-biggest // SALT_TARGET_ROWS))))
 
 
 def _cols(xs) -> list[Column]:
@@ -35,7 +44,7 @@ def epoch_us(ts: Column) -> Column:
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "_rk",
-          salt_of: Sequence[str] | None = None, salt: int = DEFAULT_SALT) -> DataFrame:
+          salt_of: Sequence[str] | None = None, salt: int | None = None) -> DataFrame:
     """Rows ranked 1..k within each group by ``order`` (ties broken by ``order``
     itself, so give a unique last key), with the exact rank in ``rank_col``.
 
@@ -43,7 +52,9 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     the <= k*salt survivors: no group is ever sorted whole in one task.
     """
     # Deterministic salt (a task retry must see the same buckets): a hash of
-    # the given columns, by default of the whole row.
+    # the given columns, by default of the whole row. The number of buckets
+    # grows with the largest group (``adaptive_salt``) unless given.
+    salt = salt or adaptive_salt(df, group)
     salt_expr = F.pmod(F.hash(*(salt_of or df.columns)), F.lit(salt))
     s = df.withColumn("_salt", salt_expr)
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
@@ -53,7 +64,7 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def top_k_multi(df: DataFrame, group: Sequence[str], rankings: dict, salt_of: Sequence[str] | None = None,
-                salt: int = DEFAULT_SALT) -> DataFrame:
+                salt: int | None = None) -> DataFrame:
     """Several exact top-k rankings per group in one salted two-stage pass.
 
     ``rankings`` maps an output column to ``(order, k)`` or ``(order, k, cond)``;
@@ -62,6 +73,7 @@ def top_k_multi(df: DataFrame, group: Sequence[str], rankings: dict, salt_of: Se
     rank (1..k) or null. Exact because the global top k of every ranking is
     inside its (group, salt) bucket's top k, so stage 2 sees all of them.
     """
+    salt = salt or adaptive_salt(df, group)
     salt_expr = F.pmod(F.hash(*(salt_of or df.columns)), F.lit(salt))
     specs = {name: (r[0], r[1], r[2] if len(r) > 2 else F.lit(True)) for name, r in rankings.items()}
     d = df.withColumn("_salt", salt_expr)
