@@ -3,14 +3,20 @@
 A single session, client or model may hold a third of all rows, so no helper
 here partitions by the bare key:
 
-* ``top_k`` - exact top-k per group in two stages: first per (group, salt)
-  bucket, then over the at most ``k * salt`` survivors per group.
+* ``top_k`` / ``top_k_multi`` - exact top-k per group in two stages: first per
+  (group, salt) bucket, then over the at most ``k * salt`` survivors per group;
+  the salt count adapts to the largest group.
 * ``time_buckets`` - rows get a (key, time bucket) partition plus copies of the
   last ``halo`` microseconds of the previous bucket, so sliding windows and
   gaps of width <= halo are exact inside each bucket.
-* ``carry_last`` / ``prefix_count`` - running "last non-null" and running counts
-  computed inside (key, bucket) partitions and then carried across buckets
-  through a small per-(key, bucket) table (a two-level prefix scan).
+* ``carry_last`` / ``prefix_count`` - running "last non-null" values and
+  running counts computed inside (key, bucket) partitions and then carried
+  across buckets through a small per-(key, bucket) table (two-level scan).
+* ``sliding_counts_sorted`` / ``sessionize_sorted`` / ``carry_last_sorted`` -
+  the same results when a key is dense even within one bucket: a
+  range-partitioned global sort bounds every task by row count, and the state
+  carried between partitions is a table of at most one row per partition.
+  Only key, time and id columns are checkpointed between the passes.
 """
 
 from __future__ import annotations
