@@ -61,3 +61,17 @@ def test_chunk_sentences_job(spark):
     got = chunk_sentences(d, "doc_id", "text")
     exp = {(r.doc_id, i, c) for r in d.collect() for i, c in enumerate(chunk_reply(r.text))}
     assert {(r.doc_id, r.chunk_no, r.chunk) for r in got.collect()} == exp
+
+
+md_piece = st.one_of(
+    st.sampled_from(["# Head", "## sub", "- item", "* item", "**bold**", "_it_", "~~x~~", "`code`", "```blk\nx```",
+                     "[a](http://x.y/z)", "![img](u.png)", "https://e.com/p", "(904) 555-1234", "305-555-9876", "\n\n", "\n"]),
+    st.text(alphabet="ab .!?\n*_#-", max_size=8),
+)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(md_piece, max_size=8))
+def test_voice_cleanup_property(spark, parts):
+    t = " ".join(parts)
+    assert _apply(spark, [t], lambda c: clean_markdown(c, "voice")) == [pyref.voice_clean(t)]

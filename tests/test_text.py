@@ -84,3 +84,22 @@ def test_flagship_entry(spark):
     assert len(out) > 0
     assert {"doc_id", "email", "phone", "redacted_text", "metadata"} <= set(df.columns)
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+lead_piece = st.one_of(
+    st.builds(lambda a, b: f"{a}@{b}.co", st.text(alphabet="ab_.+-1", min_size=1, max_size=5),
+              st.text(alphabet="xy-", min_size=1, max_size=4)),
+    st.from_regex(r"(\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", fullmatch=True),
+    st.sampled_from(["my name is", "I'm", "This is", "work at:", "Company", "representing", "org", "firm:"]),
+    st.text(alphabet="Ab &.,'-\n9é", max_size=10),
+)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(lead_piece, min_size=1, max_size=6))
+def test_extraction_property(spark, parts):
+    text = " ".join(parts)
+    df = spark.createDataFrame([(0, text)], "i int, text string")
+    r = df.select(*[c.alias(k) for k, c in extract_contacts(F.col("text")).items()]).collect()[0]
+    exp = pyref.contacts(text)
+    assert {k: r[k] for k in exp} == exp
