@@ -23,10 +23,16 @@ from convlake.operators.sequential import Admission, state_horizon
 from convlake.sources import sse as SSE
 
 
-def stream_leads(msgs: DataFrame, id_col: str, text: str = "text", detected_at: str = "1970-01-01T00:00:00+00:00"):
-    """STR-1: lead auto-capture on every incoming message (stateless; the same
-    text twice gives two leads, as in the batch job)."""
-    return L.contact_lead_report(msgs, id_col, text, detected_at)
+def stream_leads(msgs: DataFrame, id_col: str, text: str = "text", detected_at: str = "1970-01-01T00:00:00+00:00",
+                 dedupe_on: list[str] | None = None, ts: str | None = None, dedupe_watermark: str = "10 minutes"):
+    """STR-1: lead auto-capture on every incoming message. Stateless by default:
+    the same text twice gives two leads, as in the batch job. ``dedupe_on``
+    (with an event-time column ``ts``) drops repeats of those columns seen
+    within the watermark (``dropDuplicatesWithinWatermark``)."""
+    if dedupe_on:
+        msgs = (msgs.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", dedupe_watermark)
+                    .dropDuplicatesWithinWatermark(dedupe_on).drop("_et"))
+    return L.contact_lead_report(msgs.select(id_col, text), id_col, text, detected_at)
 
 
 def expire_idle(requests: DataFrame, gap_s: int = 3600, key: str = "session_id", ts: str = "ts",

@@ -122,3 +122,12 @@ def test_assemble_stream_error_and_late_token(spark):
            run_available(J.assemble_stream(stream_source(spark, d, first.schema, max_files=1))).collect()}
     # a token after done is ignored; error before done ends the reply; tokens carry across batches
     assert got == {(1, "Hello", "done", "Hello"), (2, "par", "error", None), (3, "early bird", "done", "early bird")}
+
+
+def test_stream_leads_dedupe_option(spark):
+    rows = [(1, "write to a@b.co", "2024-01-01 00:00:00"), (2, "write to a@b.co", "2024-01-01 00:01:00"),
+            (3, "call 305-555-0100", "2024-01-01 00:02:00")]
+    df = spark.createDataFrame(rows, "msg_id long, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    plain = run_available(J.stream_leads(_as_stream(spark, df, parts=1), "msg_id"))
+    dedup = run_available(J.stream_leads(_as_stream(spark, df, parts=1), "msg_id", dedupe_on=["text"], ts="ts"))
+    assert plain.count() == 3 and dedup.count() == 2
