@@ -99,3 +99,33 @@ def test_image_gate_and_logging_switch(spark):
     d = tempfile.mkdtemp(prefix="convlake-off-") + "/logs"
     LG.write_logs(spark.range(1).selectExpr("'s' AS session_id", "'2024-01-01T00:00:00Z' AS timestamp"), d, enabled=False)
     assert not os.path.exists(d)
+
+
+def test_export_noop_and_remote_leads(spark):
+    d = tempfile.mkdtemp(prefix="convlake-exp-")
+    empty = spark.createDataFrame([], "session_id string, timestamp string")
+    m = LG.export_bundle(empty, d + "/bundle", "2024-02-01 00:00:00").collect()[0]
+    assert m.total_conversations == 0 and not os.path.exists(d + "/bundle")
+    with open(os.path.join(d, "remote.json"), "w") as f:
+        f.write('{"company_name": "Co", "contact_name": "Ann", "email": "a@b.co", "status": "inbound_chat", '
+                '"metadata": "{\\"session_id\\": \\"s1\\"}", "created_at": "2024-01-01T00:00:00"}\n')
+    r = LS.read_leads(spark, os.path.join(d, "remote.json"), "remote").collect()[0]
+    assert (r.company_name, r.email, r.status) == ("Co", "a@b.co", "inbound_chat")
+
+
+def test_cross_ip_sessions_and_lead_window(spark):
+    from datetime import datetime
+
+    from convlake.operators import limits as LM
+    from convlake.operators import sequential as SQ
+    req = spark.createDataFrame([(0, "s1", "i1"), (1, "s1", "i2"), (2, "s2", "i1")], "req_id long, session_id string, ip string")
+    assert [r.session_id for r in SQ.cross_ip_sessions(req).collect()] == ["s1"]
+    leads = spark.createDataFrame([("ip", datetime(2024, 1, 1, 0, 0, 0)), ("ip", datetime(2024, 1, 1, 0, 0, 1)),
+                                   ("ip", datetime(2024, 1, 2, 0, 0, 0))], "ip_address string, ts timestamp_ntz")
+    # strictly later than as_of - 24 h: the lead exactly 24 h old does not count
+    assert LM.leads_per_ip(leads, "2024-01-02 00:00:00", 24).collect()[0].n_leads == 2
+    s = spark.createDataFrame([("abcdefghij", None, datetime(2024, 1, 1)), ("b", "T", datetime(2024, 1, 2))],
+                              "session_id string, title string, updated_at timestamp_ntz")
+    top = LM.list_sessions(s, limit=1).collect()
+    assert [(r.session_id, r.title) for r in top] == [("b", "T")]
+    assert LM.list_sessions(s).collect()[1].title == "Chat abcdefgh"
