@@ -53,14 +53,25 @@ def mask_emails(c: Column) -> Column:
     return F.regexp_replace(c, MARK_OPEN + "[^" + MARK_CLOSE + "]{1,2}" + MARK_CLOSE, "***")
 
 
+# Literal every match of each key pattern contains (a cheap gate before the regex).
+KEY_GATES = ["sk-", "gsk_", "AIza", "Bearer"]
+
+
 def redact(c: Column) -> Column:
-    """PII redaction: e-mails, then phones, then API keys. Null becomes ''."""
-    out = mask_emails(F.coalesce(c, F.lit("")))
+    """PII redaction: e-mails, then phones, then API keys. Null becomes ''.
+
+    The e-mail and key passes only run on texts containing '@' or the key's
+    literal prefix. The gates test the original column: no earlier rewrite can
+    create those substrings, so gating changes no result."""
+    t = F.coalesce(c, F.lit(""))
+    out = F.when(F.contains(t, F.lit("@")), mask_emails(t)).otherwise(t)
     for rx in PHONE_MASK_RX:
         out = F.regexp_replace(out, rx, "$1-***-****")
+    keys = out
     for rx in KEY_RX:
-        out = F.regexp_replace(out, rx, D.REDACTED_KEY.replace("$", "\\$"))
-    return out
+        keys = F.regexp_replace(keys, rx, D.REDACTED_KEY.replace("$", "\\$"))
+    any_gate = reduce(lambda a, b: a | b, [F.contains(t, F.lit(g)) for g in KEY_GATES])
+    return F.when(any_gate, keys).otherwise(out)
 
 
 def redaction_hits(c: Column) -> dict[str, Column]:
