@@ -91,7 +91,8 @@ def _first(c: Column, rx: str, group: int) -> Column:
 def extract_contacts(c: Column) -> dict[str, Column]:
     """First e-mail, phone, company and name in the text; null when absent."""
     return {
-        "email": _first(c, EMAIL_RX, 0),
+        # every e-mail match contains '@': texts without one skip that regex
+        "email": F.when(F.contains(c, F.lit("@")), _first(c, EMAIL_RX, 0)),
         "phone": _first(c, PHONE_RX, 0),
         "company_name": _first(c, COMPANY_RX, 1),
         "contact_name": _first(c, NAME_RX, 1),
