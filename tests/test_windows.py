@@ -197,3 +197,24 @@ def test_hot_key_is_split_across_partitions(spark):
     a = {r.id: r.n for r in sliding_count_sorted(df, "k", "us", "id", 700, "n", partitions=8).collect()}
     b = {r.id: r.n for r in sliding_count(df, ["k"], "us", 700, "n").collect()}
     assert a == b
+
+
+def test_same_timestamp_requests(spark):
+    r = _req(spark, [0, 10, 10, 20])
+    ol = {x.req_id: x.n_1m for x in LM.offered_load(r, {"n_1m": 60}).collect()}
+    assert ol == {0: 0, 1: 2, 2: 2, 3: 3}  # range frame: both same-time peers see each other
+    cd = {x.req_id: (x.gap_us, x.cooldown_hit) for x in LM.cooldown(r, 3).collect()}
+    assert cd[2] == (0, True) and cd[1] == (None, False)  # ordered by (time, id); gaps past the horizon are null
+
+
+def test_exact_quota_16th_17th_and_rejects_not_counted(spark):
+    from convlake.operators import sequential as SQ
+    times = [i * 10 for i in range(19)] + [3601]
+    r = _req(spark, times)
+    got = {x.req_id: x.admitted for x in SQ.hourly_quota_exact(r, limit=15, window_s=3600).collect()}
+    assert all(got[i] for i in range(16)) and not got[16] and not got[17] and not got[18]
+    # at 3601 s only 15 admitted requests (10 s .. 150 s) are younger than an hour: admitted,
+    # although 18 offered ones are (the rejected ones do not count)
+    assert got[19] is True
+    offered = {x.req_id: x.admitted for x in LM.hourly_quota(r, 15, 3600).collect()}
+    assert offered[19] is False
