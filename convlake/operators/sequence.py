@@ -361,31 +361,36 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
         last_t = r["last_t"]
 
     def mark(batches):
+        # Vectorised per batch; (key, time, session start, position) carry over
+        # from the previous batch or, for the first one, from the carry table.
         cur_k = cur_t = cur_start = None
         cur_n = 0
         for pdf in batches:
-            if not len(pdf):
+            m = len(pdf)
+            if not m:
                 continue
             pid = int(pdf["pid"].iloc[0])
             if cur_k is None and pid in carry:
                 cur_k, cur_t, cur_start, cur_n = carry[pid]
-            ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy()
-            m = len(pdf)
-            gaps = np.empty(m, dtype=object)
-            is_start = np.empty(m, dtype=bool)
-            sess = np.empty(m, dtype=np.int64)
-            seq = np.empty(m, dtype=np.int64)
-            for i in range(m):
-                k, t = ks[i], int(ts[i])
-                same = k == cur_k and cur_t is not None
-                gaps[i] = t - cur_t if same else None
-                st = not same or t - cur_t > gap_us
-                if st:
-                    cur_start, cur_n = t, 0
-                cur_n += 1
-                is_start[i], sess[i], seq[i] = st, cur_start, cur_n
-                cur_k, cur_t = k, t
-            yield pd.DataFrame({"rid": pdf["rid"], "gap_us": pd.array(list(gaps), dtype="Int64"), "is_start": is_start,
+            ks = pdf["k"].to_numpy(dtype=object)
+            ts = pdf["t"].to_numpy().astype(np.int64)
+            prev_k = np.empty(m, dtype=object)
+            prev_k[0], prev_k[1:] = cur_k, ks[:-1]
+            same = prev_k == ks
+            if cur_t is None:
+                same[0] = False
+            prev_t = np.r_[np.int64(cur_t if cur_t is not None else 0), ts[:-1]]
+            gap = ts - prev_t
+            start = ~same | (gap > gap_us)
+            pos = np.arange(m)
+            last = np.maximum.accumulate(np.where(start, pos, -1))
+            has = last >= 0
+            sess = np.where(has, ts[np.maximum(last, 0)], np.int64(cur_start if cur_start is not None else 0))
+            seq = np.where(has, pos - last + 1, cur_n + pos + 1)
+            gaps = pd.array(gap, dtype="Int64")
+            gaps[~same] = pd.NA
+            cur_k, cur_t, cur_start, cur_n = ks[-1], int(ts[-1]), int(sess[-1]), int(seq[-1])
+            yield pd.DataFrame({"rid": pdf["rid"], "gap_us": gaps, "is_start": start,
                                 "session_start_us": sess, "seq_in_session": seq})
 
     res = pts.mapInPandas(mark, "rid long, gap_us long, is_start boolean, session_start_us long, seq_in_session long")
