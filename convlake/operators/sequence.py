@@ -408,6 +408,7 @@ def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values
     partition exists only for its first key (at most one row per partition),
     resolved on the driver; pass 2 forward-fills each partition.
     """
+    import numpy as np
     import pandas as pd
 
     from convlake.session import cut_lineage
@@ -420,6 +421,7 @@ def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values
              .repartitionByRange(n, "k", "o", "rid").sortWithinPartitions("k", "o", "rid"))
     pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
     vcols = [f"v{i}" for i in range(len(vals))]
+    vals_names = [v + suffix for v in vals]
     vtypes = {f"v{i}": df.schema[v].dataType.simpleString() for i, v in enumerate(vals)}
 
     def summary(batches):
@@ -445,28 +447,42 @@ def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values
         lastv = [r[c] if r[c] is not None else lastv[i] for i, c in enumerate(vcols)]
 
     def fill(batches):
+        # Vectorised forward fill per batch, carrying the current key's last
+        # values across batches (or in from the carry table).
         cur_k, cur = None, [None] * len(vcols)
         for pdf in batches:
-            if not len(pdf):
+            m = len(pdf)
+            if not m:
                 continue
             pid = int(pdf["pid"].iloc[0])
             if cur_k is None and pid in carry:
                 cur_k, cur = carry[pid][0], list(carry[pid][1])
-            ks = pdf["k"].to_numpy()
-            cols = [pdf[c].tolist() for c in vcols]
-            outs = [[None] * len(pdf) for _ in vcols]
-            for i in range(len(pdf)):
-                if ks[i] != cur_k:
-                    cur_k, cur = ks[i], [None] * len(vcols)
-                for j in range(len(vcols)):
-                    v = cols[j][i]
-                    has = v is not None and v == v
-                    if inclusive and has:
-                        cur[j] = v
-                    outs[j][i] = cur[j]
-                    if not inclusive and has:
-                        cur[j] = v
-            yield pd.DataFrame({"rid": pdf["rid"], **{vals[j] + suffix: outs[j] for j in range(len(vcols))}})
+            ks = pdf["k"].to_numpy(dtype=object)
+            prev_k = np.empty(m, dtype=object)
+            prev_k[0], prev_k[1:] = cur_k, ks[:-1]
+            new_group = prev_k != ks
+            pos = np.arange(m)
+            gstart = np.maximum.accumulate(np.where(new_group, pos, -1))   # -1: still the carried key
+            out = {}
+            for j, c in enumerate(vcols):
+                vals = pdf[c].to_numpy(dtype=object)
+                valid = pd.notna(pdf[c]).to_numpy()
+                last_inc = np.maximum.accumulate(np.where(valid, pos, -1))
+                last = last_inc if inclusive else np.r_[-1, last_inc[:-1]]
+                own = gstart >= 0                                  # group started in this batch
+                ok = np.where(own, last >= gstart, last >= 0)     # a value inside the row's own group
+                res = np.empty(m, dtype=object)
+                res[ok] = vals[last[ok]]
+                res[~ok & ~own] = cur[j]                          # carried key, nothing newer yet
+                res[~ok & own] = None
+                out[vals_names[j]] = res
+                le = last_inc[-1]
+                if gstart[-1] >= 0:
+                    cur[j] = vals[le] if le >= gstart[-1] else None
+                elif le >= 0:
+                    cur[j] = vals[le]
+            cur_k = ks[-1]
+            yield pd.DataFrame({"rid": pdf["rid"], **out})
 
     res = pts.mapInPandas(fill, "rid " + df.schema[tiebreak].dataType.simpleString() + ", "
                           + ", ".join(f"{v}{suffix} {vtypes[f'v{j}']}" for j, v in enumerate(vals)))
