@@ -129,3 +129,12 @@ def test_cross_ip_sessions_and_lead_window(spark):
     top = LM.list_sessions(s, limit=1).collect()
     assert [(r.session_id, r.title) for r in top] == [("b", "T")]
     assert LM.list_sessions(s).collect()[1].title == "Chat abcdefgh"
+
+
+def test_spread_only_when_fewer_partitions_than_cores(spark):
+    from convlake.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(1000).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(1000).repartition(cores * 2)
+    assert spread(many) is many  # already parallel: untouched, no extra shuffle
