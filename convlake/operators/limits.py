@@ -1,9 +1,11 @@
 """Request-log analytics: sliding limits, sessions, caps, cache hits, retention.
 
 Requests are rows (req_id, ts, ip, session_id, brand, message, is_stream).
-Every per-key window is partitioned by (key, time bucket) with a halo of the
+Per-key windows are partitioned by (key, time bucket) with a halo of the
 window width (``sequence.time_buckets``), so a client sending a third of all
-requests is spread over many tasks.
+requests is spread over many tasks; when a client is dense even within one
+bucket, the ``auto`` plan switches to the range-partitioned sorted scans
+(``sequence.sliding_counts_sorted`` / ``sessionize_sorted``).
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.operators.sequence import (DENSE_ROWS, bucket_width, carry_last, densest_bucket, epoch_us,
-                                         prefix_count, prev_gap, sliding_counts)
+                                         prefix_count, prev_gap, sessionize_sorted, sliding_counts,
+                                         sliding_counts_sorted)
 
 US = 1_000_000
 
@@ -46,7 +49,6 @@ def offered_load_dense(reqs: DataFrame, windows: dict[str, int], key: str = "ip"
     """WIN-1 for keys that are dense within a window: same counts as
     ``offered_load`` through a range-partitioned global sort, so a client with
     any number of requests per window is split over many tasks."""
-    from convlake.operators.sequence import sliding_counts_sorted
     d = sliding_counts_sorted(with_us(reqs, ts), key, "_us", id_col, {k: v * US for k, v in windows.items()})
     for k in windows:
         d = d.withColumn(k, (F.col(k) - 1).cast("bigint"))
@@ -69,7 +71,6 @@ def cooldown(reqs: DataFrame, secs: int = 3, key: str = "session_id", ts: str =
         dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(secs * US)) > DENSE_ROWS
         plan = "sorted" if dense else "buckets"
     if plan == "sorted":
-        from convlake.operators.sequence import sessionize_sorted
         d = sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, secs * US)
         d = d.withColumn("gap_us", F.when(F.col("gap_us") <= secs * US, F.col("gap_us")))
         return (d.withColumn("cooldown_hit", F.coalesce(F.col("gap_us") < secs * US, F.lit(False)))
@@ -92,7 +93,6 @@ def sessionize(reqs: DataFrame, gap_s: int = 3600, key: str = "session_id", ts:
         dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(gap)) > DENSE_ROWS
         plan = "sorted" if dense else "buckets"
     if plan == "sorted":
-        from convlake.operators.sequence import sessionize_sorted
         return sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us", "gap_us", "seq_in_session")
     d = prev_gap(with_us(reqs, ts), [key], "_us", tiebreak, gap, "_gap", keep_bucket="_gb")
     d = d.withColumn("is_start", F.col("_gap").isNull()).withColumn(
@@ -108,7 +108,6 @@ def session_totals(reqs: DataFrame, cap: int = 50, idle_s: int = 3600, key: str
     gap = idle_s * US
     dense = densest_bucket(with_us(reqs, ts), [key], "_us", bucket_width(gap)) > DENSE_ROWS
     if dense:
-        from convlake.operators.sequence import sessionize_sorted
         s = sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us", "gap_us")
     else:
         s = with_us(sessionize(reqs, idle_s, key, ts, tiebreak, plan="buckets"), ts)
@@ -124,7 +123,6 @@ def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id",
     ns = with_us(reqs.filter(F.col(stream_col) == 0), ts)
     ttl = ttl_s * US
     if densest_bucket(ns, list(keys), "_us", bucket_width(ttl)) > DENSE_ROWS:
-        from convlake.operators.sequence import sessionize_sorted
         k = ns.withColumn("_ck", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
         d = sessionize_sorted(k, "_ck", "_us", tiebreak, ttl).withColumnRenamed("gap_us", "_gap") \
             .drop("_ck", "is_start", "session_start_us", "seq_in_session")
