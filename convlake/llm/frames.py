@@ -22,26 +22,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
-    """(texts, rows): ``texts`` has one row (_rid, text) per different document
-    row, ``rows`` is (_rid, _id) for every input row, or None where _rid is the id.
+def attach(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """``docs`` with a long column ``_rid``, and whether it is unique.
 
     ``_rid`` is the id itself when ids are unique and not null. Otherwise it
     numbers the different (id, text) pairs in the order null id first, id, text
     hash, so repeated rows share a number and get the same result.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    odd = (base.groupBy("_id").count().filter("count > 1 or _id is null").limit(1).count())
-    if not odd:
-        texts = base.select(F.col("_id").cast("long").alias(RID), "text")
-        return texts, None
-    tagged = base.withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256))
-    order = tagged.select("_id", "_h").distinct().orderBy(F.asc_nulls_first("_id"), "_h")
+    ids = docs.select(F.col(id_col).alias("_id"))
+    if not ids.groupBy("_id").count().filter("count > 1 or _id is null").limit(1).count():
+        return docs.withColumn(RID, F.col(id_col).cast("long")), True
+    tagged = docs.withColumn("_rid_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    order = (tagged.select(F.col(id_col).alias("_id"), F.col("_rid_h").alias("_h")).distinct()
+             .orderBy(F.asc_nulls_first("_id"), "_h"))
     numbers = (order.rdd.zipWithIndex().map(lambda p: (p[0][0], p[0][1], p[1]))
-               .toDF(f"n_id {base.schema['_id'].dataType.simpleString()}, n_h string, {RID} long"))
-    both = stored(tagged.join(numbers, F.col("_id").eqNullSafe(F.col("n_id")) & (F.col("_h") == F.col("n_h")))
-                  .select(RID, "_id", "text"), "keyed")
-    return both.dropDuplicates([RID]).select(RID, "text"), both.select(RID, "_id")
+               .toDF(f"_rid_id {ids.schema['_id'].dataType.simpleString()}, _rid_k string, {RID} long"))
+    joined = tagged.join(numbers, F.col(id_col).eqNullSafe(F.col("_rid_id")) & (F.col("_rid_h") == F.col("_rid_k")))
+    return stored(joined.drop("_rid_h", "_rid_id", "_rid_k"), "numbered"), False
+
+
+def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(texts, rows): ``texts`` has one row (_rid, text) for each different
+    document row; ``rows`` is (_rid, _id) for every input row, or None where _rid
+    is the id. See ``attach``."""
+    base, unique = attach(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text", "_id")
+    if unique:
+        return base.select(RID, "text"), None
+    return base.dropDuplicates([RID]).select(RID, "text"), base.select(RID, "_id")
 
 
 def record(schema: pa.Schema, *cols) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from convlake.llm import text as T
 from convlake.llm.components import components
-from convlake.llm.frames import RID, ints, keyed, record, runs, stored
+from convlake.llm.frames import RID, attach, ints, keyed, record, runs, stored
 
 SHINGLE = 4
 PERCENT = 85
@@ -307,3 +307,15 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return (rows.withColumn("copy", copy).join(out, RID).join(names, "component")
             .select(F.col("_id").alias(id_col), "n_shingles", "component_id",
                     ((F.col(RID) == F.col("component")) & (F.col("copy") == 1)).alias("is_first")))
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SHINGLE,
+                percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, once each."""
+    rows, unique = attach(docs, text_col, id_col)
+    texts = rows.select(RID, F.col(text_col).alias("text"))
+    members, links = similar_classes(texts if unique else texts.dropDuplicates([RID]), size, percent)
+    labels = components(links).withColumnsRenamed({"node": "cid"})
+    first = (members.join(labels, "cid", "left").filter(F.coalesce("component", "cid") == F.col(RID)).select(RID))
+    kept = rows.join(first, RID, "left_semi")
+    return (kept if unique else kept.dropDuplicates([RID])).select(*docs.columns)
