@@ -39,9 +39,11 @@ WITNESS, SINGLE, SHARED, REQUEST, SPAN = range(5)
 
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
-_ROW = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("tag", pa.int64()), (RID, pa.int64()),
-                  ("lo", pa.int64()), ("hi", pa.int64()), ("at", pa.int32())])
-_ROW_DDL = f"key long, kind byte, tag long, {RID} long, lo long, hi long, at int"
+#: Rows of the widest shuffle: shape packs length, anchor offset and kind.
+_ROW = pa.schema([("key", pa.int64()), ("tag", pa.int64()), (RID, pa.int64()), ("lo", pa.int64()), ("shape", pa.int64())])
+_ROW_DDL = f"key long, tag long, {RID} long, lo long, shape long"
+_OUT = pa.schema([("kind", pa.int8()), (RID, pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("at", pa.int32())])
+_OUT_DDL = f"kind byte, {RID} long, lo long, hi long, at int"
 _BLK = pa.schema([("key", pa.int64()), ("kind", pa.int8()), (RID, pa.int64()), ("lo", pa.int64()),
                   ("hi", pa.int64()), ("core", pa.int64()), ("mask", pa.int32()), ("context", pa.binary())])
 _BLK_DDL = f"key long, kind byte, {RID} long, lo long, hi long, core long, mask int, context binary"
@@ -116,7 +118,18 @@ def segments(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray,
     return row, s - off[row], e - s + 1, anchor - s, grams[anchor].view(np.int64), whole.view(np.int64)
 
 
+def _shape(length: np.ndarray, at: np.ndarray, kind) -> np.ndarray:
+    return (length << 20) | (at << 4) | kind
+
+
+def _unpacked(rid: np.ndarray, lo: np.ndarray, shape: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return record(_OUT, kind.astype(np.int8), rid, lo, lo + (shape >> 20), ((shape >> 4) & 0xFFFF).astype(np.int32))
+
+
 def _cut_segments(depth: int):
+    if depth > 60_000:
+        raise ValueError("depth must be at most 60000 bytes")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rids, data, off, shift in _pieces(ints(batch, RID), T.column(batch, "text"), depth):
@@ -130,58 +143,52 @@ def _cut_segments(depth: int):
                 rep = runs(key, tag)
                 group = np.cumsum(new) - 1
                 several = np.bincount(group, weights=rep)[group] > 1
-                hi = lo + n + depth - 1
-                kind = np.where(several, REQUEST, SINGLE)
+                length = n + depth - 1
                 spread = T.mix((rid * 1048573 + lo).astype(np.uint64)).view(np.int64)
+                shape = _shape(length, at, np.where(several, REQUEST, SINGLE))
                 r = np.flatnonzero(rep)
-                yield record(_ROW, np.where(several, spread, key)[r], kind[r].astype(np.int8), tag[r], rid[r], lo[r],
-                             hi[r], at[r].astype(np.int32))
+                yield record(_ROW, np.where(several, spread, key)[r], np.where(several, 0, tag)[r], rid[r], lo[r], shape[r])
                 w = np.flatnonzero(new & several)
                 zero = np.zeros(len(w), np.int64)
-                yield record(_ROW, key[w], np.full(len(w), WITNESS, np.int8), zero, zero, zero, zero, zero.astype(np.int32))
+                yield record(_ROW, key[w], zero, zero, zero, zero + WITNESS)
                 g = np.flatnonzero(~rep)
-                sr, sl, sh = merged(rid[g], lo[g], hi[g])
+                sr, sl, sh = merged(rid[g], lo[g], (lo + length)[g])
                 zero = np.zeros(len(sr), np.int64)
-                yield record(_ROW, T.mix(sr.astype(np.uint64)).view(np.int64), np.full(len(sr), SPAN, np.int8), zero, sr, sl, sh,
-                             zero.astype(np.int32))
+                yield record(_ROW, T.mix(sr.astype(np.uint64)).view(np.int64), zero, sr, sl, _shape(sh - sl, zero, SPAN))
     return run
 
 
 def _match_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, kind, tag, rid, lo). A segment equal to an earlier
-    one is a span; if an anchor has different segments, the first of each is a
-    request. Only the last row and its group's state pass to the next batch."""
+    """Rows sorted by (key, tag, rid, lo). A segment equal to an earlier one is a
+    span; if an anchor has different segments, or a slice's witness says so, the
+    first of each is a request. Only one row and its group's state pass to the
+    next batch."""
     carry, shared_before = None, False
     for batch in batches:
         cols = [ints(batch, f.name) for f in _ROW]
-        through = cols[1] >= REQUEST
+        kind = cols[4] & 15
+        through = kind >= REQUEST
         if through.any():
-            yield record(_ROW, *(c[through] for c in cols))
+            yield _unpacked(*(c[through] for c in cols[2:]), kind[through])
         cols = [c[~through] for c in cols]
         if not len(cols[0]):
             continue
         if carry is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(carry, cols)]
-        key, kind, tag = cols[0], cols[1], cols[2]
+        key, tag, rid, lo, shape = cols
+        kind = shape & 15
         new = runs(key)
-        rep = runs(key, kind, tag) & (kind == SINGLE)
+        rep = runs(key, tag, kind) & (kind == SINGLE)
         again = ~rep & (kind == SINGLE)
-        if carry is not None and shared_before:
+        if shared_before:
             rep[0] = again[0] = False  # passed on already
         group = np.cumsum(new) - 1
         several = (np.bincount(group, weights=rep) > 1) | (np.bincount(group, weights=kind == WITNESS) > 0)
-        if carry is not None and shared_before:
-            several[0] = True
-        ask = np.flatnonzero(rep & several[group])
-        if len(ask):
-            out = [c[ask] for c in cols]
-            out[1] = np.full(len(ask), REQUEST, np.int8)
-            yield record(_ROW, *out)
-        gone = np.flatnonzero(again)
-        if len(gone):
-            out = [c[gone] for c in cols]
-            out[1] = np.full(len(gone), SPAN, np.int8)
-            yield record(_ROW, *out)
+        several[0] |= shared_before
+        for mask, what in ((rep & several[group], REQUEST), (again, SPAN)):
+            i = np.flatnonzero(mask)
+            if len(i):
+                yield _unpacked(rid[i], lo[i], shape[i], np.full(len(i), what))
         shared_before = bool(several[-1])
         # of an open group with one segment so far, the first row is still pending
         keep = len(key) - 1 if shared_before else int(np.flatnonzero(new)[-1])
@@ -348,8 +355,7 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     texts = texts.select(RID, "text")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = stored(texts.mapInArrow(_cut_segments(depth), _ROW_DDL).repartition(n, "key")
-                   .sortWithinPartitions("key", "kind", "tag", RID, "lo")
-                   .mapInArrow(_match_segments, _ROW_DDL).select("kind", RID, "lo", "hi", "at"), "segments")
+                   .sortWithinPartitions("key", "tag", RID, "lo").mapInArrow(_match_segments, _OUT_DDL), "segments")
     asked = (first.filter(F.col("kind") == REQUEST).groupBy(RID)
              .agg(F.collect_list(F.struct("lo", "hi", "at")).alias("requests")))
     windows = (texts.join(asked, RID).mapInArrow(_cut_blocks(depth), _BLK_DDL).repartition(n, "key")
