@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from convlake.llm import decontaminate, jaccard_join, mixing, quality_rules, suffix_dedup
+from convlake.llm import (byte_cnn, decontaminate, html_text, jaccard_join, licenses, mixing, quality_rules, suffix_dedup,
+                          token_counts, url_rules)
 from convlake.sources.tables import load_table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(load_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(load_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
 
@@ -30,17 +39,34 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_report(load_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(load_table(spark, sf_dir, "documents"), model_path)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similar_groups(load_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the document it shows, whose label it takes."""
+    labels = load_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    out = url_rules.verdicts(load_table(spark, sf_dir, "pages"), labels)
+    return out.select("page_id", "host", "path", "rule", "verdict", "n_mined")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_mix_sources": op2_mix_sources,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_decontaminate": op5_decontaminate,
-    "op6_suffix_dedup": op6_suffix_dedup,
-    "op8_jaccard_join": op8_jaccard_join,
+    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_licenses, op4_quality_rules, op5_decontaminate, op6_suffix_dedup,
+                            op7_token_counts, op8_jaccard_join, op9_quality_classifier, op10_url_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle()}
