@@ -352,7 +352,7 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     if depth < ANCHOR + BLOCK + 2:
         raise ValueError(f"depth must be at least {ANCHOR + BLOCK + 2} bytes")
-    texts = texts.select(RID, "text")
+    texts = _dealt(texts)
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = stored(texts.mapInArrow(_cut_segments(depth), _ROW_DDL).repartition(n, "key")
                    .sortWithinPartitions("key", "tag", RID, "lo").mapInArrow(_match_segments, _OUT_DDL), "segments")
@@ -364,10 +364,15 @@ def repeated_spans(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return first.filter(F.col("kind") == SPAN).select(RID, "lo", "hi").unionByName(windows)
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """One form of the texts for both joins, so that Spark shuffles them once."""
+    return texts.select(RID, "text").filter(F.col(RID).isNotNull())
+
+
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(_rid, text, spans): spans of a row as an array, null if none."""
     per = spans.groupBy(RID).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(per, RID, "left")
+    return _dealt(texts).join(per, RID, "left")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], whole_chars: bool):
