@@ -38,6 +38,8 @@ SMALL = 32
 #: those that occur in several texts of one slice. Any table gives the same result.
 REPEATED = 1 << 18
 MIN_IN_SLICE = 3
+#: Ids (16 bytes each) that are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 ORDER_SALTS = (0x51A7, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _U = np.uint64
@@ -45,8 +47,10 @@ _PRO = pa.schema([("kind", pa.int8()), (RID, pa.int64()), ("n", pa.int64()), ("k
 _PRO_DDL = f"kind byte, {RID} long, n long, k1 long, k2 long"
 _PRE = pa.schema([("t", pa.int64()), (RID, pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 _PRE_DDL = f"t long, {RID} long, n long, pos long"
-_SET = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("whole", pa.binary()), ("p2", pa.binary()), ("p3", pa.binary())])
-_SET_DDL = "cid long, n long, whole binary, p2 binary, p3 binary"
+_SKETCH = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary())])
+_SKETCH_DDL = "cid long, n long, p2 binary, p3 binary"
+_SET = pa.schema([("cid", pa.int64()), ("whole", pa.binary())])
+_SET_DDL = "cid long, whole binary"
 
 
 def overlap_needed(a, b, percent: int):
@@ -152,24 +156,40 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         carry = [c[-1:] for c in cols]
 
 
-def _sets(size: int, percent: int):
-    """Whole sets, and their prefixes under orders 2 and 3 in that order."""
+def _sketches(size: int, percent: int):
+    """Prefixes under orders 2 and 3, as the upper halves of the ordering hashes:
+    equal tokens stay equal, and the order stays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = ints(batch, RID)
             for lo, hi, data, off in T.slices(T.column(batch, "text")):
                 sets = shingle_sets(data, off, size)
-                cols: list[list] = [[], [], []]
+                cols: list[list] = [[], []]
                 for s in sets:
-                    cols[0].append(s.tobytes())
-                    for c, salt in zip(cols[1:], ORDER_SALTS[1:]):
+                    for c, salt in zip(cols, ORDER_SALTS[1:]):
                         h = T.mix(s ^ _U(salt))
                         h.sort()
-                        c.append(h[: prefix_length(len(s), percent)].tobytes())
-                yield record(_SET, rid[lo:hi], np.array([len(s) for s in sets], np.int64), *(pa.array(c, pa.binary()) for c in cols))
+                        c.append((h[: prefix_length(len(s), percent)] >> _U(32)).astype(np.uint32).tobytes())
+                yield record(_SKETCH, rid[lo:hi], np.array([len(s) for s in sets], np.int64), *(pa.array(c, pa.binary()) for c in cols))
     return run
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid = ints(batch, RID)
+            for lo, hi, data, off in T.slices(T.column(batch, "text")):
+                yield record(_SET, rid[lo:hi], pa.array([s.tobytes() for s in shingle_sets(data, off, size)], pa.binary()))
+    return run
+
+
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (one column): by broadcast while the ids are few."""
+    ids = stored(ids.toDF(RID).distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, RID, "left_semi")
+
+
 def _orders_agree(percent: int):
     """Pairs whose prefixes, cut to the pair's sizes, meet under orders 2 and 3."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -183,9 +203,9 @@ def _orders_agree(percent: int):
                 pairs = zip(batch.column("a" + p).to_pylist(), batch.column("b" + p).to_pylist())
                 for i, (x, y) in enumerate(pairs):
                     if keep[i]:
-                        x = np.frombuffer(x, np.uint64)[: na[i] - need[i] + 1]
-                        y = np.frombuffer(y, np.uint64)[: nb[i] - need[i] + 1]
-                        keep[i] = np.isin(x, y, assume_unique=True).any()
+                        x = np.frombuffer(x, np.uint32)[: na[i] - need[i] + 1]
+                        y = np.frombuffer(y, np.uint32)[: nb[i] - need[i] + 1]
+                        keep[i] = np.isin(x, y).any()
             yield record(schema, ints(batch, "a")[keep], ints(batch, "b")[keep])
     return run
 
@@ -254,9 +274,9 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     stars = sides.join(lead, ["t", "p", "q", "side"]).filter("cid <> lead").select(
         F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
     first = stored(pairs.union(stars).distinct(), "pairs")
-    wanted = first.select("a").union(first.select("b")).union(sides.select("cid")).toDF(RID).distinct()
-    sets = stored(texts.join(wanted, RID, "left_semi").mapInArrow(_sets(size, percent), _SET_DDL), "sets")
-    links = stored(_links(first, sets, percent), "links")
+    wanted = first.select("a").union(first.select("b")).union(sides.select("cid"))
+    sketches = stored(_picked(texts, wanted).mapInArrow(_sketches(size, percent), _SKETCH_DDL), "sketches")
+    links = stored(_links(first, texts, sketches, size, percent), "links")
     # between components that share a long list, the pairs not compared yet
     labels = components(links)
     placed = sides.select("t", "p", "q", "side", "cid").join(
@@ -268,18 +288,19 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     rest = (u.join(v, F.expr("u.t = v.t and u.p = v.p and u.q = v.q and u.component <> v.component"))
             .select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
             .join(first, ["a", "b"], "left_anti"))
-    more = _links(rest, sets, percent)
-    return members, links.union(more)
+    return members, links.union(_links(rest, texts, sketches, size, percent))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of candidate pairs."""
-    def side(s: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("cid").alias(s), *(F.col(c).alias(s + c if c != "n" else "n" + s) for c in cols))
+def _links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """The linked ones of candidate pairs: the other orders' prefixes first, then
+    the whole sets of what is left."""
+    def side(s: str) -> DataFrame:
+        return sketches.select(F.col("cid").alias(s), F.col("n").alias("n" + s), F.col("p2").alias(s + "p2"), F.col("p3").alias(s + "p3"))
 
-    left = (pairs.join(side("a", "n", "p2", "p3"), "a").join(side("b", "n", "p2", "p3"), "b")
-            .select("a", "b", "na", "nb", "ap2", "bp2", "ap3", "bp3").mapInArrow(_orders_agree(percent), "a long, b long"))
-    return (left.join(side("a", "whole"), "a").join(side("b", "whole"), "b").select("a", "b", "awhole", "bwhole")
+    left = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ap2", "bp2", "ap3", "bp3")
+                  .mapInArrow(_orders_agree(percent), "a long, b long"), "agreed")
+    whole = stored(_picked(texts, left.select("a").union(left.select("b"))).mapInArrow(_sets(size), _SET_DDL), "sets")
+    return (left.join(whole.toDF("a", "awhole"), "a").join(whole.toDF("b", "bwhole"), "b").select("a", "b", "awhole", "bwhole")
             .mapInArrow(_verified(percent), "a long, b long"))
 
 
