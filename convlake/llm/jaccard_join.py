@@ -34,10 +34,10 @@ from convlake.llm.frames import RID, attach, ints, keyed, record, runs, stored
 SHINGLE = 4
 PERCENT = 85
 SMALL = 32
-#: Tokens whose order is learnt: at most so many (8 bytes each are broadcast), from
+#: Tokens whose order is learnt: at most so many (16 bytes each are broadcast), from
 #: those that occur in several texts of one slice. Any table gives the same result.
-REPEATED = 1 << 18
-MIN_IN_SLICE = 3
+REPEATED = 1 << 20
+MIN_IN_SLICE = 2
 #: Ids (16 bytes each) that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ORDER_SALTS = (0x51A7, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
