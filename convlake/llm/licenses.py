@@ -64,6 +64,22 @@ def bounds(n: int, percent: int) -> tuple[int, int]:
     return -((-percent * n) // (200 - percent)), (200 - percent) * n // percent
 
 
+def anchors(percent: int) -> list[str]:
+    """Words of which every matching unit holds one. For each template words are
+    taken, those in most bigrams first, until fewer bigrams are without them than
+    a match must share. Short words are taken last, as they occur inside others."""
+    out: set[str] = set()
+    for text in TEMPLATES.values():
+        free = [tuple(g.split()) for g in bigrams(text)]
+        need = -((-percent * (bounds(len(free), percent)[0] + len(free))) // 200)
+        while len(free) >= need:
+            words = sorted({w for g in free for w in g})
+            word = max(words, key=lambda w: (len(w) > 4 or w.isdigit(), sum(w in g for g in free), len(w)))
+            free = [g for g in free if word not in g]
+            out.add(word)
+    return sorted(out)
+
+
 def _templates(percent: int) -> Column:
     rows = []
     for name, text in TEMPLATES.items():
@@ -92,7 +108,12 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     fewest = min(bounds(len(bigrams(t)), percent)[0] for t in TEMPLATES.values())
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.array_distinct(F.flatten(F.array(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text))))
-    base = docs.select(F.col(id_col).alias("_id"), units.alias("units"))
+    word = f"(?<![a-z0-9])(?:{'|'.join(anchors(percent))})(?![a-z0-9])"
+
+    def hold(t: Column) -> Column:
+        return F.translate(t, UPPER, LOWER).rlike(word)
+
+    base = docs.select(F.col(id_col).alias("_id"), F.when(hold(text), F.filter(units, hold)).otherwise(F.array().cast("array<string>")).alias("units"))
     grams = base.select("_id", F.filter(F.transform("units", lambda u: _unit_grams(u, fewest)), lambda g: F.size(g) >= fewest).alias("grams"))
     tpl = _templates(percent)
 

@@ -101,15 +101,14 @@ def balance(sizes: DataFrame, targets: DataFrame, most: int = MAX_COPIES) -> Dat
 
 
 def _rounded(most: int):
-    """Copies of one group's documents, larger first: the error in tokens so far
-    decides between the two whole numbers around the rate."""
+    """Copies of one group's documents, larger first: each takes the whole number
+    that leaves the smallest error in tokens so far."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "tie", "n"], ascending=[False, True, True], kind="stable")
         copies = np.zeros(len(g), np.int64)
         error = 0.0
         for i, (size, rate) in enumerate(zip(g["size"].to_numpy(float), g["rate"].to_numpy(float))):
-            low = min(int(rate), most)
-            c = min(low + (error + (rate - low) * size >= size / 2), most) if rate > low else low
+            c = min(max(int(np.floor(error / size + rate + 0.5)), 0), most)
             error += (rate - c) * size
             copies[i] = c
         return pd.DataFrame({"n": g["n"], "copies": copies})
