@@ -45,12 +45,10 @@ def ustrip(c: Column) -> Column:
 
 
 def mask_emails(c: Column) -> Column:
-    # One scan marks every address exactly where a single left-to-right pass
-    # finds it; the two mask rules then only act inside the markers.
-    c = F.regexp_replace(c, EMAIL_MASK_RX, MARK_OPEN + "$1" + MARK_CLOSE + "@$2")
-    c = F.regexp_replace(c, MARK_OPEN + "([^" + MARK_CLOSE + "]{2})[^" + MARK_CLOSE + "]+" + MARK_CLOSE,
-                         "$1***")
-    return F.regexp_replace(c, MARK_OPEN + "[^" + MARK_CLOSE + "]{1,2}" + MARK_CLOSE, "***")
+    # One pass: a name of three characters or more keeps its first two, a
+    # shorter one keeps none (its group is then empty).
+    return F.regexp_replace(
+        c, r"(?:([a-zA-Z0-9._%+-]{2})[a-zA-Z0-9._%+-]+|[a-zA-Z0-9._%+-]{1,2})@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", "$1***@$2")
 
 
 # Literal every match of each key pattern contains (a cheap gate before the regex).

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from convlake.functions import dictionaries as D
 from convlake.operators.sequence import top_k_multi
 
-# A digest part is at least 6 characters plus a separator, so the newest 52
-# older parts always cover the 300 characters that are kept.
-DIGEST_PARTS = 52
+TAIL = 300
+
+
+def digest_parts(tail: int) -> int:
+    """Newest older parts that always cover ``tail`` characters: a part with its
+    separator has at least 6 (an empty role, one character of text)."""
+    return tail // 6 + 2
 
 
 def trim_history(msgs: DataFrame, session: str = "session_id", turn: str = "turn",
@@ -29,22 +33,23 @@ def trim_history(msgs: DataFrame, session: str = "session_id", turn: str = "turn
     return r.drop("_first", "_last")
 
 
-def _recent(msgs: DataFrame, session: str, turn: str, msg_id: str, content: str, keep: int) -> DataFrame:
+def _recent(msgs: DataFrame, session: str, turn: str, msg_id: str, content: str, keep: int,
+            tail: int = TAIL) -> DataFrame:
     """Survivors carrying ``_new`` (rank among all messages, newest first, <= keep)
-    and ``_ne`` (rank among non-empty messages, <= keep + DIGEST_PARTS)."""
+    and ``_ne`` (rank among non-empty messages, <= keep + digest_parts(tail))."""
     order = [F.col(turn).desc(), F.col(msg_id).desc()]
     nonempty = F.coalesce(F.length(content), F.lit(0)) > 0
-    return top_k_multi(msgs, [session], {"_new": (order, keep), "_ne": (order, keep + DIGEST_PARTS, nonempty)},
+    return top_k_multi(msgs, [session], {"_new": (order, keep), "_ne": (order, keep + digest_parts(tail), nonempty)},
                        salt_of=[msg_id])
 
 
 def _digest_of(recent: DataFrame, session: str, turn: str, msg_id: str, role: str, content: str,
                head: int, tail: int) -> DataFrame:
     """Digest per session from the survivors of ``_recent`` (at most
-    keep + keep + DIGEST_PARTS rows per session, so the window below is bounded)."""
+    keep + keep + digest_parts(tail) rows per session, so the window below is bounded)."""
     older = recent.filter(F.col("_new").isNull() & F.col("_ne").isNotNull())
     w = Window.partitionBy(session).orderBy(F.col(turn).desc(), F.col(msg_id).desc())
-    older = older.withColumn("_o", F.row_number().over(w)).filter(F.col("_o") <= DIGEST_PARTS)
+    older = older.withColumn("_o", F.row_number().over(w)).filter(F.col("_o") <= digest_parts(tail))
     part = F.concat(F.coalesce(F.col(role), F.lit("unknown")), F.lit(": "),
                     F.substring(F.col(content), 1, head), F.lit("..."))
     parts = older.groupBy(session).agg(
@@ -62,7 +67,7 @@ def digest(msgs: DataFrame, session: str = "session_id", turn: str = "turn", msg
     "{role}: {first 40 chars}..." for each non-empty one, joined by spaces, the
     last ``tail`` characters, wrapped "[History: ...]"; '' when nothing is older.
     """
-    recent = _recent(msgs, session, turn, msg_id, content, keep)
+    recent = _recent(msgs, session, turn, msg_id, content, keep, tail)
     parts = _digest_of(recent, session, turn, msg_id, role, content, head, tail)
     sessions = msgs.select(session).distinct()
     return sessions.join(parts, session, "left").select(session, F.coalesce("digest", F.lit("")).alias("digest"))
@@ -83,8 +88,8 @@ def model_context(msgs: DataFrame, session: str = "session_id", turn: str = "tur
     newest = recent.filter(F.col("_new").isNotNull())
     sys_first = F.min_by(F.col(content), F.when(F.col(role) == "system", F.struct(turn, msg_id)))
     ctx = newest.groupBy(session).agg(
-        sys_first.alias("_sys"),
-        F.sum(F.when(F.col(role) != "system", 1).otherwise(0)).cast("bigint").alias("n_context"))
+        F.nullif(sys_first, F.lit("")).alias("_sys"),
+        F.sum(F.when(~F.col(role).eqNullSafe("system"), 1).otherwise(0)).cast("bigint").alias("n_context"))
     dg = _digest_of(recent, session, turn, msg_id, role, content, 40, 300)
     memo = F.concat(F.lit(D.MEMORY_PREFIX), F.col("digest"))
     return (ctx.join(dg, session, "left")
@@ -97,14 +102,11 @@ def consolidate_system(msgs: DataFrame, session: str = "conv_id", turn: str = "t
     """AGG-7: sessions with more than one system message get them joined by
     newlines into one system message placed first (turn -1); single system
     messages stay where they are."""
-    is_sys = F.col(role) == "system"
-    n_sys = msgs.groupBy(session).agg(F.sum(F.when(is_sys, 1).otherwise(0)).alias("_ns"))
-    multi = n_sys.filter("_ns > 1").select(session)
-    sys_rows = msgs.filter(is_sys).join(multi, session, "left_semi")
-    merged = (sys_rows.groupBy(session)
-                      .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, content))),
-                                                    lambda x: x[content]), "\n").alias(content))
-                      .select(session, F.lit(-1).cast("bigint").alias(turn), F.lit("system").alias(role), content))
-    others = msgs.select(session, turn, role, content).join(
-        sys_rows.select(session, turn), [session, turn], "left_anti")
-    return others.unionByName(merged)
+    is_sys = F.coalesce(F.col(role) == "system", F.lit(False))
+    merged = (msgs.filter(is_sys).groupBy(session)
+                  .agg(F.array_sort(F.collect_list(F.struct(turn, content))).alias("_m"))
+                  .select(session, F.when(F.size("_m") > 1, F.lit(-1).cast("bigint")).otherwise(F.col("_m")[0][turn]).alias(turn),
+                          F.lit("system").alias(role),
+                          F.when(F.size("_m") > 1, F.array_join(F.transform("_m", lambda x: x[content]), "\n"))
+                           .otherwise(F.col("_m")[0][content]).alias(content)))
+    return msgs.filter(~is_sys).select(session, turn, role, content).unionByName(merged)

@@ -16,7 +16,7 @@ def read_leads(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """SRC-3: 'local' (table rows), 'csv' (header, ISO timestamps) or 'remote'
     (JSON/parquet rows of the remote shape) -> the unified lead schema."""
     if fmt == "csv":
-        d = spark.read.schema(S.LEAD_CSV).option("header", True).csv(path)
+        d = spark.read.schema(S.LEAD_CSV).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
         d = d.withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
         return _from_local(d)
     if fmt == "local":
@@ -45,13 +45,21 @@ def append_leads(leads: DataFrame, path: str, fmt: str = "parquet", name: str =
     if jdbc:
         ok.format("jdbc").options(**jdbc).save()
     else:
-        ok.format(fmt).save(path)
+        _dialect(ok.format(fmt), fmt).save(path)
     if rejected_path:
-        v.filter(~F.col("is_valid")).drop("is_valid").write.mode("append").format(fmt).save(rejected_path)
+        _dialect(v.filter(~F.col("is_valid")).drop("is_valid").write.mode("append").format(fmt), fmt).save(rejected_path)
+
+
+def _dialect(writer, fmt: str):
+    """CSV files carry a header each, and quotes inside a field are doubled."""
+    return writer.option("header", True).option("quote", '"').option("escape", '"') if fmt == "csv" else writer
 
 
 def append_leads_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):
-    """SNK-2 streaming writer: each micro-batch is a validated append (idempotent
-    per batch id thanks to the checkpoint)."""
-    return (stream.writeStream.option("checkpointLocation", checkpoint)
-                  .foreachBatch(lambda df, _id: append_leads(df, path, fmt)).start())
+    """SNK-2 streaming writer: each micro-batch writes its valid rows to its own
+    ``batch=<id>`` directory, so a replayed batch replaces itself."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        ok = valid_leads(df, "contact_name", "email").filter("is_valid").drop("is_valid")
+        _dialect(ok.write.mode("overwrite").format(fmt), fmt).save(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()

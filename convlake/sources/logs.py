@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,21 +45,19 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append", enabled: bool =
          .write.mode(mode).partitionBy("date").json(path))
 
 
-def read_logs(spark: SparkSession, path: str, quarantine_path: str | None = None) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, quarantine_path: str | None = None, multi_line: bool = False) -> DataFrame:
     """SRC-1: read every JSON log (one object per line/file) with a fixed schema.
 
-    Unreadable records are not dropped silently: with ``quarantine_path`` the
-    parse is persisted once (memory and disk), the corrupt records are written
-    there, and the good records are returned from the same parse.
+    ``multi_line`` reads files that hold one indented object each. With
+    ``quarantine_path`` the corrupt records are written there.
     """
     schema = S.CONVERSATION_LOG + ", stamp STRING, _corrupt STRING"
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    raw = (reader.option("multiLine", "true") if multi_line else reader).json(path)
     if quarantine_path:
-        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
-        raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "session_id") \
-           .write.mode("append").json(quarantine_path)
-    return raw.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+        raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "session_id").write.mode("append").json(quarantine_path)
+    # the second test is always true; it keeps a data column in the scan, as the corrupt column alone cannot be read
+    return raw.filter(F.col("_corrupt").isNull() & (F.coalesce(F.length("session_id"), F.lit(0)) >= 0)).drop("_corrupt")
 
 
 def list_logs(logs: DataFrame, limit: int | None = None) -> DataFrame:
@@ -71,9 +68,10 @@ def list_logs(logs: DataFrame, limit: int | None = None) -> DataFrame:
 
 def latest_logs(logs: DataFrame, session: str = "session_id", ts: str = "timestamp") -> DataFrame:
     """AGG-10: the latest snapshot per session. ``max_by`` over the row struct
-    merges partially (a session with many snapshots costs one row per task)."""
+    merges partially (a session with many snapshots costs one row per task).
+    Snapshots without a time come last; equal times go by the record itself."""
     cols = [c for c in logs.columns if c != session]
-    return (logs.groupBy(session).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r"))
+    return (logs.groupBy(session).agg(F.max_by(F.struct(*cols), F.struct(F.col(ts).isNotNull(), F.col(ts), F.to_json(F.struct(*cols)))).alias("_r"))
                 .select(session, *[F.col("_r")[c].alias(c) for c in cols]))
 
 
@@ -143,27 +141,39 @@ def merge_sessions_stream(updates: DataFrame, root: str, checkpoint: str):
     spark = updates.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        try:
-            base = read_latest_version(spark, root)
-        except Exception:  # noqa: BLE001 - first batch: nothing to merge with
-            base = None
-        merged = batch.drop("seq") if base is None else merge_sessions(base, batch)
+        base = _version_below(spark, root, batch_id + 1)
+        if base is None:
+            base = spark.createDataFrame([], batch.select("session_id", "history", "title", "updated_at").schema)
+        merged = merge_sessions(base, batch)
         write_version(merged.select("session_id", "history", "title", "updated_at"), root, batch_id + 1)
 
     return (updates.writeStream.option("checkpointLocation", checkpoint)
                    .foreachBatch(upsert).trigger(availableNow=True).start())
 
 
+def _version_below(spark: SparkSession, root: str, version: int) -> DataFrame | None:
+    """Newest complete version older than ``version``; None if there is none. Any
+    other failure is raised."""
+    done = [v for v in _complete_versions(spark, root) if int(v.removeprefix("v=")) < version]
+    return spark.read.parquet(f"{root}/{max(done)}") if done else None
+
+
 def read_latest_version(spark: SparkSession, root: str) -> DataFrame:
+    done = _complete_versions(spark, root)
+    if not done:
+        raise FileNotFoundError(f"no complete version under {root}")
+    return spark.read.parquet(f"{root}/{max(done)}")
+
+
+def _complete_versions(spark: SparkSession, root: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(conf)
-    done = [s.getPath().getName() for s in fs.listStatus(p)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)
             if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    if not done:
-        raise FileNotFoundError(f"no complete version under {root}")
-    return spark.read.parquet(f"{root}/{max(done)}")
 
 
 def tools_used(msgs: DataFrame, session: str, role: str, calls: str | None = None, name: str | None = None) -> DataFrame:
