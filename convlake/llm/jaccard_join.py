@@ -82,6 +82,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
+def slice_sets(arr: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end row, their sets) for slices of four times the usual bytes:
+    the sets are small, the hashing takes one usual slice at a time."""
+    for lo, hi, _, _ in T.slices(arr, 4 * T.SLICE_BYTES):
+        yield lo, hi, [s for _, _, data, off in T.slices(arr.slice(lo, hi - lo)) for s in shingle_sets(data, off, size)]
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     m = T.mix(s)
@@ -92,8 +99,7 @@ def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = ints(batch, RID)
-            for lo, hi, data, off in T.slices(T.column(batch, "text"), 4 * T.SLICE_BYTES):
-                sets = shingle_sets(data, off, size)
+            for lo, hi, sets in slice_sets(T.column(batch, "text"), size):
                 n = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
                 yield record(_PRO, np.zeros(hi - lo, np.int8), rid[lo:hi], n, keys[:, 0], keys[:, 1])
@@ -112,8 +118,7 @@ def _prefixes(size: int, percent: int, repeated):
         token, rank = repeated.value
         for batch in batches:
             rid = ints(batch, RID)
-            for lo, hi, data, off in T.slices(T.column(batch, "text"), 4 * T.SLICE_BYTES):
-                sets = shingle_sets(data, off, size)
+            for lo, hi, sets in slice_sets(T.column(batch, "text"), size):
                 done = set()
                 out: list[tuple[np.ndarray, int, int]] = []
                 for i in np.argsort(rid[lo:hi], kind="stable"):
