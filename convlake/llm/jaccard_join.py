@@ -40,6 +40,9 @@ REPEATED = 1 << 20
 MIN_IN_SLICE = 2
 #: Ids (16 bytes each) that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text hashed at once, and pairs compared at once: bounds of a worker's memory.
+HASH_BYTES = T.SLICE_BYTES // 4
+PAIRS = 256
 ORDER_SALTS = (0x51A7, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _U = np.uint64
@@ -84,9 +87,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarra
 
 def slice_sets(arr: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """(first row, end row, their sets) for slices of four times the usual bytes:
-    the sets are small, the hashing takes one usual slice at a time."""
+    the sets are small, the hashing takes ``HASH_BYTES`` at a time."""
     for lo, hi, _, _ in T.slices(arr, 4 * T.SLICE_BYTES):
-        yield lo, hi, [s for _, _, data, off in T.slices(arr.slice(lo, hi - lo)) for s in shingle_sets(data, off, size)]
+        yield lo, hi, [s for _, _, data, off in T.slices(arr.slice(lo, hi - lo), HASH_BYTES) for s in shingle_sets(data, off, size)]
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -167,7 +170,7 @@ def _sketches(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = ints(batch, RID)
-            for lo, hi, data, off in T.slices(T.column(batch, "text")):
+            for lo, hi, data, off in T.slices(T.column(batch, "text"), HASH_BYTES):
                 sets = shingle_sets(data, off, size)
                 cols: list[list] = [[], []]
                 for s in sets:
@@ -183,7 +186,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = ints(batch, RID)
-            for lo, hi, data, off in T.slices(T.column(batch, "text")):
+            for lo, hi, data, off in T.slices(T.column(batch, "text"), HASH_BYTES):
                 yield record(_SET, rid[lo:hi], pa.array([s.tobytes() for s in shingle_sets(data, off, size)], pa.binary()))
     return run
 
@@ -195,12 +198,18 @@ def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, RID, "left_semi")
 
 
+def _some_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PAIRS):
+            yield batch.slice(lo, PAIRS)
+
+
 def _orders_agree(percent: int):
     """Pairs whose prefixes, cut to the pair's sizes, meet under orders 2 and 3."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some_pairs(batches):
             na, nb = ints(batch, "na"), ints(batch, "nb")
             need = overlap_needed(na, nb, percent)
             keep = np.ones(batch.num_rows, bool)
@@ -219,7 +228,7 @@ def _verified(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some_pairs(batches):
             keep = []
             for x, y in zip(batch.column("awhole").to_pylist(), batch.column("bwhole").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -256,6 +265,7 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         texts.mapInArrow(_prefixes(size, percent, repeated), _PRE_DDL).repartition(parts, "t").sortWithinPartitions("t")
         .mapInArrow(_shared_tokens, _PRE_DDL).join(members.select(RID, "cid"), RID)
         .select("t", "cid", "n", "pos").distinct(), "postings")
+    repeated.unpersist()
     lists = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     listed = postings.join(lists, "t")
     # short lists: all pairs whose sizes and positions allow a link
