@@ -111,7 +111,8 @@ def session_totals(reqs: DataFrame, cap: int = 50, idle_s: int = 3600, key: str
         s = sessionize_sorted(with_us(reqs, ts), key, "_us", tiebreak, gap).drop("_us", "gap_us")
     else:
         s = with_us(sessionize(reqs, idle_s, key, ts, tiebreak, plan="buckets"), ts)
-        s = prefix_count(s, [key, "session_start_us"], "_us", tiebreak, bucket_width(gap), "seq_in_session").drop("_us")
+        s = prefix_count(s, [key, "session_start_us"], "_us", tiebreak, bucket_width(gap), "seq_in_session")
+        s = s.withColumn("seq_in_session", F.when(F.col("_us").isNull(), F.lit(1)).otherwise(F.col("seq_in_session")).cast("bigint")).drop("_us")
     return s.withColumn("within_cap", F.col("seq_in_session") <= cap)
 
 
@@ -119,8 +120,8 @@ def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id",
                 ts: str = "ts", tiebreak: str = "req_id", stream_col: str = "is_stream") -> DataFrame:
     """JOIN-3 (simple mode): a non-stream request is served from cache when the
     previous non-stream request with the same key is younger than ``ttl_s``.
-    The exact mode (a hit does not refresh the entry) is ``sequential.replay_cache``."""
-    ns = with_us(reqs.filter(F.col(stream_col) == 0), ts)
+    A null stream flag means no stream. The exact mode (a hit does not refresh the entry) is ``sequential.replay_cache``."""
+    ns = with_us(reqs.filter(~F.coalesce(F.col(stream_col).cast("boolean"), F.lit(False))), ts)
     ttl = ttl_s * US
     if densest_bucket(ns, list(keys), "_us", bucket_width(ttl)) > DENSE_ROWS:
         k = ns.withColumn("_ck", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))

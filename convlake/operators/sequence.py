@@ -16,16 +16,25 @@ here partitions by the bare key:
   the same results when a key is dense even within one bucket: a
   range-partitioned global sort bounds every task by row count, and the state
   carried between partitions is a table of at most one row per partition.
-  Only key, time and id columns are checkpointed between the passes.
+  The rows are checkpointed once with a number of their own, by which results
+  come back, so ids may be null, repeated or of any type; keys travel as text.
+
+A row without a time has no neighbours in any plan: its window holds itself only,
+it has no gap, and it is a session of its own with an unknown start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlake.session import cut_lineage
+
 DEFAULT_SALT = 64
 SALT_TARGET_ROWS = 5_000_000
 MAX_SALT = 1 << 20
@@ -129,7 +138,28 @@ def sliding_count(df: DataFrame, keys: Sequence[str], us: str, window_us: int, o
     bw = bucket_us or bucket_width(window_us)
     t = time_buckets(df, us, bw, window_us)
     w = Window.partitionBy(*keys, "_b").orderBy(F.col(us)).rangeBetween(-(window_us - 1), 0)
-    return t.withColumn(out, F.count(F.lit(1)).over(w)).filter("_own").drop("_b", "_own")
+    return t.withColumn(out, _timed(F.count(F.lit(1)).over(w), us)).filter("_own").drop("_b", "_own")
+
+
+def _timed(n: Column, us: str) -> Column:
+    """A window count, or 1 for a row without a time."""
+    return F.when(F.col(us).isNotNull(), n).otherwise(F.lit(1)).cast("bigint")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a unique ``_row``, checkpointed so that the numbers are fixed."""
+    return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _key_text(key: str) -> Column:
+    """Any key as text that is never null and differs where keys differ."""
+    return F.to_json(F.array(F.col(key).cast("string")))
+
+
+def _end_segments(new: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) of a batch's first and last key; ``new`` marks where keys begin."""
+    bounds = np.unique(np.r_[0, np.flatnonzero(new), len(new)])
+    return [(int(bounds[i]), int(bounds[i + 1])) for i in sorted({0, len(bounds) - 2})]
 
 
 DENSE_ROWS = 2_000_000
@@ -152,7 +182,7 @@ def sliding_counts(df: DataFrame, keys: Sequence[str], us: str, windows: dict[st
     t = time_buckets(df, us, bw, widest)
     for out, w_us in windows.items():
         w = Window.partitionBy(*keys, "_b").orderBy(F.col(us)).rangeBetween(-(w_us - 1), 0)
-        t = t.withColumn(out, F.count(F.lit(1)).over(w))
+        t = t.withColumn(out, _timed(F.count(F.lit(1)).over(w), us))
     return t.filter("_own").drop("_b", "_own")
 
 
@@ -239,16 +269,13 @@ def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows
     within partitions. A first pass counts data points per (partition, key);
     only the first key of a partition can continue from earlier partitions, so
     the carried-in counts form a table of at most one row per partition. A
-    second pass turns running counts into P for every query point.
+    second pass turns running counts into P for every query point. Counts need no
+    order among ties, so ``id_col`` may hold anything.
     """
-    import numpy as np
-    import pandas as pd
-
-    from convlake.session import cut_lineage
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(id_col).alias("rid"))
+    rows = _numbered(df)
+    base = rows.filter(F.col(us).isNotNull()).select(_key_text(key).alias("k"), F.col(us).cast("long").alias("t"), F.col("_row").alias("rid"))
     data = base.select("k", "t", F.lit(0).alias("kind"), "rid", F.lit(0).alias("tag"))
     pts = data.unionByName(base.select("k", "t", F.lit(1).alias("kind"), "rid", F.lit(1).alias("tag")))
     names = list(windows)
@@ -293,7 +320,8 @@ def sliding_counts_sorted(df: DataFrame, key: str, us: str, id_col: str, windows
     hi_p = F.max(F.when(F.col("tag") == 1, F.col("p")))
     res = pv.groupBy("rid").agg(*[(hi_p - F.max(F.when(F.col("tag") == 2 + i, F.col("p")))).alias(name)
                                   for i, name in enumerate(names)])
-    return df.join(res.withColumnRenamed("rid", id_col), id_col)
+    out = rows.join(res.withColumnRenamed("rid", "_row"), "_row", "left").drop("_row")
+    return out.withColumns({name: F.coalesce(name, F.lit(1)).cast("bigint") for name in names})
 
 
 def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int,
@@ -306,44 +334,45 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
     Rows are range-partitioned and sorted on (key, time, id), so every task
     holds a bounded slice even of a single dense key. Pass 1 summarises each
     (partition, key): first and last time, row count, the last session start
-    inside and the rows from it on. Only keys spanning several partitions need
-    carried-in state - at most two per partition - so that table is bounded and
+    inside and the rows from it on. Only the first and the last key of a partition
+    can span several, so that table has at most two rows per partition and is
     resolved in order on the driver. Pass 2 carries time, session start and
     position along each partition.
     """
-    import numpy as np
-    import pandas as pd
-
-    from convlake.session import cut_lineage
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pts = (df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(id_col).alias("rid"))
-             .repartitionByRange(n, "k", "t", "rid").sortWithinPartitions("k", "t", "rid"))
+    rows = _numbered(df)
+    pts = (rows.filter(F.col(us).isNotNull())
+               .select(_key_text(key).alias("k"), F.col(us).cast("long").alias("t"), F.col(id_col).alias("tb"), F.col("_row").alias("rid"))
+               .repartitionByRange(n, "k", "t", "tb", "rid").sortWithinPartitions("k", "t", "tb", "rid").drop("tb"))
     pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
 
     def summary(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
-        ks, ts = pdf["k"].to_numpy(), pdf["t"].to_numpy().astype(np.int64)
-        first = np.r_[True, ks[1:] != ks[:-1]]
-        start = (~first) & (np.r_[0, ts[1:] - ts[:-1]] > gap_us)
-        idx = np.arange(len(pdf))
-        loc = pd.DataFrame({"k": ks, "t": ts, "i": idx, "si": np.where(start, idx, -1)})
-        g = loc.groupby("k", sort=False).agg(first_t=("t", "min"), last_t=("t", "max"), n=("i", "size"),
-                                             last_i=("i", "max"), si=("si", "max")).reset_index()
-        has = g["si"].to_numpy() >= 0
-        last_int = np.where(has, ts[np.maximum(g["si"].to_numpy(), 0)], -1)
-        after = np.where(has, g["last_i"].to_numpy() - g["si"].to_numpy() + 1, -1)
-        yield pd.DataFrame({"pid": int(pdf["pid"].iloc[0]), "k": g["k"], "first_t": g["first_t"].astype("int64"),
-                            "last_t": g["last_t"].astype("int64"), "n": g["n"].astype("int64"),
-                            "last_int": last_int.astype("int64"), "after": after.astype("int64")})
+        # Only the first and the last key of a partition can span partitions.
+        first = cur = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ks, ts = pdf["k"].to_numpy(dtype=object), pdf["t"].to_numpy(dtype=np.int64)
+            new = np.r_[cur is None or ks[0] != cur["k"], ks[1:] != ks[:-1]]
+            opens = ~new & (ts - np.r_[cur["last_t"] if cur else 0, ts[:-1]] > gap_us)
+            for a, b in _end_segments(new):
+                if new[a]:
+                    first = first or cur
+                    cur = {"pid": int(pdf["pid"].iloc[0]), "k": ks[a], "first_t": int(ts[a]), "last_t": 0, "n": 0,
+                           "last_int": 0, "after": -1}
+                cur["n"] += b - a
+                cur["last_t"] = int(ts[b - 1])
+                at = np.flatnonzero(opens[a:b])
+                if len(at):
+                    cur["last_int"], cur["after"] = int(ts[a + at[-1]]), b - a - int(at[-1])
+                elif cur["after"] >= 0:
+                    cur["after"] += b - a
+        if cur:
+            yield pd.DataFrame([r for r in (first, cur) if r])
 
     summ = pts.mapInPandas(summary, "pid int, k string, first_t long, last_t long, n long, last_int long, after long")
-    multi = summ.groupBy("k").agg(F.count(F.lit(1)).alias("np")).filter("np > 1").select("k")
-    boundary = sorted(summ.join(multi, "k", "left_semi").collect(), key=lambda r: (r["k"], r["pid"]))
+    boundary = sorted(summ.collect(), key=lambda r: (r["k"], r["pid"]))   # at most two rows a partition
     carry: dict[int, tuple] = {}   # pid -> (key, last time, session start, rows of the session so far)
     prev_k = last_t = last_start = cnt = None
     for r in boundary:
@@ -352,7 +381,7 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
         else:
             carry[r["pid"]] = (r["k"], last_t, last_start, cnt)
         first_is_start = last_t is None or r["first_t"] - last_t > gap_us
-        if r["last_int"] >= 0 and r["after"] >= 0:
+        if r["after"] >= 0:
             last_start, cnt = r["last_int"], r["after"]
         elif first_is_start:
             last_start, cnt = r["first_t"], r["n"]
@@ -394,7 +423,8 @@ def sessionize_sorted(df: DataFrame, key: str, us: str, id_col: str, gap_us: int
                                 "session_start_us": sess, "seq_in_session": seq})
 
     res = pts.mapInPandas(mark, "rid long, gap_us long, is_start boolean, session_start_us long, seq_in_session long")
-    return df.join(res.withColumnRenamed("rid", id_col), id_col)
+    return (rows.join(res.withColumnRenamed("rid", "_row"), "_row", "left").drop("_row")
+                .withColumns({"is_start": F.coalesce("is_start", F.lit(True)), "seq_in_session": F.coalesce("seq_in_session", F.lit(1))}))
 
 
 def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values: Sequence[str],
@@ -408,35 +438,38 @@ def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values
     partition exists only for its first key (at most one row per partition),
     resolved on the driver; pass 2 forward-fills each partition.
     """
-    import numpy as np
-    import pandas as pd
-
-    from convlake.session import cut_lineage
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = list(values)
-    pts = (df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(tiebreak).alias("rid"),
-                     *[F.col(v).alias(f"v{i}") for i, v in enumerate(vals)])
-             .repartitionByRange(n, "k", "o", "rid").sortWithinPartitions("k", "o", "rid"))
-    pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
+    rows, vals = _numbered(df), list(values)
     vcols = [f"v{i}" for i in range(len(vals))]
-    vals_names = [v + suffix for v in vals]
-    vtypes = {f"v{i}": df.schema[v].dataType.simpleString() for i, v in enumerate(vals)}
+    pts = (rows.select(_key_text(key).alias("k"), F.col(order).alias("o"), F.col(tiebreak).alias("tb"), F.col("_row").alias("rid"),
+                       *[F.col(v).alias(c) for v, c in zip(vals, vcols)])
+               .repartitionByRange(n, "k", "o", "tb", "rid").sortWithinPartitions("k", "o", "tb", "rid").drop("o", "tb"))
+    pts = cut_lineage(pts.withColumn("pid", F.spark_partition_id()))
+    types = ", ".join(f"{c} {pts.schema[c].dataType.simpleString()}" for c in vcols)
 
     def summary(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts) if len(parts) > 1 else parts[0]
-        g = pdf.groupby("k", sort=False)[vcols].last().reset_index()   # last non-null per column
-        g.insert(0, "pid", int(pdf["pid"].iloc[0]))
-        yield g
-
-    summ = pts.mapInPandas(summary, "pid int, k " + df.schema[key].dataType.simpleString() + ", "
-                           + ", ".join(f"{c} {vtypes[c]}" for c in vcols))
-    multi = summ.groupBy("k").agg(F.count(F.lit(1)).alias("np")).filter("np > 1").select("k")
-    boundary = sorted(summ.join(multi, "k", "left_semi").collect(), key=lambda r: (r["k"], r["pid"]))
+        # Last value of each column for the first and the last key of a partition.
+        first = cur = schema = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ks, schema = b.column("k").to_numpy(zero_copy_only=False), b.schema
+            new = np.r_[cur is None or ks[0] != cur["k"], ks[1:] != ks[:-1]]
+            for lo, hi in _end_segments(new):
+                if new[lo]:
+                    first = first or cur
+                    cur = {"pid": b.column("pid")[0].as_py(), "k": ks[lo], **dict.fromkeys(vcols)}
+                for c in vcols:
+                    known = b.column(c).slice(lo, hi - lo).drop_null()
+                    if len(known):
+                        cur[c] = known[-1].as_py()
+        if cur:
+            recs = [r for r in (first, cur) if r]
+            names = ["pid", "k", *vcols]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in recs], schema.field(c).type) for c in names], names=names)
+
+    boundary = sorted(pts.mapInArrow(summary, "pid int, k string, " + types).toArrow().to_pylist(), key=lambda r: (r["k"], r["pid"]))
     carry: dict[int, tuple] = {}
     prev_k, lastv = None, None
     for r in boundary:
@@ -447,43 +480,35 @@ def carry_last_sorted(df: DataFrame, key: str, order: str, tiebreak: str, values
         lastv = [r[c] if r[c] is not None else lastv[i] for i, c in enumerate(vcols)]
 
     def fill(batches):
-        # Vectorised forward fill per batch, carrying the current key's last
-        # values across batches (or in from the carry table).
+        # Forward fill per Arrow batch by positions; the current key's last values
+        # come from the batch before or, for the first one, from the carry table.
         cur_k, cur = None, [None] * len(vcols)
-        for pdf in batches:
-            m = len(pdf)
+        for b in batches:
+            m = b.num_rows
             if not m:
                 continue
-            pid = int(pdf["pid"].iloc[0])
+            pid = b.column("pid")[0].as_py()
             if cur_k is None and pid in carry:
                 cur_k, cur = carry[pid][0], list(carry[pid][1])
-            ks = pdf["k"].to_numpy(dtype=object)
-            prev_k = np.empty(m, dtype=object)
-            prev_k[0], prev_k[1:] = cur_k, ks[:-1]
-            new_group = prev_k != ks
+            ks = b.column("k").to_numpy(zero_copy_only=False)
+            new = np.r_[cur_k is None or ks[0] != cur_k, ks[1:] != ks[:-1]]
             pos = np.arange(m)
-            gstart = np.maximum.accumulate(np.where(new_group, pos, -1))   # -1: still the carried key
-            out = {}
+            begin = np.maximum.accumulate(np.where(new, pos, -1))   # -1: still the carried key
+            out = [b.column("rid")]
             for j, c in enumerate(vcols):
-                vals = pdf[c].to_numpy(dtype=object)
-                valid = pd.notna(pdf[c]).to_numpy()
-                last_inc = np.maximum.accumulate(np.where(valid, pos, -1))
-                last = last_inc if inclusive else np.r_[-1, last_inc[:-1]]
-                own = gstart >= 0                                  # group started in this batch
-                ok = np.where(own, last >= gstart, last >= 0)     # a value inside the row's own group
-                res = np.empty(m, dtype=object)
-                res[ok] = vals[last[ok]]
-                res[~ok & ~own] = cur[j]                          # carried key, nothing newer yet
-                res[~ok & own] = None
-                out[vals_names[j]] = res
-                le = last_inc[-1]
-                if gstart[-1] >= 0:
-                    cur[j] = vals[le] if le >= gstart[-1] else None
-                elif le >= 0:
-                    cur[j] = vals[le]
+                col = b.column(c)
+                last = np.maximum.accumulate(np.where(col.is_valid().to_numpy(zero_copy_only=False), pos, -1))
+                at = last if inclusive else np.r_[-1, last[:-1]]
+                own = at >= np.maximum(begin, 0)
+                pick = pa.array(np.where(own, at + 1, 0), pa.int64(), mask=~own & (begin >= 0))
+                out.append(pa.concat_arrays([pa.array([cur[j]], col.type), col]).take(pick))   # 0 is the carried value
+                end = int(last[-1])
+                if end >= max(int(begin[-1]), 0):
+                    cur[j] = col[end].as_py()
+                elif begin[-1] >= 0:
+                    cur[j] = None
             cur_k = ks[-1]
-            yield pd.DataFrame({"rid": pdf["rid"], **out})
+            yield pa.RecordBatch.from_arrays(out, names=["_row", *vcols])
 
-    res = pts.mapInPandas(fill, "rid " + df.schema[tiebreak].dataType.simpleString() + ", "
-                          + ", ".join(f"{v}{suffix} {vtypes[f'v{j}']}" for j, v in enumerate(vals)))
-    return df.join(res.withColumnRenamed("rid", tiebreak), tiebreak)
+    res = pts.mapInArrow(fill, "_row long, " + types).withColumnsRenamed({c: v + suffix for v, c in zip(vals, vcols)})
+    return rows.join(res, "_row").drop("_row")

@@ -189,7 +189,7 @@ def replay_cache(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_
     whole cluster.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = (requests.filter(F.col(stream_col) == 0)
+    d = (requests.filter(~F.coalesce(F.col(stream_col).cast("boolean"), F.lit(False)))   # null: no stream
                  .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("_k"),
                          epoch_us(F.col("ts")).alias("_us")))
     sizes = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))

@@ -218,3 +218,50 @@ def test_exact_quota_16th_17th_and_rejects_not_counted(spark):
     assert got[19] is True
     offered = {x.req_id: x.admitted for x in LM.hourly_quota(r, 15, 3600).collect()}
     assert offered[19] is False
+
+
+def test_sorted_plans_equal_buckets_on_odd_rows(spark, monkeypatch):
+    """Null keys, null times, null and repeated ids, BIGINT and string keys and ids."""
+    def same(a, b):
+        cols = sorted(a.columns)
+        assert sorted(map(repr, map(tuple, a.select(cols).collect()))) == sorted(map(repr, map(tuple, b.select(cols).collect())))
+
+    rnd = random.Random(31)
+    for key, ident in (("bigint", "string"), ("string", "bigint")):
+        rows = []
+        for i in range(300):
+            k = rnd.choice([None, 2**60 + 1, 2**60 + 2, 7])
+            rid = rnd.choice([None, i, i // 2])
+            ts = None if i % 17 == 0 else T0 + timedelta(seconds=i * 11 - 2**31 * (i < 40))
+            rows.append((str(rid) if ident == "string" and rid is not None else rid, ts,
+                         str(k) if key == "string" and k is not None else k))
+        r = spark.createDataFrame(rows, f"req_id {ident}, ts timestamp_ntz, ip {key}")
+        same(LM.offered_load(r, {"n": 100}, plan="buckets"), LM.offered_load(r, {"n": 100}, plan="sorted"))
+        same(LM.sessionize(r, 30, "ip", plan="buckets"), LM.sessionize(r, 30, "ip", plan="sorted"))
+        same(LM.cooldown(r, 30, "ip", plan="buckets"), LM.cooldown(r, 30, "ip", plan="sorted"))
+        totals = LM.session_totals(r, 2, 30, "ip")
+        monkeypatch.setattr(LM, "DENSE_ROWS", 0)
+        same(totals, LM.session_totals(r, 2, 30, "ip"))
+        monkeypatch.undo()
+
+
+def test_carry_last_sorted_keeps_types(spark):
+    from convlake.operators.sequence import carry_last_sorted
+    rows = [(i, None if i % 5 == 0 else 2**60 + i % 2, None if i % 11 == 0 else i, None if i % 3 else 2**60 + i,
+             None if i % 4 else T0 + timedelta(seconds=i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, o long, v long, w timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        got = sorted(map(repr, map(tuple, carry_last_sorted(df, "k", "o", "id", ["v", "w"], partitions=5).select("id", "v_last", "w_last").collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(repr, map(tuple, carry_last(df, ["k"], "o", "id", ["v", "w"], 50).select("id", "v_last", "w_last").collect())))
+    assert got == want
+
+
+def test_null_stream_flag_is_no_stream(spark):
+    from convlake.operators import sequential as SQ
+    rows = [(i, T0 + timedelta(seconds=i), "s", "a", "m", f) for i, f in enumerate([None, 0, 1])]
+    r = spark.createDataFrame(rows, "req_id long, ts timestamp_ntz, session_id string, brand string, message string, is_stream long")
+    for got in (LM.mark_cached(r), SQ.replay_cache(r)):
+        assert {x.req_id: x.cached for x in got.collect()} == {0: False, 1: True}
