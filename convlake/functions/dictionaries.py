@@ -58,11 +58,6 @@ IMAGE_ERROR_RULES = [
 ]
 IMAGE_ERROR_DEFAULT = "other"
 
-# Model preference ranking and exclusions (TOP-3 defaults).
-MODEL_PREFERENCE = ["llama-3.3-70b", "gpt-oss-120b", "llama-4-maverick", "llama-4-scout",
-                    "kimi-k2", "qwen3", "gpt-oss-20b", "llama-3.1-8b"]
-MODEL_EXCLUDE = ["whisper", "guard", "tts", "playai", "orpheus", "compound", "distil"]
-
 # Location phrases tried before the gazetteer scan (lower-cased text).
 LOCATION_PHRASES = [
     r"i('m| am) (in|from|located in|based in) ([a-z\s,]+)",
@@ -71,23 +66,13 @@ LOCATION_PHRASES = [
     r"(in|around|near) ([a-z]+),?\s*(fl|florida)?",
 ]
 
-# Default gazetteer: region key -> (region label, cities); then out-of-area states.
+# Sample gazetteer: region key -> (region label, cities); then out-of-area states.
 GAZETTEER_REGIONS = [
-    ("north florida", "North Florida",
-     ["jacksonville", "st. augustine", "gainesville", "ocala", "palatka", "fernandina", "orange park"]),
-    ("central florida", "Central Florida",
-     ["orlando", "tampa", "lakeland", "daytona", "kissimmee", "sanford", "winter park"]),
-    ("south florida", "South Florida",
-     ["miami", "fort lauderdale", "west palm beach", "boca raton", "hollywood", "pompano"]),
-    ("florida panhandle", "the Florida Panhandle",
-     ["pensacola", "tallahassee", "panama city", "destin", "fort walton"]),
-    ("southwest florida", "Southwest Florida",
-     ["naples", "fort myers", "sarasota", "cape coral", "bradenton"]),
+    ("north shore", "North Shore", ["springfield", "riverton"]),
+    ("south shore", "South Shore", ["lakeside", "hill"]),
 ]
-GAZETTEER_STATE = "Florida"
-GAZETTEER_OTHER_STATES = [("georgia", "Georgia"), ("alabama", "Alabama"),
-                          ("south carolina", "South Carolina"), ("tennessee", "Tennessee"),
-                          ("texas", "Texas"), ("california", "California"), ("new york", "New York")]
+GAZETTEER_STATE = "Homeland"
+GAZETTEER_OTHER_STATES = [("westland", "Westland")]
 
 # Payload gate limits (bytes).
 PAYLOAD_MIN_BYTES = 1000

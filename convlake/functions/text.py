@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
 
-# Private-use marker characters used to confine the e-mail mask to one match.
-MARK_OPEN = "\uE000"
-MARK_CLOSE = "\uE001"
-
 # FIXED VALUES: redaction patterns, applied in this order.
 EMAIL_MASK_RX = r"([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 PHONE_MASK_RX = [

@@ -6,10 +6,13 @@ as a substring of the lower-cased text wins. Before that scan, location
 phrases ("i'm in ...", "here in ...") are tried in order; the text captured by
 the last matched group is searched for a city only.
 
-Plan by dictionary size (checked with a bounded count, never assumed):
+Plan by dictionary size (checked, never assumed):
   <= LITERAL_MAX terms  -> literal array + higher-order ``filter`` (narrow, no shuffle)
-  <= BROADCAST_MAX      -> broadcast nested-loop join + ``min_by`` per message
-  larger                -> anchor-gram equi-join (shuffle on the gram), exact
+  larger                -> equi-join of text slices with the terms on the first
+                           characters; the terms are broadcast when small in bytes
+
+Both plans answer per row, whatever the ids: a null text has no location, and
+an empty or null term never matches.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
+from convlake.operators.lookup import checked_broadcast
 from convlake.operators.sequence import DENSE_ROWS, carry_last, carry_last_sorted, densest_bucket
 
 LITERAL_MAX = 256
-BROADCAST_MAX = 200_000
+ANCHOR = 3
+BLOCK = 256
 HIT_FIELDS = ("kind", "city", "region", "state")
 GAZ_SCHEMA = "priority int, kind string, term string, city string, region string, state string"
 
@@ -41,7 +46,7 @@ def _phrase_texts(low: Column, phrases) -> list[Column]:
     return out
 
 
-def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text", msg_id: str = "msg_id",
+def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text",
                  phrases=D.LOCATION_PHRASES) -> DataFrame:
     """Adds loc_kind, loc_city, loc_region, loc_state (null when nothing matched)."""
     # One bounded read decides the literal plan: at most LITERAL_MAX + 1 small
@@ -49,8 +54,7 @@ def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text", msg_
     head = gazetteer.limit(LITERAL_MAX + 1).collect()
     if len(head) <= LITERAL_MAX:
         return _tag_literal(msgs, head, text, phrases)
-    n = gazetteer.limit(BROADCAST_MAX + 1).count()
-    return _tag_join(msgs, gazetteer, text, msg_id, phrases, broadcast=n <= BROADCAST_MAX)
+    return _tag_join(msgs, gazetteer, text, phrases)
 
 
 def _contained_in(t: Column):
@@ -58,7 +62,7 @@ def _contained_in(t: Column):
 
 
 def _tag_literal(msgs, gazetteer_rows, text, phrases):
-    rows = sorted(gazetteer_rows, key=lambda r: r["priority"])
+    rows = sorted((r for r in gazetteer_rows if r["term"]), key=lambda r: r["priority"])
     arr = F.array(*[F.struct(F.lit(r["term"]).alias("term"),
                              *[F.lit(r[f]).cast("string").alias(f) for f in HIT_FIELDS]) for r in rows])
     cities = F.filter(arr, lambda g: g["kind"] == "city")
@@ -70,42 +74,51 @@ def _tag_literal(msgs, gazetteer_rows, text, phrases):
         "*", *[F.col("_hit")[f].alias("loc_" + f) for f in HIT_FIELDS]).drop("_hit")
 
 
-def _slots(msgs, text, msg_id, phrases):
+def _slots(msgs: DataFrame, text: str, phrases) -> DataFrame:
+    """The texts to search, by (``_key``, slot): equal texts share their key."""
     low = F.lower(F.col(text))
     slots = [F.struct(F.lit(i).alias("slot"), t.alias("s")) for i, t in enumerate(_phrase_texts(low, phrases))]
     slots.append(F.struct(F.lit(len(phrases)).alias("slot"), low.alias("s")))
-    return (msgs.select(msg_id, F.explode(F.array(*slots)).alias("_x"))
-                .select(msg_id, "_x.slot", "_x.s").filter(F.col("s").isNotNull()))
-
-
-def _tag_join(msgs, gazetteer, text, msg_id, phrases, broadcast):
-    full_slot = len(phrases)
-    sl = _slots(msgs, text, msg_id, phrases)
-    g = gazetteer.select("priority", "term", *HIT_FIELDS)
-    kind_ok = (F.col("slot") == full_slot) | (F.col("kind") == "city")
-    if broadcast:
-        hits = sl.join(F.broadcast(g), F.contains(F.col("s"), F.col("term")) & kind_ok)
-    else:
-        hits = _gram_hits(sl, g, msg_id).filter(kind_ok)
-    best = hits.groupBy(msg_id).agg(
+    return (msgs.select("_key", F.explode(F.array(*slots)).alias("_x"))
+                .select("_key", "_x.slot", "_x.s").filter(F.length("s") > 0))
+
+
+def _tag_join(msgs: DataFrame, gazetteer: DataFrame, text: str, phrases, broadcast: bool | None = None) -> DataFrame:
+    """``broadcast``: None checks the size of the terms, True or False decides."""
+    g = gazetteer.select("priority", "term", *HIT_FIELDS).filter(F.length("term") > 0)
+    longest = g.agg(F.max(F.length("term"))).first()[0] or 1
+    keyed = msgs.withColumn("_key", F.sha2(F.col(text), 256))
+    hits = _gram_hits(_slots(keyed, text, phrases), g, longest, broadcast)
+    best = hits.filter((F.col("slot") == len(phrases)) | (F.col("kind") == "city")).groupBy("_key").agg(
         F.min_by(F.struct(*HIT_FIELDS), F.struct("slot", "priority")).alias("_hit"))
-    return msgs.join(best, msg_id, "left").select(
+    return keyed.join(best, "_key", "left").select(
         *msgs.columns, *[F.col("_hit")[f].alias("loc_" + f) for f in HIT_FIELDS])
 
 
-def _gram_hits(sl: DataFrame, g: DataFrame, msg_id: str) -> DataFrame:
-    """Exact substring join without a cross product: every term is anchored by
-    its first k<=3 characters, every text is cut into k-grams with positions,
-    the two are equi-joined on (k, gram) and the hit is verified in place."""
-    g = g.withColumn("_k", F.least(F.length("term"), F.lit(3))).withColumn("_a", F.expr("substring(term, 1, _k)"))
-    out = None
-    for k in (1, 2, 3):
-        grams = sl.select("*", F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("s") - k + 1, F.lit(1))))
-                          .alias("_i", "_pos")).withColumn("_a", F.expr(f"substring(s, _pos, {k})"))
-        j = grams.join(g.filter(F.col("_k") == k), "_a").filter(
-            F.expr("substring(s, _pos, length(term)) = term"))
-        out = j if out is None else out.unionByName(j)
-    return out.drop("_a", "_k", "_i", "_pos").dropDuplicates([msg_id, "slot", "priority"])
+def _gram_hits(sl: DataFrame, g: DataFrame, longest: int, broadcast: bool | None) -> DataFrame:
+    """Exact substring join without a cross product.
+
+    A text is cut into blocks, each with the start of what follows it, and a
+    block into one slice per position, as long as the longest term: bytes grow
+    with the text times that length. A term is anchored by its first ANCHOR
+    characters (all of a shorter one); slices meet terms on the anchor and the
+    rest of the term is compared in place. Broadcast terms need no shuffle."""
+    g = g.withColumn("_k", F.least(F.length("term"), F.lit(ANCHOR))).withColumn("_a", F.expr("left(term, _k)"))
+    if broadcast is None:
+        g = checked_broadcast(g)
+    elif broadcast:
+        g = F.broadcast(g)
+    size = max(BLOCK, longest)
+    blocks = sl.withColumn("_b", F.regexp_extract_all("s", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).select(
+        "_key", "slot", F.explode(F.transform("_b", lambda b, i: F.struct(
+            b.alias("b"), F.concat(b, F.coalesce(F.substring(F.get("_b", i + 1), 1, longest - 1), F.lit(""))).alias("t")))
+        ).alias("_x"))
+    at = F.explode(F.sequence(F.lit(1), F.length("_x.b"))).alias("_i")
+    slices = blocks.select("_key", "slot", "_x", at).select(
+        "_key", "slot", F.substring("_x.t", F.col("_i"), F.lit(longest)).alias("_s"))
+    sizes = F.array(*[F.struct(F.lit(k).alias("_k"), F.substring("_s", 1, k).alias("_a")) for k in range(1, ANCHOR + 1)])
+    grams = slices.select("_key", "slot", "_s", F.inline(sizes))
+    return grams.join(g, ["_k", "_a"]).filter(F.startswith("_s", "term"))
 
 
 def running_location(tagged: DataFrame, session: str = "session_id", turn: str = "turn",

@@ -10,12 +10,15 @@ from convlake import schemas as S
 from convlake.functions import dictionaries as D
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the dimension small;
-    otherwise the planner keeps a shuffle join (AQE may still broadcast)."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when one bounded read proves the dimension small in
+    rows and bytes; otherwise the planner keeps a shuffle join."""
+    row_bytes = F.octet_length(F.to_json(F.struct(*dim.columns)))
+    size = dim.select(row_bytes.alias("b")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(dim) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else dim
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: Column | str, dim_key: str, value: str, default: Column | str,

@@ -10,6 +10,9 @@ from __future__ import annotations
 from convlake.functions import dictionaries as D
 from convlake.functions import text as T
 
+# Private-use characters that confine the oracle's e-mail mask to one match.
+MARK_OPEN, MARK_CLOSE = "\uE000", "\uE001"
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -31,7 +34,7 @@ def mark(s: str) -> str:
     parts = []
     buf = ""
     for ch in s:
-        if ch in (T.MARK_OPEN, T.MARK_CLOSE):
+        if ch in (MARK_OPEN, MARK_CLOSE):
             if buf:
                 parts.append(q(buf)); buf = ""
             parts.append(f"chr({ord(ch)})")
@@ -47,7 +50,7 @@ def rx_replace(expr: str, rx: str, repl: str) -> str:
 
 
 def redact(expr: str) -> str:
-    o, c = T.MARK_OPEN, T.MARK_CLOSE
+    o, c = MARK_OPEN, MARK_CLOSE
     out = f"COALESCE({expr}, '')"
     out = rx_replace(out, T.EMAIL_MASK_RX, o + "$1" + c + "@$2")
     out = rx_replace(out, o + "([^" + c + "]{2})[^" + c + "]+" + c, "$1***")

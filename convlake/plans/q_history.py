@@ -91,17 +91,17 @@ def join1_tag_location(spark, sf):
 @register("join1_tag_location_broadcast", "JOIN-1", oracle=W("v_msg", "v_gaz").rstrip() + ",\n" + TAG_SQL
           + "\nSELECT msg_id, loc_kind, loc_city, loc_region, loc_state FROM tg")
 def join1_tag_location_broadcast(spark, sf):
-    """Same answer through the broadcast nested-loop plan (dictionary above the literal size)."""
+    """Same answer through the anchor equi-join with broadcast terms (dictionary above the literal size)."""
     m = view(spark, sf, "v_msg").select("msg_id", "text")
-    return G._tag_join(m, view(spark, sf, "v_gaz"), "text", "msg_id", D.LOCATION_PHRASES, broadcast=True).drop("text")
+    return G._tag_join(m, view(spark, sf, "v_gaz"), "text", D.LOCATION_PHRASES, broadcast=True).drop("text")
 
 
 @register("join1_tag_location_grams", "JOIN-1", oracle=W("v_msg", "v_gaz").rstrip() + ",\n" + TAG_SQL
           + "\nSELECT msg_id, loc_kind, loc_city, loc_region, loc_state FROM tg")
 def join1_tag_location_grams(spark, sf):
-    """Same answer through the anchor-gram equi-join (dictionary above the broadcast size)."""
+    """Same answer through the shuffled anchor equi-join (dictionary above the broadcast size)."""
     m = view(spark, sf, "v_msg").select("msg_id", "text")
-    return G._tag_join(m, view(spark, sf, "v_gaz"), "text", "msg_id", D.LOCATION_PHRASES, broadcast=False).drop("text")
+    return G._tag_join(m, view(spark, sf, "v_gaz"), "text", D.LOCATION_PHRASES, broadcast=False).drop("text")
 
 
 @register("win4_running_location", ("WIN-4", "JOIN-1"), oracle=W("v_msg", "v_gaz").rstrip() + ",\n" + TAG_SQL + """

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from convlake.functions import dictionaries as D
 from convlake.functions import text
-from convlake.operators import history
+from convlake.operators import geo, history
 from convlake.sources import leads, logs
 
 
@@ -59,3 +60,17 @@ def test_session_merge_replay(spark, tmp_path):
         q = logs.merge_sessions_stream(spark.readStream.schema(schema).parquet(src), root, str(tmp_path / run))
         q.awaitTermination(120)
         assert logs.read_latest_version(spark, root).count() == 1
+
+
+def test_location_plans_agree_per_row(spark):
+    terms = [(0, "city", "ab", "Ab", "R", "S"), (1, "region", "x" * 300, None, "Long", "S"), (2, "city", "q", "Q", "R", "S"),
+             (3, "state", "", None, None, "Empty"), (4, "state", None, None, None, "None"), (5, "region", "longer name", None, "L", "S")]
+    gaz = spark.createDataFrame(terms, geo.GAZ_SCHEMA)
+    texts = ["." * 254 + "longer name", "." * 255 + "Q", "z" + "x" * 300, "i'm in q or longer name", "", None, "x" * 299, "\n\U0001F600ab"]
+    msgs = spark.createDataFrame([(None if i % 3 == 0 else 7, t) for i, t in enumerate(texts * 2)], "msg_id long, text string")
+    want = sorted(geo.tag_location(msgs, gaz).collect(), key=repr)
+    for broadcast in (None, True, False):
+        got = geo._tag_join(msgs, gaz, "text", D.LOCATION_PHRASES, broadcast)
+        assert sorted(got.collect(), key=repr) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert [r.loc_kind for r in want].count("region") == 4
