@@ -16,6 +16,6 @@ LEAD_LOCAL = ("id BIGINT, name STRING, phone STRING, email STRING, service STRIN
 LEAD_CSV = ("timestamp STRING, name STRING, phone STRING, email STRING, service STRING, best_time STRING, "
             "details STRING, ip_address STRING")
 LEAD_METADATA = "STRUCT<session_id: STRING, client_ip: STRING, detected_at: STRING, raw_message: STRING>"
-SSE_EVENT = "type STRING, content STRING, response STRING, session_id STRING"
+SSE_EVENT = "type STRING, content STRING, response STRING, session_id STRING, image_url STRING"
 CHAT_REQUEST = ("req_id BIGINT, ts TIMESTAMP_NTZ, ip STRING, session_id STRING, brand STRING, message STRING, "
                 "is_stream BIGINT")

@@ -47,10 +47,20 @@ def parse_sse(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def assemble(events: DataFrame, keys: list[str], seq: str = "line_no") -> DataFrame:
-    """AGG-6: token contents concatenated in order per message; the ``done``
-    response (if any) alongside. One reply's tokens are one group."""
-    tok = F.when(F.col("type") == "token", F.struct(F.col(seq).alias("s"), F.col("content").alias("c")))
-    return events.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(tok)), lambda x: x["c"]), "").alias("assembled"),
-        F.max(F.when(F.col("type") == "done", F.col("response"))).alias("response"),
-        F.max(F.when(F.col("type") == "error", F.col("content"))).alias("error"))
+    """AGG-6: token contents concatenated in order per message, up to its first
+    ``done`` or ``error`` event; the final response (of a ``done`` or ``response``
+    event, if any), the error and the image addresses in order alongside. One
+    reply's tokens are one group."""
+    def of(kind: str, field: str):
+        return F.when(F.col("type") == kind, F.struct(F.col(seq).alias("s"), F.col(field).alias("c")))
+
+    got = events.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(of("token", "content"))).alias("_tok"),
+        F.min(F.when(F.col("type").isin("done", "error"), F.col(seq))).alias("_end"),
+        F.max(F.coalesce(F.when(F.col("type") == "done", F.col("response")),
+                         F.when(F.col("type") == "response", F.col("content")))).alias("response"),
+        F.max(F.when(F.col("type") == "error", F.col("content"))).alias("error"),
+        F.array_sort(F.collect_list(of("image", "image_url"))).alias("_img"))
+    before = F.filter("_tok", lambda x: F.col("_end").isNull() | (x["s"] < F.col("_end")))
+    return got.select(*keys, F.array_join(F.transform(before, lambda x: x["c"]), "").alias("assembled"), "response", "error",
+                      F.col("_img.c").alias("images"))

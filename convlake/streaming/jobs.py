@@ -153,7 +153,7 @@ class CacheProcessor(StatefulProcessor):
 
 def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
                     watermark: str = "10 minutes") -> DataFrame:
-    d = (_with_event_time(requests.filter(F.col("is_stream") == 0), "ts", watermark)
+    d = (_with_event_time(requests.filter(F.coalesce(F.col("is_stream"), F.lit(0)) == 0), "ts", watermark)
          .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("cache_key"),
                  epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time"))
     return d.groupBy("cache_key").transformWithStateInPandas(

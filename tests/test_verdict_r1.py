@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from convlake.functions import dictionaries as D
 from convlake.functions import text
 from convlake.operators import geo, history
-from convlake.sources import leads, logs
+from convlake.sources import leads, logs, sse
 
 
 def test_mask_emails_keeps_private_use_characters(spark):
@@ -74,3 +74,13 @@ def test_location_plans_agree_per_row(spark):
         assert sorted(got.collect(), key=repr) == want
         assert "NestedLoop" not in got._jdf.queryExecution().toString()
     assert [r.loc_kind for r in want].count("region") == 4
+
+
+def test_sse_images_responses_and_tokens_after_the_end(spark):
+    events = [{"type": "token", "content": "a "}, {"type": "image", "image_url": "u1"}, {"type": "token", "content": "b"},
+              {"type": "image", "image_url": "u2"}, {"type": "response", "content": "a b."}, {"type": "done"},
+              {"type": "token", "content": "late"}]
+    lines = [(1, i, "data: " + json.dumps(e)) for i, e in enumerate(events)] + [(2, 0, "data: " + json.dumps(events[0]))]
+    parsed = sse.parse_sse(spark.createDataFrame(lines, "k long, line_no long, value string"))
+    got = {r["k"]: tuple(r)[1:] for r in sse.assemble(parsed, ["k"]).collect()}
+    assert got == {1: ("a b", "a b.", None, ["u1", "u2"]), 2: ("a ", None, None, [])}
