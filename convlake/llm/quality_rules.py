@@ -1,23 +1,29 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule is a share computed from a whole text; a document is rejected if a
-rule's value exceeds its cutoff. Cutoffs come from labelled documents, one for
-each rule and stratum (language): among a fixed grid, those whose false rejection
-rate is certified below ``alpha / rules`` by an exact binomial (Clopper-Pearson)
-upper bound. The bounds hold together for all rules, strata and grid points with
-probability 1 - ``delta`` (Bonferroni), so a union bound limits the share of good
-documents that any rule of a stratum rejects to ``alpha``. Of the certified
-cutoffs the one with the most labelled rejects beyond its false ones is taken,
-and the most lenient of equals. Where nothing can be certified no rule applies.
+rule's value exceeds its cutoff. Cutoffs come from labelled documents, per stratum
+(language), as a plan: a cutoff of a fixed grid for each of some rules. A plan is
+certified by an exact binomial (Clopper-Pearson) upper bound on the share of good
+documents that any of its rules rejects. Plans are tested along fixed sequences,
+from the most lenient grid point to stricter ones up to the first that fails, so
+that the grid costs no confidence. The sequences of a stratum share its part of
+``delta``, as all strata do: half for all rules with one cutoff, a quarter for the
+smaller sets of rules with one cutoff (a rule that good documents often break
+holds up only the sets it is in), a quarter for each rule alone at ``alpha /
+rules``, whose cutoffs may differ and go together by a union bound. So with
+probability 1 - ``delta`` the rules reject at most the share ``alpha`` of any
+stratum's good documents. Of the certified plans the one with the most labelled
+rejects beyond its false ones is taken, and the most lenient of equals. Where
+nothing can be certified no rule applies.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,33 +142,71 @@ def certified(k: int, n: int, limit: float, level: float) -> bool:
     return n > 0 and k < limit * n and binomial_cdf(k, n, limit) <= level
 
 
+def strictest(over: np.ndarray, n: int, limit: float, level: float) -> int:
+    """The last certified point of the sequence from the end of the grid to its
+    start, ``over`` good values of n being above each; the grid's length if none."""
+    at = len(over)
+    while at and certified(int(over[at - 1]), n, limit, level):
+        at -= 1
+    return at
+
+
+def plan(steps: np.ndarray, counts: np.ndarray, good: np.ndarray, alpha: float, level: float) -> dict[int, int]:
+    """Rule number -> grid point of the best certified plan of a stratum, empty if
+    none. ``steps`` has for every row and rule how many grid points the value
+    exceeds, ``counts`` how many labelled documents are like the row."""
+    n, points, rules = int(counts[good].sum()), len(GRID), range(len(RULES))
+
+    def rejects(highest: np.ndarray, which: np.ndarray) -> np.ndarray:
+        seen = np.bincount(highest[which], counts[which], points + 1)
+        return np.rint(seen[::-1].cumsum()[::-1][1:]).astype(np.int64)
+
+    found: list[tuple[int, float, dict[int, int]]] = []
+    sets = [s for k in rules for s in itertools.combinations(rules, k + 1)]
+    for s in sets:
+        highest = steps[:, s].max(axis=1)
+        false = rejects(highest, good)
+        gain = rejects(highest, ~good) - false
+        share = level / 2 if len(s) == len(rules) else level / 4 / (len(sets) - 1)
+        found += [(int(gain[i]), GRID[i], dict.fromkeys(s, i)) for i in range(strictest(false, n, alpha, share), points)]
+    own = {}
+    for r in rules:
+        false = rejects(steps[:, r], good)
+        gain = rejects(steps[:, r], ~good) - false
+        ends = [(int(gain[i]), i) for i in range(strictest(false, n, alpha / len(rules), level / 4 / len(rules)), points)]
+        if ends and max(ends)[0] > 0:
+            own[r] = max(ends)[1]
+    if own:
+        hit = np.any([steps[:, r] > i for r, i in own.items()], axis=0)
+        found.append((int(counts[hit & ~good].sum() - counts[hit & good].sum()), min(GRID[i] for i in own.values()), own))
+    best = max(found, key=lambda f: (f[0], f[1], -len(f[2])), default=(0, 0.0, {}))
+    return best[2] if best[0] > 0 else {}
+
+
 def learn_cutoffs(labelled: DataFrame, stratum: str, label: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff): the certified cutoffs. ``labelled`` has the counts,
-    the stratum and the label (1 good, 0 bad; others are left out)."""
-    named = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(stratum).alias("stratum"), F.col(label).alias("good"),
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.expr(sql).alias("value")) for r, sql in RULES.items()))).alias("x"))
-    # how many good and bad values lie above each grid point
-    over = [F.sum(((F.col("x.value") > g) & (F.col("good") == v)).cast("long")).alias(f"over{v}_{i}")
-            for i, g in enumerate(GRID) for v in (0, 1)]
-    table = (named.groupBy("stratum", "x.rule").agg(F.sum((F.col("good") == 1).cast("long")).alias("n_good"), *over))
+    the stratum and the label (1 good, 0 bad; others are left out). A stratum's
+    task reads one row for each combination of passed grid points, however many
+    documents there are."""
+    names = [f"s{i}" for i in range(len(RULES))]
+    grid = "array(" + ", ".join(f"{g}D" for g in GRID) + ")"
+    table = (labelled.filter(F.col(label).isin(0, 1))
+             .select(F.col(stratum).alias("stratum"), F.col(label).cast("int").alias("good"),
+                     *(F.expr(f"size(filter({grid}, g -> coalesce({sql} > g, false)))").alias(s) for s, sql in zip(names, RULES.values())))
+             .groupBy("stratum", "good", *names).agg(F.count(F.lit(1)).alias("n")))
     n_strata = labelled.select(stratum).distinct().count()
-    level = delta / max(1, n_strata * len(RULES) * len(GRID))
-    limit = alpha / len(RULES)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in frames:
-            out = []
-            for r in t.to_dict("records"):
-                n = int(r["n_good"] or 0)
-                found = [(int(r[f"over0_{i}"] or 0) - int(r[f"over1_{i}"] or 0), g) for i, g in enumerate(GRID)
-                         if certified(int(r[f"over1_{i}"] or 0), n, limit, level)]
-                if found and max(found)[0] > 0:
-                    out.append((r["stratum"], r["rule"], max(found)[1]))
-            yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
+    level = delta / max(1, n_strata)
+
+    def best(t: pa.Table) -> pa.Table:
+        counts = [t.column(c).to_numpy() for c in (*names, "n", "good")]
+        got = plan(np.column_stack(counts[:-2]), counts[-2], counts[-1] == 1, alpha, level)
+        rules = list(RULES)
+        of = t.column("stratum").take(pa.array([0] * len(got), pa.int64()))
+        return pa.table({"stratum": of, "rule": pa.array([rules[r] for r in got], pa.string()),
+                         "cutoff": pa.array([GRID[i] for i in got.values()], pa.float64())})
 
     kind = labelled.schema[stratum].dataType.simpleString()
-    return table.mapInPandas(best, f"stratum {kind}, rule string, cutoff double")
+    return table.groupBy("stratum").applyInArrow(best, f"stratum {kind}, rule string, cutoff double")
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

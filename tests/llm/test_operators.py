@@ -131,6 +131,30 @@ def test_rule_cuts_only_what_is_certified(spark):
     assert all(r.kept == (i % 10 != 0) for i, r in got.items())
 
 
+def test_rules_of_small_strata(spark):
+    # 150 good labels without a language, 300 a language; in "d" many good texts repeat one line
+    rows = [(i, " ".join(f"word{k}" if i % 6 else f"w##{k}#" for k in range(30)), None if i < 180 else "abcd"[i // 6 % 4]) for i in range(1620)]
+    rows = [(i, t + "\nsame" * 12 if g == "d" and i % 6 in (1, 2) else t, g) for i, t, g in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(1620)], "doc_id long, quality int")
+    got = by_id(quality_rules.quality_verdicts(df, labels))
+    assert all(r.kept == (i % 6 != 0) and not r.base_failed for i, r in got.items())
+
+
+def test_plan_is_certified():
+    rng = np.random.default_rng(3)
+    steps = rng.integers(0, 13, (400, 5)) * (rng.random((400, 5)) < 0.3)
+    good = np.arange(400) % 2 == 0
+    counts = rng.integers(1, 4, 400)
+    # all rules together, sets of them and each alone reject too many good ones
+    assert quality_rules.plan(steps, counts, good, 0.05, 0.05) == {}
+    steps[good, 2:4] = 0
+    got = quality_rules.plan(steps, counts, good, 0.05, 0.05)
+    assert got == {2: 0, 3: 0}
+    assert quality_rules.plan(steps[:60], counts[:60] * 0 + 1, good[:60], 0.05, 0.05) == {}
+    assert quality_rules.plan(steps[:0], counts[:0], good[:0], 0.05, 0.05) == {}
+
+
 def test_mixture(docs):
     got = mixing.mixture(docs).collect()
     size = collections.Counter()
