@@ -4,8 +4,12 @@ Units of a text are its lines, its paragraphs and the whole. A unit is normalise
 (ASCII letters lowered, all but letters and digits a space) and compared with
 each template whose number of different bigrams is near enough: with a share of
 at least s, the sizes differ at most by the factor (2 - s) / s, and a template
-outside that bound is not looked at. The templates are a fixed small table, so
-the scan is one pass without a shuffle.
+outside that bound is not looked at. A template that no unit matches is also
+compared with every stretch of the text that starts at one of its bigrams and is
+as long as the template, over the ends of sentences, lines and paragraphs, so
+that a notice of several paragraphs in a longer text and a statement inside a
+line are found. The templates are a fixed small table, so the scan is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -54,9 +58,13 @@ TEMPLATES = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bigrams(text: str) -> list[str]:
+def pairs(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def bigrams(text: str) -> list[str]:
+    return sorted(set(pairs(text)))
 
 
 def bounds(n: int, percent: int) -> tuple[int, int]:
@@ -86,21 +94,32 @@ def _templates(percent: int) -> Column:
         grams = bigrams(text)
         lo, hi = bounds(len(grams), percent)
         rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n"),
-                             F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
+                             F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(len(pairs(text))).alias("length")))
     return F.array(*rows)
 
 
-def _unit_grams(unit: Column, fewest: int) -> Column:
+def _pairs(unit: Column, fewest: int) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+    found = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
                        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > fewest, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) > fewest, found).otherwise(F.array().cast("array<string>"))
+
+
+def _unit_grams(unit: Column, fewest: int) -> Column:
+    return F.array_distinct(_pairs(unit, fewest))
+
+
+def _match(g: Column, t: Column, percent: int) -> Column:
+    return F.struct(
+        (F.size(F.array_intersect(g, t["grams"])) * 2 / (F.size(g) + t["n"])).alias("dice"),
+        (F.size(F.array_intersect(g, t["grams"])) * 200 >= (F.size(g) + t["n"]) * percent).alias("ok"), t["name"].alias("name"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(id, n_matches, licenses, best, dice) of every row: matching (unit,
     template) pairs, the templates found (sorted, comma-joined), and the best one
-    (ties by name) with its coefficient; null, if nothing matches.
+    (ties by name) with its coefficient; null, if nothing matches. A template
+    found only in stretches of the text counts once, with its best stretch.
 
     A text that is one line is one unit. Null and empty texts match nothing.
     Repeated rows agree. Other columns are ignored.
@@ -113,18 +132,27 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
     def hold(t: Column) -> Column:
         return F.translate(t, UPPER, LOWER).rlike(word)
 
-    base = docs.select(F.col(id_col).alias("_id"), F.when(hold(text), F.filter(units, hold)).otherwise(F.array().cast("array<string>")).alias("units"))
-    grams = base.select("_id", F.filter(F.transform("units", lambda u: _unit_grams(u, fewest)), lambda g: F.size(g) >= fewest).alias("grams"))
+    none = F.array().cast("array<string>")
+    base = docs.select(F.col(id_col).alias("_id"), F.when(hold(text), F.filter(units, hold)).otherwise(none).alias("units"),
+                       F.when(hold(text), _pairs(text, fewest)).otherwise(none).alias("pairs"))
+    grams = base.select("_id", "pairs", F.filter(F.transform("units", lambda u: _unit_grams(u, fewest)), lambda g: F.size(g) >= fewest).alias("grams"))
     tpl = _templates(percent)
 
     def matches(g: Column) -> Column:
         near = F.filter(tpl, lambda t: (F.size(g) >= t["lo"]) & (F.size(g) <= t["hi"]))
-        both = F.transform(near, lambda t: F.struct(
-            (F.size(F.array_intersect(g, t["grams"])) * 2 / (F.size(g) + t["n"])).alias("dice"),
-            (F.size(F.array_intersect(g, t["grams"])) * 200 >= (F.size(g) + t["n"]) * percent).alias("ok"), t["name"].alias("name")))
-        return F.filter(both, lambda m: m["ok"])
-
-    found = grams.select("_id", F.flatten(F.transform("grams", matches)).alias("found"))
+        return F.filter(F.transform(near, lambda t: _match(g, t, percent)), lambda m: m["ok"])
+
+    def stretches(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("pairs")), lambda i: F.array_contains(t["grams"], F.element_at(F.col("pairs"), i)))
+        runs = F.transform(starts, lambda i: F.array_distinct(F.slice(F.col("pairs"), i, t["length"])))
+        return F.array_max(F.filter(F.transform(runs, lambda g: _match(g, t, percent)), lambda m: m["ok"]))
+
+    by_unit = grams.select("_id", "pairs", F.flatten(F.transform("grams", matches)).alias("found"))
+    # the templates without a match of which a stretch of the text can hold enough
+    left = by_unit.select("_id", "pairs", "found", F.when(F.size("pairs") >= fewest, F.filter(tpl, lambda t: (
+        ~F.exists("found", lambda m: m["name"] == t["name"]) & (F.size(F.array_intersect(F.col("pairs"), t["grams"])) >= t["lo"])))).alias("left"))
+    found = left.select("_id", F.when(F.size("left") > 0, F.concat("found", F.filter(F.transform("left", stretches), lambda m: m.isNotNull())))
+                        .otherwise(F.col("found")).alias("found"))
     best = F.array_max(F.transform("found", lambda m: m["dice"]))
     return found.withColumn("dice", best).select(
         F.col("_id").alias(id_col), F.size("found").cast("long").alias("n_matches"),
@@ -133,7 +161,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percen
 
 
 def oracle(percent: int = PERCENT) -> str:
-    """The scan of ``documents`` in DuckDB SQL."""
+    """The scan of the units of ``documents`` in DuckDB SQL; it has no stretches."""
     rows = []
     for name, text in TEMPLATES.items():
         grams = bigrams(text)

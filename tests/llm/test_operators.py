@@ -249,6 +249,26 @@ def test_licences(spark):
     assert [got[i].best for i in range(5)] == ["MIT", "CC-BY-NC-4.0", None, None, "MIT-text"]
 
 
+def test_licences_in_longer_texts(spark):
+    other = "\n\n".join(f"Paragraph {k} says {k * 7} other things about matter {k}." for k in range(10))
+    gpl = licenses.TEMPLATES["GPL-3.0-notice"].replace(" This program is dist", "\n\n  This program is dist") + (
+        "\n\n  You should have received a copy of the GNU General Public License\n  along with this program. If not, see <x>.\n\n")
+    apache = "".join(f"# {x}\n" for x in licenses.TEMPLATES["Apache-2.0-notice"].replace("; you", ";\nyou").replace("LICENSE-2.0 ", "LICENSE-2.0\n\n").split("\n"))
+    texts = [gpl + other, "# Copyright 2020 X\n#\n" + apache + "\n" + other, "This project is released under the MIT License.",
+             "Code is available under the Apache License, Version 2.0.", "One sentence. Released under the MIT License. And one more here.",
+             other, "the mit license under released", "Permission is hereby granted to the Software License."]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].best for i in range(8)] == ["GPL-3.0-notice", "Apache-2.0-notice", "MIT", "Apache-2.0", "MIT", None, None, None]
+    # brute force: all stretches from a bigram of the template on
+    for i, t in enumerate(texts):
+        seq = licenses.pairs(t)
+        for name, x in licenses.TEMPLATES.items():
+            g, size = set(licenses.bigrams(x)), len(licenses.pairs(x))
+            runs = [set(seq[k: k + size]) for k in range(len(seq)) if seq[k] in g]
+            if any(200 * len(r & g) >= 80 * (len(r) + len(g)) for r in runs):
+                assert name in got[i].licenses.split(",")
+
+
 def test_classifier_holds_out(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("".join(rng.choice("abcdefg") for _ in range(5)) + ("%%%" if i % 4 == 0 else "") for _ in range(60))) for i in range(300)]
