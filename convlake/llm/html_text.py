@@ -3,10 +3,12 @@
 The standard library's streaming parser reports tags and text. Blocks (the
 page's lines) collect text up to the next block tag; each gets the ratio of its
 text to its tags, the ratios are smoothed over neighbouring blocks with a
-Gaussian, and the blocks above one standard deviation are content. The article
-or main element with the most content is the page's text, whole and in order;
-pages without such an element give the region from the first to the last content
-block. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and
+Gaussian, and the blocks above one standard deviation are content. Ratios are
+capped before, so that one long paragraph does not raise the bound for all. Where
+a page has article or main elements with text, they override the ratios: their
+text, that of main around its articles and of all articles, is the page's text,
+whole and in order. Other pages give the region from the first to the last
+content block and all blocks in the same parent elements as content. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and
 reader comments are recognised by element, class, id and role, and never count.
 """
 
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
+#: A ratio counts as at most this, or as MEDIANS times the page's median if that is more.
+CAP, MEDIANS = 1000.0, 10.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody "
@@ -40,13 +44,14 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, container number or -1, linked characters) of every
-    block outside boilerplate, in page order."""
+    """Collects (text, tags, container number or -1, linked characters, number of
+    the parent element or -1) of every block outside boilerplate, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate, container
-        self.blocks: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, container, number
+        self.blocks: list[tuple[str, int, int, int, int]] = []
+        self.seen = 0
         self.kinds: list[str] = []
         self.text: list[str] = []
         self.tags = 0
@@ -56,11 +61,18 @@ class Blocks(HTMLParser):
     def _state(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, -1)
 
+    def _parent(self) -> int:
+        """The element around the innermost open block."""
+        around = [(t, i) for t, _, _, i in self.open if t in BLOCKS or t == "body"]
+        if around and around[-1][0] != "body":
+            around.pop()
+        return around[-1][1] if around else -1
+
     def flush_block(self) -> None:
         skip, container = self._state()
         text = " ".join("".join(self.text).split())
         if text and not skip:
-            self.blocks.append((text, self.tags, container, self.linked))
+            self.blocks.append((text, self.tags, container, self.linked, self._parent()))
         if text or skip:
             self.tags = 0
         self.text, self.linked = [], 0
@@ -99,7 +111,8 @@ class Blocks(HTMLParser):
                 self.kinds.append(tag)
                 container = len(self.kinds) - 1
         self.links += tag == "a"
-        self.open.append((tag, skip, container))
+        self.seen += 1
+        self.open.append((tag, skip, container, self.seen))
 
     def _close_implied(self, tag: str) -> None:
         """A block tag ends an open paragraph; a list or table item its like."""
@@ -117,14 +130,14 @@ class Blocks(HTMLParser):
                 return
 
     def _pop_to(self, i: int) -> None:
-        self.links -= sum(1 for t, _, _ in self.open[i:] if t == "a")
+        self.links -= sum(1 for t, *_ in self.open[i:] if t == "a")
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCKS or any(t in BLOCKS for t, _, _ in self.open[i:]):
+                if tag in BLOCKS or any(t in BLOCKS for t, *_ in self.open[i:]):
                     self.flush_block()
                 self._pop_to(i)
                 return
@@ -157,27 +170,22 @@ def main_text(html: str | None) -> str:
     p.flush_block()
     if not p.blocks:
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in p.blocks], float)
-    smooth = smoothed(ratio)
-    content = smooth >= min(smooth.std(), smooth.max())
-    container = np.array([c for _, _, c, _ in p.blocks])
-    if (container >= 0).any():
-        kinds = p.kinds
-        score: dict[int, float] = {}
-        for c, s, ok, (t, _, _, _) in zip(container, smooth, content, p.blocks):
-            if c >= 0:
-                score[c] = score.get(c, 0.0) + (len(t) if ok else 0.0) + 1e-9 * len(t)
-        best = max(score, key=lambda c: (score[c], kinds[c] == "article", -c))
-        chosen = container == best
-    else:
-        linked = np.array([2 * n > len(t) for t, _, _, n in p.blocks])
-        solid = np.flatnonzero(content & ~linked)
+    chosen = np.array([b[2] for b in p.blocks]) >= 0
+    if not chosen.any():
+        ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in p.blocks], float)
+        ratio = np.minimum(ratio, max(CAP, MEDIANS * float(np.median(ratio))))
+        smooth = smoothed(ratio)
+        bound = min(smooth.std(), smooth.max())
+        linked = np.array([2 * b[3] > len(b[0]) for b in p.blocks])
+        solid = np.flatnonzero((smooth >= bound) & ~linked)
         if not len(solid):
             return ""
-        chosen = np.zeros(len(p.blocks), bool)
+        # parents of blocks that pass by themselves and not by a neighbour's ratio
+        parent = np.array([b[4] for b in p.blocks])
+        chosen = np.isin(parent, parent[solid][ratio[solid] >= bound])
         chosen[solid[0]: solid[-1] + 1] = True
         chosen &= ~linked
-    return "\n\n".join(t for (t, _, _, _), ok in zip(p.blocks, chosen) if ok)
+    return "\n\n".join(b[0] for b, ok in zip(p.blocks, chosen) if ok)
 
 
 _OUT = pa.schema([("_text", pa.string())])

@@ -243,6 +243,20 @@ def test_html(spark):
     assert got[4].text == html.unescape(("words of the main text here. " * 10).strip())
 
 
+def test_html_keeps_all_of_the_text():
+    def p(k, n):
+        return f"<p>{(str(k) + ' word ') * (n // 7)}</p>"
+    long = "<body><div>" + "".join(p(10 + k, 200) for k in range(30)) + p(99, 20000) + "".join(p(50 + k, 200) for k in range(30)) + "</div>"
+    assert html_text.main_text(long).count("\n\n") == 60
+    menu = "<ul>" + "".join(f"<li>item {k}</li>" for k in range(30)) + "</ul>"
+    text = html_text.main_text(f"<body>{menu}<div><p>Intro.</p>" + p(99, 20000) + p(98, 200) * 3 + "<p>Last.</p></div>")
+    assert "\n\nIntro.\n\n" in text and text.endswith("Last.") and "item 0" not in text
+    parts = "<body><main><h1>Title</h1><p>Intro</p><article>" + p(1, 300) + "</article><article>" + p(2, 60) + "</article><p>End</p></main>"
+    got = html_text.main_text(parts).split("\n\n")
+    assert len(got) == 5 and got[:2] == ["Title", "Intro"] and got[4] == "End"
+    assert html_text.main_text("<article>a b</article><div><article>c d</article></div>") == "a b\n\nc d"
+
+
 def test_licences(spark):
     texts = ["intro\nReleased under the MIT License!\nend", "licensed UNDER cc-by nc 4.0", "nothing", None, licenses.TEMPLATES["MIT-text"].replace(". ", ".\n")]
     got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
