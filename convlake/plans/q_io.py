@@ -88,20 +88,27 @@ def snk2_append_leads(spark, sf):
     return spark.read.parquet(path)
 
 
+#: A pack is read as one string, so its size must not grow with the table.
+PACK_BYTES = 32 << 20
+
+
 @register("src5_read_knowledge", "SRC-5", oracle=W("v_turn") + """SELECT CONCAT('conv ', CAST(conv_id AS VARCHAR)) AS heading,
  CAST(length(CONCAT('# conv ', CAST(conv_id AS VARCHAR))) + 1 + SUM(length(text) + 1) AS BIGINT) AS n_chars
 FROM v_turn GROUP BY conv_id""")
 def src5_read_knowledge(spark, sf):
     """Knowledge packs derived from the conversations: one markdown heading per
-    conversation followed by its turns; written as text files, read back whole
-    and cut into sections."""
+    conversation followed by its turns; written as text files of whole
+    conversations, as many as the data needs for about ``PACK_BYTES`` each (a
+    longer conversation is one section and stays whole), read back whole and cut
+    into sections."""
     from convlake.sources.knowledge import read_knowledge
     t = view(spark, sf, "v_turn")
     head = t.groupBy("conv_id").agg(F.lit(-1).cast("bigint").alias("turn")).withColumn(
         "value", F.concat(F.lit("# conv "), F.col("conv_id").cast("string")))
     lines = head.unionByName(t.select("conv_id", "turn", F.col("text").alias("value")))
     path = _scratch(spark, "knowledge")
-    (lines.repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn").select("value")
+    n_bytes = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    (lines.repartition(max(8, -(-n_bytes // PACK_BYTES)), "conv_id").sortWithinPartitions("conv_id", "turn").select("value")
           .write.text(path))
     k = read_knowledge(spark, path)
     return k.filter(F.col("heading").isNotNull()).select("heading", F.length("text").cast("bigint").alias("n_chars"))

@@ -33,6 +33,19 @@ def test_knowledge_sections(spark):
     assert got == [(0, None), (1, "Services"), (2, "Pricing")]
 
 
+def test_knowledge_packs_follow_the_data(spark, monkeypatch):
+    from convlake.plans import q_io
+    want = sorted(map(tuple, q_io.src5_read_knowledge(spark, "/root/testdata/sf0.001").collect()))
+    sizes = []
+    for limit in (1 << 30, 2000):
+        monkeypatch.setattr(q_io, "PACK_BYTES", limit)
+        monkeypatch.setattr(q_io, "_scratch", lambda spark, what: tempfile.mkdtemp(prefix="convlake-kb-") + "/packs")
+        k = q_io.src5_read_knowledge(spark, "/root/testdata/sf0.001")
+        assert sorted(map(tuple, k.collect())) == want
+        sizes.append(len(k.inputFiles()))
+    assert sizes[0] <= 8 < sizes[1]
+
+
 def test_read_and_append_leads(spark):
     d = tempfile.mkdtemp(prefix="convlake-leads-")
     with open(os.path.join(d, "leads.csv"), "w") as f:
