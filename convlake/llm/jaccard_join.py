@@ -15,7 +15,9 @@ A token's list of up to ``SMALL`` classes gives its pairs. A longer list is spli
 by the two exact sizes, each part is compared with its most central members
 (stars), and after the links found so far are contracted only pairs between
 different components are compared, so a large group of copies costs its size and
-not its square.
+not its square. So the links between classes are a connecting subset: all
+components are exact, but two similar texts of one component may have no link of
+their own where every list they share is long, and links are not counted.
 """
 
 from __future__ import annotations
