@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from convlake.llm import (byte_cnn, decontaminate, html_text, jaccard_join, licenses, mixing, quality_rules, suffix_dedup,
-                          token_counts, url_rules)
+from convlake.llm import (bpe_codec, byte_cnn, decontaminate, html_text, jaccard_join, licenses, mixing,
+                          quality_rules, suffix_dedup, token_counts, url_rules)
 from convlake.sources.tables import load_table
 
 
@@ -64,9 +64,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_mined")
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_codec.codec_digests(load_table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_licenses, op4_quality_rules, op5_decontaminate, op6_suffix_dedup,
-                            op7_token_counts, op8_jaccard_join, op9_quality_classifier, op10_url_rules)
+                            op7_token_counts, op8_jaccard_join, op9_quality_classifier, op10_url_rules, op11_bpe_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle()}

@@ -6,10 +6,11 @@ in the model's own merges. So last token and count at each prefix follow from
 those at shorter prefixes, and the stored counts answer truncation and budget
 questions without encoding again.
 
-The model's pieces never cross a line break and hold spaces only in front, so a
-text falls into segments (spaces with the word after them, or a line break) that
-are encoded apart. Segments seen before are looked up; new ones are sorted, so
-that each continues from the prefix it shares with the one before.
+The model's pieces never cross a line break and hold spaces only in front, and
+most pairs of ASCII characters stand side by side in no piece, so a text falls into
+segments (words with the spaces before them, punctuation, line breaks) that are
+encoded apart. Segments seen before are looked up; new ones are sorted, so that
+each continues from the prefix it shares with the one before.
 """
 
 from __future__ import annotations
@@ -23,12 +24,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import text as T
-from convlake.llm.frames import record
+from convlake.llm.bpe_prefix import Merges, PrefixTokens
 
 LIMIT = 4096
 SPACE = "▁"
-#: Segments and pairs remembered in a worker, about 100 bytes each.
+#: Segments remembered in a worker, about 100 bytes each.
 REMEMBERED = 400_000
+#: Longer segments are not remembered.
+LONGEST = 64
+
+
+def merged(parts: list[str], score: dict[str, float], stop: int = 1) -> list[str]:
+    """The model's merges on a short list of strings, until ``stop`` are left."""
+    while len(parts) > stop:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            s = score.get(parts[i] + parts[i + 1])
+            if s is not None and (best is None or s > best):
+                best, at = s, i
+        if best is None:
+            break
+        parts[at: at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def score_merges(score: dict[str, float]) -> tuple[list[str], Merges]:
+    """Pieces, and their merges: of neighbours that together are a piece, those of
+    the highest score come first, from the left. The halves of a piece are what
+    its own last merge joins; a piece that the model cannot build is left out."""
+    place = {x: r for r, x in enumerate(sorted(set(score.values()), reverse=True))}
+    halves = {p: merged(list(p), score, 2) for p in score}
+    names = sorted(p for p in score if len(p) == 1 or len(halves[p]) == 2 and all(x in score for x in halves[p]))
+    index = {p: k for k, p in enumerate(names)}
+    rank = [place[score[p]] if len(p) > 1 else -1 for p in names]
+    left, right = ([index.get(halves[p][-2 + i], 0) if len(p) > 1 else 0 for p in names] for i in (0, 1))
+
+    def joined(x: int, y: int) -> int | None:
+        k = index.get(names[x] + names[y])
+        return None if k is None else rank[k]
+
+    def direct(pieces: list[int]) -> list[int]:
+        return [index.get(p, -1) for p in merged(list("".join(names[k] for k in pieces)), score)]
+
+    return names, Merges(rank, left, right, joined, direct)
 
 
 class PrefixCounter:
@@ -40,61 +78,21 @@ class PrefixCounter:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         plain = [i for i in range(sp.get_piece_size())
                  if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
-        self.longest = max(map(len, self.score))
-        if any(SPACE in p[1:].lstrip(SPACE) or "\n" in p and len(p) > 1 for p in self.score):
+        score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        if any(SPACE in p[1:].lstrip(SPACE) or "\n" in p and len(p) > 1 for p in score):
             raise ValueError("a piece crosses a word or a line")
-        if len(sp.encode("Å ﬁ")) and sp.decode(sp.encode("Å")) != "Å":
+        if len(sp.encode("Å ﬁ")) and sp.decode(sp.encode("Å")) != "Å":
             raise ValueError("the model changes characters")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.text, self.last, self.count = "", [""], [0]
-
-    def merged(self, s: str) -> list[str]:
-        """The model's merges on one short string."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at: at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def follows(self, before: str, token: str) -> bool:
-        """True if the model encodes before + token as these two tokens (or token
-        alone as itself, if nothing is before it)."""
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
-        return known
+        names, merges = score_merges(score)
+        self.tokens = PrefixTokens([[ord(c) for c in p] for p in names], merges)
+        # ASCII characters that stand side by side in no piece; a space is SPACE there
+        inside = {p[i: i + 2].replace(SPACE, " ") for p in names for i in range(len(p) - 1)}
+        self.cut = np.array([[chr(x) + chr(y) not in inside for y in range(128)] for x in range(128)])
 
     def prefixes(self, s: str) -> list[int]:
         """Tokens of s[:0], s[:1], ..., s."""
-        shared, most = 0, min(len(s), len(self.text))
-        while shared < most and s[shared] == self.text[shared]:
-            shared += 1
-        last, count, score, longest = self.last[: shared + 1], self.count[: shared + 1], self.score, self.longest
-        for i in range(shared + 1, len(s) + 1):
-            for j in range(max(0, i - longest), i):
-                token = s[j:i]
-                if token in score:
-                    cost = 1
-                elif j == i - 1:
-                    cost = len(token.encode())  # an unknown character falls back to its bytes
-                else:
-                    continue
-                if self.follows(last[j], token):
-                    last.append(token)
-                    count.append(count[j] + cost)
-                    break
-        self.text, self.last, self.count = s, last, count
-        return count
+        self.tokens.run(list(map(ord, s)))
+        return self.tokens.count
 
 
 class SegmentTable:
@@ -104,19 +102,38 @@ class SegmentTable:
         self.counter = PrefixCounter(model)
         self.known: dict[int, bytes] = {}
 
-    def counts(self, keys: np.ndarray, raw: list[bytes], heads: np.ndarray) -> list[np.ndarray]:
-        """Counts at the 1st, 2nd, ... character of each segment."""
+    def counts(self, keys: np.ndarray, raw: list[bytes], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts at the 1st, 2nd, ... character of each segment end to end, and
+        the segments' characters. A segment at a text's head follows SPACE."""
         out: list = [self.known.get(k) for k in keys.tolist()]
         todo = [(SPACE + raw[i].decode().replace(" ", SPACE) if heads[i] else raw[i].decode().replace(" ", SPACE), i)
                 for i, x in enumerate(out) if x is None]
         if len(self.known) + len(todo) > REMEMBERED:
             self.known.clear()
-        for s, i in sorted(todo):
+        todo.sort()
+        flat: list[int] = []
+        ends = []
+        for s, i in todo:
             c = self.counter.prefixes(s)
-            out[i] = np.array(c[2:] if heads[i] else c[1:], np.int32).tobytes()
-            if len(s) <= 64:
+            flat += c[2:] if heads[i] else c[1:]
+            ends.append(len(flat) * 4)
+        packed, at = np.array(flat, np.int32).tobytes(), 0
+        for (s, i), end in zip(todo, ends):
+            out[i] = packed[at:end]
+            at = end
+            if len(s) <= LONGEST:
                 self.known[int(keys[i])] = out[i]
-        return [np.frombuffer(x, np.int32) for x in out]
+        return np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+
+def segment_starts(data: np.ndarray, head_at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """True at each byte where a segment starts: no piece crosses there."""
+    space, line, ascii_ = data == 32, data == 10, data < 128
+    start = line.copy()
+    start[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
+    start[1:] |= ascii_[1:] & ascii_[:-1] & cut[data[:-1] & 127, data[1:] & 127]
+    start[head_at] = True
+    return start
 
 
 def prefix_counts(table: SegmentTable, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +145,8 @@ def prefix_counts(table: SegmentTable, data: np.ndarray, off: np.ndarray) -> tup
     coff = chars_to[off]
     if not n:
         return np.zeros(0, np.int64), coff
-    space, line = data == 32, data == 10
-    start = line.copy()
-    start[1:] |= (space[1:] & ~space[:-1]) | line[:-1]
     head_at = off[:-1][np.diff(off) > 0]
-    start[head_at] = True
-    s = np.flatnonzero(start)
+    s = np.flatnonzero(segment_starts(data, head_at, table.counter.cut))
     e = np.append(s[1:], n)
     heads = np.zeros(n, bool)
     heads[head_at] = True
@@ -142,17 +155,15 @@ def prefix_counts(table: SegmentTable, data: np.ndarray, off: np.ndarray) -> tup
     key, first, of = np.unique(key, return_index=True, return_inverse=True)
     of = of.reshape(-1)
     whole = data.tobytes()
-    per = table.counts(key.view(np.int64), [whole[a:b] for a, b in zip(s[first], e[first])], heads[first])
-    size = np.array([len(x) for x in per])
-    flat = np.concatenate(per)
-    begin = np.cumsum(size) - size
+    flat, size = table.counts(key.view(np.int64), [whole[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())], heads[first])
+    ends = np.cumsum(size)
     # ragged gather of each segment's counts, plus the tokens of the segments before it in its row
     k = size[of]
-    place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[of], k)
-    total = np.array([x[-1] for x in per], np.int64)[of]
+    place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat((ends - size)[of], k)
+    total = flat[ends - 1].astype(np.int64)[of]
     before = np.cumsum(total) - total
     row = np.searchsorted(off, s, "right") - 1
-    # rows are numbered by their last empty-free offset: the first segment of each row
+    # the first segment of each row begins at its offset
     base = before[np.searchsorted(s, off[row])]
     return flat[place] + np.repeat(before - base, k), coff
 
