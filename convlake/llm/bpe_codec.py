@@ -171,12 +171,6 @@ def _parts(raw: bytes, off: np.ndarray, added: dict[bytes, int]) -> tuple[np.nda
     return cut[:-1], cut[1:], ids
 
 
-def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices begin, begin + 1, ... of ``size`` each, end to end."""
-    to = np.cumsum(size)
-    return np.arange(to[-1] if len(to) else 0) + np.repeat(begin - (to - size), size)
-
-
 def encode_slice(codec: Codec, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, and the rows' offsets among them."""
     n = len(data)
@@ -215,7 +209,7 @@ def encode_slice(codec: Codec, data: np.ndarray, off: np.ndarray) -> tuple[np.nd
     size = np.array([len(x) // 4 for x in per], np.int64)
     flat = np.frombuffer(b"".join(per), "<u4")
     many = size[of.reshape(-1)]
-    ids = flat[ragged((np.cumsum(size) - size)[of.reshape(-1)], many)]
+    ids = flat[T.ragged((np.cumsum(size) - size)[of.reshape(-1)], many)]
     return ids, np.concatenate([[0], np.cumsum(many)])[np.searchsorted(s, off)]
 
 
@@ -223,7 +217,7 @@ def decode_slice(codec: Codec, ids: np.ndarray, off: np.ndarray) -> pa.Array:
     """Texts of rows of ids; ids outside the vocabulary have no characters."""
     known = np.minimum(ids, len(codec.size) - 1).astype(np.int64)
     size = codec.size[known]
-    data = codec.bytes[ragged(codec.begin[known], size)]
+    data = codec.bytes[T.ragged(codec.begin[known], size)]
     to = np.concatenate([[0], np.cumsum(size)])[off]
     raw = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data)])
     try:

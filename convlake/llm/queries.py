@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from convlake.llm import (bpe_codec, byte_cnn, decontaminate, html_text, jaccard_join, licenses, mixing,
+from convlake.llm import (bpe_codec, byte_cnn, collocations, decontaminate, html_text, importance, jaccard_join, licenses, mixing,
                           quality_rules, suffix_dedup, token_counts, url_rules)
 from convlake.sources.tables import load_table
 
@@ -72,9 +72,19 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     return bpe_codec.codec_digests(load_table(spark, sf_dir, "documents"), tokenizer_path)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_licenses, op4_quality_rules, op5_decontaminate, op6_suffix_dedup,
-                            op7_token_counts, op8_jaccard_join, op9_quality_classifier, op10_url_rules, op11_bpe_codec)
+                            op7_token_counts, op8_jaccard_join, op9_quality_classifier, op10_url_rules, op11_bpe_codec,
+                            op12_importance_resampling, op13_collocations)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle(), "op12_importance_resampling": importance.oracle(),
+                              "op13_collocations": collocations.oracle()}
