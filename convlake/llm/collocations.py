@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import text as T
-from convlake.llm.frames import ints, record, runs, stored
+from convlake.llm.frames import ints, record, stored
 from convlake.operators.sequence import top_k
 
 MAX_WORDS = 4
@@ -50,8 +50,10 @@ _ENDS = T.byte_table(b".,;:!?\n\x0b\x0c\r")
 _WORD = ~(_ENDS | T.byte_table(b" \t"))
 _COUNTS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 _COUNTS_DDL = "lang string, word string, h long, n long"
-_STRIPES = pa.schema([("prefix", pa.int64()), ("suffix", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-_STRIPES_DDL = "prefix long, suffix array<long>, n array<long>"
+_STRIPES = pa.schema([(c, pa.list_(pa.int64())) for c in ("prefix", "suffix", "n")])
+_STRIPES_DDL = "prefix array<long>, suffix array<long>, n array<long>"
+#: Elements of one row of stripes end to end.
+ROW_ELEMENTS = 4096
 
 
 def grow(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -97,13 +99,13 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _stripe_rows(prefix: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+    """Stripes of these pairs, end to end: a stripe of its own row would mostly
+    hold one element."""
     _, first, n = np.unique(grow(prefix, suffix), return_index=True, return_counts=True)
     o = np.argsort(prefix[first], kind="stable")
-    prefix, suffix, n = prefix[first][o], suffix[first][o], n[o]
-    begin = np.flatnonzero(runs(prefix))
-    to = pa.array(np.append(begin, len(prefix)), pa.int32())
-    return record(_STRIPES, prefix[begin].view(np.int64), pa.ListArray.from_arrays(to, pa.array(suffix.view(np.int64))),
-                  pa.ListArray.from_arrays(to, pa.array(n, pa.int64())))
+    to = pa.array(np.append(np.arange(0, len(o), ROW_ELEMENTS), len(o)), pa.int32())
+    return record(_STRIPES, *(pa.ListArray.from_arrays(to, pa.array(x, pa.int64()))
+                              for x in (prefix[first][o].view(np.int64), suffix[first][o].view(np.int64), n[o])))
 
 
 def _stripes(size: int, frequent):
@@ -166,7 +168,7 @@ def stripes(texts: DataFrame, frequent: DataFrame, size: int, min_count: int) ->
     """(prefix, suffix, n, own) of the elements of at least ``min_count`` of all
     merged stripes of the ``frequent`` (h) prefixes of ``size`` words."""
     bits = texts.sparkSession.sparkContext.broadcast(bit_map(frequent))
-    merged = (texts.mapInArrow(_stripes(size, bits), _STRIPES_DDL).selectExpr("prefix", "inline(arrays_zip(suffix, n))")
+    merged = (texts.mapInArrow(_stripes(size, bits), _STRIPES_DDL).selectExpr("inline(arrays_zip(prefix, suffix, n))")
               .groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count))
     out = stored(merged.mapInArrow(_own_hash, "prefix long, suffix long, n long, own long"), "stripes")
     bits.unpersist()
