@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from convlake.functions.cleanup import WEB_CAP, WEB_RULES
 
@@ -75,3 +76,16 @@ def chunk_sentences(df: DataFrame, id_col: str, text: str) -> DataFrame:
             yield pd.DataFrame({id_col: pd.Series(ids, dtype="int64"), "chunk_no": pd.Series(nos, dtype="int32"),
                                 "chunk": pd.Series(out, dtype="object")})
     return df.select(id_col, text).mapInPandas(run, f"{id_col} long, chunk_no int, chunk string")
+
+
+class SentenceChunks:
+    """Table function: the chunks of one reply as (chunk_no, chunk) rows."""
+
+    def eval(self, text: str | None):
+        yield from enumerate(chunk_reply(text))
+
+
+def register_chunk_function(spark: SparkSession, name: str = "chunk_sentences") -> None:
+    """UDF-2: ``SELECT id, chunk_no, chunk FROM t, LATERAL chunk_sentences(text)``.
+    Null and empty texts give no rows. Rows travel in Arrow batches."""
+    spark.udtf.register(name, udtf(SentenceChunks, returnType="chunk_no int, chunk string", useArrow=True))

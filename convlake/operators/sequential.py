@@ -13,7 +13,6 @@ Batch twins of the streaming processors in ``convlake.streaming``.
 
 from __future__ import annotations
 
-import json
 from collections import deque
 
 import pandas as pd
@@ -44,20 +43,29 @@ class Admission:
         self.sess_total: dict[str, int] = {}
         self.sess_last: dict[str, int] = {}
         self.cache: dict[tuple, int] = {}
-
-    def dumps(self) -> str:
-        return json.dumps({"ip": list(self.ip_acc), "rec": self.sess_recent, "tot": self.sess_total,
-                           "last": self.sess_last, "cache": [[list(k), t] for k, t in self.cache.items()]})
-
-    @classmethod
-    def loads(cls, p: RequestPolicy, blob: str | None) -> "Admission":
-        a = cls(p)
-        if blob:
-            d = json.loads(blob)
-            a.ip_acc = deque(d["ip"])
-            a.sess_recent, a.sess_total, a.sess_last = d["rec"], d["tot"], d["last"]
-            a.cache = {tuple(k): t for k, t in d["cache"]}
-        return a
+        self.most = 4096  # entries held before the next sweep
+
+    def restore(self, session: str, recent: int, total: int, last: int) -> None:
+        """A session's entry as ``session`` gave it."""
+        self.sess_recent[session], self.sess_total[session], self.sess_last[session] = recent, total, last
+
+    def session(self, session: str) -> tuple[int, int, int] | None:
+        """(last accepted, accepted so far, idle since) of a session, if any."""
+        if session not in self.sess_recent:
+            return None
+        recent = self.sess_recent[session]
+        return recent, self.sess_total.get(session, 0), self.sess_last.get(session, recent)
+
+    def _forget(self, now: int) -> None:
+        """Drop sessions and cache entries that no later request can meet; called
+        each time their number has doubled, so a step costs the same on average."""
+        p = self.p
+        for s in [s for s, t in self.sess_recent.items()
+                  if now - t > p.session_idle * US and now - t >= p.session_cooldown * US]:
+            for d in (self.sess_recent, self.sess_total, self.sess_last):
+                d.pop(s, None)
+        self.cache = {k: t for k, t in self.cache.items() if now - t < p.cache_ttl * US}
+        self.most = max(4096, 2 * max(len(self.sess_recent), len(self.cache)))
 
     def step(self, now: int, session: str, brand: str, message: str, is_stream: bool) -> str:
         p = self.p
@@ -87,8 +95,8 @@ class Admission:
         self.sess_last[session] = now
         if not is_stream:
             self.cache[key] = now
-        if len(self.cache) > 4096:
-            self.cache = {k: t for k, t in self.cache.items() if now - t < p.cache_ttl * US}
+        if max(len(self.cache), len(self.sess_recent)) > self.most:
+            self._forget(now)
         return "accepted"
 
 

@@ -49,7 +49,7 @@ def str5_assemble_stream(spark, sf):
     path = _scratch(spark, "sse")
     lines.write.parquet(path)
     src = spark.readStream.schema(lines.schema).parquet(path)
-    return run_to_files(J.assemble_stream(src))
+    return run_to_files(J.assemble_stream(src).select("conv_id", "turn", "assembled", "ended_by", "response"))
 
 
 @register("src1_read_logs", ("SRC-1", "SNK-1"), oracle=REGISTRY["snk1_log_records"].oracle)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from convlake.functions.dictionaries import RequestPolicy
 from convlake.operators import leads as L
 from convlake.operators.sequence import epoch_us
-from convlake.operators.sequential import Admission, state_horizon
+from convlake.operators.sequential import Admission
 from convlake.sources import sse as SSE
 
 
@@ -62,40 +62,90 @@ def abandoned_captures(events: DataFrame, idle_s: int = 300, key: str = "session
 # pandas side would see them renamed).
 
 
-def _rearm(handle: StatefulProcessorHandle, expiry_ms: int) -> None:
-    """Keep exactly one event-time timer per key, at ``expiry_ms``."""
-    for t in list(handle.listTimers()):
+def _keep_until(handle: StatefulProcessorHandle, expiry_ms: int) -> None:
+    """One event-time timer per key, that never moves back: a late batch inside
+    the watermark leaves a later one as it is."""
+    timers = list(handle.listTimers())
+    if timers and max(timers) >= expiry_ms:
+        return
+    for t in timers:
         handle.deleteTimer(t)
     handle.registerTimer(expiry_ms)
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """STR-2: keyed by ip; the whole admission state of the ip is one value
-    (bounded: accepted times of the last long window, live sessions, fresh
-    cache entries). Rows of a micro-batch are replayed in (time, id) order.
-    An event-time timer clears the state once the watermark passes the last
-    request plus the state horizon (all counters would have expired)."""
+    """STR-2: keyed by ip. Accepted times are list state (at most the long
+    limit), sessions and cache entries map state, of which a micro-batch reads and
+    writes only the keys it names. Its rows are replayed in (time, id) order.
+    A timer at the first time at which an entry expires evicts what the watermark
+    has left behind, so sessions that do not return go away while the client stays
+    busy; when nothing is left, the key has no state."""
 
     def __init__(self, policy: RequestPolicy = RequestPolicy()):
         self.policy = policy
-        self.horizon_ms = state_horizon(policy) * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("admission", "blob string")
+        self.accepted = handle.getListState("accepted", "us long")
+        self.sessions = handle.getMapState("sessions", "session string", "recent long, total long, last long, wm_us long")
+        self.cache = handle.getMapState("cache", "brand string, session string, message string", "us long, wm_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts_us", "req_id"])
-        st = Admission.loads(self.policy, self.state.get()[0] if self.state.exists() else None)
+        st = Admission(self.policy)
+        if self.accepted.exists():
+            st.ip_acc.extend(r[0] for r in self.accepted.get())
+        shift = int(pdf["wm_us"].iloc[0]) - int(pdf["ts_us"].iloc[0])  # of the session's time zone
+        sessions, entries = set(pdf["session_id"]), set(zip(pdf["brand"], pdf["session_id"], pdf["message"]))
+        for name in sessions:
+            if self.sessions.containsKey((name,)):
+                recent, total, last, _ = self.sessions.getValue((name,))
+                st.restore(name, recent, total, last)
+        for entry in entries:
+            if self.cache.containsKey(entry):
+                st.cache[entry] = self.cache.getValue(entry)[0]
         verdicts = [st.step(int(u), s, b, m, bool(x)) for u, s, b, m, x in
                     zip(pdf["ts_us"], pdf["session_id"], pdf["brand"], pdf["message"], pdf["is_stream"])]
-        self.state.update((st.dumps(),))
-        _rearm(self.handle, int(pdf["wm_us"].max()) // 1000 + self.horizon_ms + 1)
+        if st.ip_acc:
+            self.accepted.put([(t,) for t in st.ip_acc])
+        else:
+            self.accepted.clear()
+        first = []
+        for name in sessions:
+            held = st.session(name)
+            if held:
+                self.sessions.updateValue((name,), (*held, held[0] + shift))
+                first.append(held[0] + shift + self._session_us())
+            elif self.sessions.containsKey((name,)):
+                self.sessions.removeKey((name,))
+        for entry in entries & st.cache.keys():
+            us = st.cache[entry]
+            self.cache.updateValue(entry, (us, us + shift))
+            first.append(us + shift + self.policy.cache_ttl * 1_000_000)
+        if first and not list(self.handle.listTimers()):
+            self.handle.registerTimer(min(first) // 1000 + 1)
         yield pd.DataFrame({"req_id": pdf["req_id"].astype("int64"), "ip": pdf["ip"],
                             "session_id": pdf["session_id"], "verdict": verdicts})
 
+    def _session_us(self) -> int:
+        p = self.policy
+        return max(p.session_idle, p.session_cooldown, p.ip_short_window, p.ip_long_window) * 1_000_000
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        left = []
+        for state, age in ((self.sessions, self._session_us()), (self.cache, self.policy.cache_ttl * 1_000_000)):
+            held = [(k, v[-1] + age) for k, v in state.iterator()]
+            for k, until in held:
+                if until < now:
+                    state.removeKey(k)
+                else:
+                    left.append(until)
+        if left:
+            self.handle.registerTimer(max(min(left), now) // 1000 + 1)
+        else:
+            # every accepted request has its session's entry, which outlives it
+            self.accepted.clear()
         return iter([])
 
     def close(self) -> None:
@@ -140,7 +190,7 @@ class CacheProcessor(StatefulProcessor):
                 hits.append(False)
                 last = us
         self.last.update((last,))
-        _rearm(self.handle, int(pdf["wm_us"].max()) // 1000 + self.ttl_us // 1000 + 1)
+        _keep_until(self.handle, int(pdf["wm_us"].max()) // 1000 + self.ttl_us // 1000 + 1)
         yield pd.DataFrame({"req_id": pdf["req_id"].astype("int64"), "cached": hits})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -161,56 +211,84 @@ def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "sessi
 
 
 class AssembleProcessor(StatefulProcessor):
-    """STR-5: tokens of one reply kept in list state until ``done`` (or
-    ``error``) arrives; then the reply is emitted and the key closed, so
-    tokens after ``done`` are ignored."""
+    """STR-5: events of one reply kept in list state until ``done`` (or ``error``)
+    arrives; then the reply is emitted and the key closed, so that what comes after
+    the end is ignored. With ``timeout_ms`` (event time) a reply without an event
+    for so long is emitted as it is, ended by ``timeout``, and a closed key is
+    forgotten so long after its last event: the state of a finished stream is empty."""
 
-    def __init__(self, close_ttl_ms: int | None = None):
-        self.close_ttl_ms = close_ttl_ms
+    def __init__(self, timeout_ms: int | None = None):
+        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getListState("tokens", "line_no long, content string")
-        # With a TTL (processing-time mode) closed replies are forgotten after it.
-        self.closed = (handle.getValueState("closed", "flag boolean", ttlDurationMs=self.close_ttl_ms)
-                       if self.close_ttl_ms else handle.getValueState("closed", "flag boolean"))
+        self.handle = handle
+        self.events = handle.getListState("events", "line_no long, kind string, content string")
+        self.closed = handle.getValueState("closed", "flag boolean")
 
     def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows))
+        if self.timeout_ms:
+            _keep_until(self.handle, int(pdf["wm_us"].max()) // 1000 + self.timeout_ms)
         if self.closed.exists():
             return
-        pdf = pd.concat(list(rows)).sort_values("line_no")
-        toks = pdf[pdf["type"] == "token"]
-        end = pdf[pdf["type"].isin(["done", "error"])]
-        if not len(end):
-            # Reply still open: keep its tokens for a later micro-batch.
-            if len(toks):
-                self.tokens.appendList([(int(n), c) for n, c in zip(toks["line_no"], toks["content"])])
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        got = []
+        for n, kind, content, response, image in zip(pdf["line_no"], pdf["type"], pdf["content"], pdf["response"], pdf["image_url"]):
+            if kind in ("token", "response", "image", "error", "done"):
+                got.append((int(n), kind, {"image": image, "done": response}.get(kind, content)))
+        if not any(kind in ("done", "error") for _, kind, _ in got):
+            if got:
+                self.events.appendList(got)
             return
-        first_end = end.iloc[0]
-        got = [(int(n), c) for n, c in zip(toks["line_no"], toks["content"])]
-        if self.tokens.exists():  # tokens from earlier micro-batches
-            got += [(int(r[0]), r[1]) for r in self.tokens.get()]
-            self.tokens.clear()
-        text = "".join(c or "" for n, c in sorted(got) if n < first_end["line_no"])
+        yield self._reply(key, got, None)
         self.closed.update((True,))
-        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "assembled": [text],
-                            "ended_by": [first_end["type"]],
-                            "response": [first_end["response"] if first_end["type"] == "done" else None]})
+
+    def _reply(self, key, got: list[tuple], ended_by: str | None) -> pd.DataFrame:
+        """The reply of the events in state and ``got``; clears them."""
+        if self.events.exists():
+            got = got + [(int(r[0]), r[1], r[2]) for r in self.events.get()]
+            self.events.clear()
+        got.sort(key=lambda e: e[0])
+        end = next((e for e in got if e[1] in ("done", "error")), None)
+        before = [e for e in got if end is None or e[0] < end[0]]
+
+        def of(kind):
+            return [c for _, k, c in before if k == kind]
+
+        response = end[2] if end and end[1] == "done" and end[2] is not None else next(reversed(of("response")), None)
+        return pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "assembled": ["".join(c or "" for c in of("token"))],
+                             "ended_by": [ended_by or end[1]], "response": [response],
+                             "error": [end[2] if end and end[1] == "error" else None], "images": [of("image")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.closed.exists():
+            self.closed.clear()
+        elif self.events.exists():
+            yield self._reply(key, [], "timeout")
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(lines: DataFrame, close_ttl_ms: int | None = None) -> DataFrame:
+REPLY = "conv_id long, turn long, assembled string, ended_by string, response string, error string, images array<string>"
+
+
+def assemble_stream(lines: DataFrame, timeout_s: int | None = None, ts: str = "ts", watermark: str = "1 minute") -> DataFrame:
     """SSE lines (conv_id, turn, line_no, value) -> one row per finished reply.
 
-    ``close_ttl_ms`` (for live queries on a processing-time trigger) forgets
-    closed replies after the TTL; without it the one-flag-per-reply state is
-    kept, which is what an ``availableNow`` replay needs.
+    ``timeout_s`` needs the event time ``ts`` of the lines: a reply that never ends
+    is emitted once the watermark is so far past its last event, and nothing is kept
+    for replies that ended so long ago. Without it replies wait for their end, and
+    a flag is kept for each closed one.
     """
     ev = SSE.parse_sse(lines)
-    return ev.groupBy("conv_id", "turn").transformWithStateInPandas(
-        AssembleProcessor(close_ttl_ms), "conv_id long, turn long, assembled string, ended_by string, response string",
-        "Append", "ProcessingTime" if close_ttl_ms else "None")
+    if not timeout_s:
+        return (ev.groupBy("conv_id", "turn")
+                .transformWithStateInPandas(AssembleProcessor(), REPLY, "Append", "None"))
+    ev = _with_event_time(ev, ts, watermark).select("conv_id", "turn", "line_no", "type", "content", "response", "image_url",
+                                                    "wm_us", "event_time")
+    return (ev.groupBy("conv_id", "turn")
+            .transformWithStateInPandas(AssembleProcessor(timeout_s * 1000), REPLY, "Append", "EventTime"))
 
 
 def probe_timeline_stream(probes: DataFrame, minutes: int = 4, ts: str = "ts", ok: str = "ok",

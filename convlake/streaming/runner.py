@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convlake.session import checkpoint_dir
 
@@ -72,3 +73,44 @@ def run_to_files(df: DataFrame, name: str | None = None) -> DataFrame:
     if q.exception():
         raise q.exception()
     return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def run_slices(df: DataFrame, time_col: str, build, slices: int = 3, sentinel: dict | None = None,
+               progress: list | None = None) -> DataFrame:
+    """Feed ``df`` to the streaming job ``build`` in time order, in ``slices`` parts
+    of equal time span, each a run of its own that resumes from the checkpoint of
+    the one before; returns everything the job emitted.
+
+    ``sentinel`` (column -> value) is one last row far ahead in time, which moves the
+    watermark past all others. Each run's last progress is appended to ``progress``.
+    Source, checkpoint and output are in the session's shared checkpoint folder.
+    """
+    spark = df.sparkSession
+    ensure_state_store(spark)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/s_{uuid.uuid4().hex[:12]}"
+    source = f"{root}/in"
+    out = build(spark.readStream.schema(df.schema).parquet(source)) if _make(spark, source) else None
+    low, high = df.agg(F.min(time_col), F.max(time_col)).first()
+    edges = [low + (high - low) * k / slices for k in range(1, slices)] if low is not None else []
+    t = F.col(time_col)
+    parts = [df.filter((t >= F.lit(a) if a is not None else t.isNotNull()) & (t < F.lit(b) if b is not None else F.lit(True)))
+             for a, b in zip([None, *edges], [*edges, None])]
+    if sentinel is not None:
+        row = [F.lit(sentinel.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+        parts.append(spark.range(1).select(*row))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        q = (out.writeStream.format("parquet").option("checkpointLocation", f"{root}/_ckpt")
+             .trigger(availableNow=True).start(f"{root}/out"))
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+        if progress is not None and q.lastProgress:
+            progress.append(q.lastProgress)
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def _make(spark: SparkSession, path: str) -> bool:
+    """Make an empty folder, by Spark's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)

@@ -11,7 +11,7 @@ from convlake.operators import sequential as SQ
 from convlake.plans.views import view
 from convlake.sources import sse as SSE
 from convlake.streaming import jobs as J
-from convlake.streaming.runner import run_available, stream_source
+from convlake.streaming.runner import run_available, run_slices, stream_source
 from tests.conftest import SF_SMALL, rows
 
 
@@ -131,3 +131,83 @@ def test_stream_leads_dedupe_option(spark):
     plain = run_available(J.stream_leads(_as_stream(spark, df, parts=1), "msg_id"))
     dedup = run_available(J.stream_leads(_as_stream(spark, df, parts=1), "msg_id", dedupe_on=["text"], ts="ts"))
     assert plain.count() == 3 and dedup.count() == 2
+
+
+def _requests(spark, rows_):
+    return spark.createDataFrame([(i, t, ip, s, "a", m, 0) for i, (t, ip, s, m) in enumerate(rows_)],
+                                 "req_id long, ts string, ip string, session_id string, brand string, message string, is_stream int") \
+                .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+POLICY = RequestPolicy(ip_short_window=60, ip_short_limit=50, ip_long_window=600, ip_long_limit=500,
+                       session_cooldown=3, session_total=50, session_idle=600, cache_ttl=300)
+
+
+def test_admission_state_of_sessions_that_do_not_return_goes_away(spark):
+    # one client, busy all day, with a new session each minute
+    busy = _requests(spark, [(f"2024-01-01 {h:02d}:{m:02d}:00", "ip", f"s{h}-{m}", "q") for h in range(8) for m in range(60)])
+    progress = []
+    got = run_slices(busy, "ts", lambda s: J.admit_stream(s, POLICY), slices=6, progress=progress)
+    assert rows(got, "req_id", "verdict") == rows(SQ.admit(busy, POLICY), "req_id", "verdict")
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    assert held[-1] <= held[0] * 1.5 + 10, held  # 480 sessions and cache entries passed by
+
+
+def test_admission_state_is_empty_after_the_last_horizon(spark):
+    some = _requests(spark, [(f"2024-01-01 00:{m:02d}:{s:02d}", f"ip{m % 3}", f"s{m}", f"q{s % 2}") for m in range(30) for s in (0, 1, 20)])
+    progress = []
+    far = {"req_id": -1, "ts": "2100-01-01 00:00:00", "ip": "far", "session_id": "far", "brand": "a", "message": "", "is_stream": 1}
+    got = run_slices(some, "ts", lambda s: J.admit_stream(s, POLICY), slices=2, sentinel=far, progress=progress)
+    assert rows(got.filter("req_id >= 0"), "req_id", "verdict") == rows(SQ.admit(some, POLICY), "req_id", "verdict")
+    assert {r.verdict for r in got.collect()} > {"accepted", "session_cooldown"}
+    # accepted time and session of the sentinel, and its timer
+    assert sum(o["numRowsTotal"] for o in progress[-1]["stateOperators"]) <= 4
+
+
+def test_a_late_batch_does_not_move_the_expiry_back(spark):
+    ttl = 600
+    early = _requests(spark, [("2024-01-01 00:20:00", "i", "s", "q")])
+    late = _requests(spark, [("2024-01-01 00:12:00", "i", "s2", "q")]).withColumn("session_id", F.lit("s"))
+    mark = _requests(spark, [("2024-01-01 00:33:30", "i", "other", "q")])  # watermark 00:23:30: past 00:22, before 00:30
+    again = _requests(spark, [("2024-01-01 00:29:00", "i", "s", "q")])
+    parts = [d.withColumn("req_id", F.lit(i).cast("long")) for i, d in enumerate((early, late, mark, again))]
+    d = tempfile.mkdtemp(prefix="convlake-late-")
+    src = spark.readStream.schema(parts[0].schema).parquet(d)
+    out, ck = tempfile.mkdtemp(prefix="convlake-late-"), tempfile.mkdtemp(prefix="convlake-late-")
+    for part in parts:
+        part.write.mode("append").parquet(d)
+        q = (J.suppress_stream(src, ttl, watermark="10 minutes").writeStream.option("checkpointLocation", ck)
+             .trigger(availableNow=True).start(out + "/o"))
+        q.awaitTermination()
+    got = {r.req_id: r.cached for r in spark.read.parquet(out + "/o").collect()}
+    assert got[0] is False and got[3] is True  # nine minutes after the miss of 00:20: the entry is still there
+
+
+def test_reply_timeouts_and_empty_state(spark):
+    def line(conv, n, ts, **ev):
+        return (conv, 0, n, "data: " + __import__("json").dumps(ev), ts)
+    day = "2024-01-01 "
+    lines = [line(1, 0, day + "00:00:00", type="token", content="Hel"), line(1, 1, day + "00:00:01", type="image", image_url="u1"),
+             line(2, 0, day + "00:00:00", type="token", content="open"), line(2, 1, day + "00:00:02", type="response", content="whole"),
+             line(3, 0, day + "00:01:00", type="error", content="boom"), (4, 0, 0, ": heartbeat", day + "00:01:00"),
+             line(1, 3, day + "00:02:00", type="done"), line(1, 2, day + "00:02:00", type="token", content="lo"),
+             line(1, 9, day + "00:02:30", type="token", content="late"), line(5, 0, day + "00:30:00", type="token", content="x")]
+    df = spark.createDataFrame(lines, "conv_id long, turn long, line_no long, value string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    progress = []
+    far = {"conv_id": -1, "turn": -1, "line_no": 0, "value": ": heartbeat", "ts": "2100-01-01 00:00:00"}
+    out = run_slices(df, "ts", lambda s: J.assemble_stream(s, 300), slices=4, progress=progress,
+                     sentinel=far | {"value": 'data: {"type": "token"}'})
+    got = {r.conv_id: (r.assembled, r.ended_by, r.response, r.error, r.images) for r in out.collect()}
+    assert got == {1: ("Hello", "done", None, None, ["u1"]), 2: ("open", "timeout", "whole", None, []),
+                   3: ("", "error", None, "boom", []), 5: ("x", "timeout", None, None, [])}
+    assert sum(o["numRowsTotal"] for o in progress[-1]["stateOperators"]) <= 2  # the sentinel's event and timer
+
+
+def test_chunk_table_function(spark):
+    from convlake.functions.chunking import chunk_sentences, register_chunk_function
+
+    docs = view(spark, SF_SMALL, "documents").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n ")], "doc_id long, text string"))
+    register_chunk_function(spark, "cut_reply")
+    got = spark.sql("SELECT doc_id, chunk_no, chunk FROM {docs}, LATERAL cut_reply(text)", docs=docs)
+    assert rows(got) == rows(chunk_sentences(docs, "doc_id", "text")) and got.filter("doc_id < 0").count() == 0
