@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import text as T
-from convlake.llm.frames import RID, attach, ints, keyed, record
+from convlake.llm.frames import RID, attach, ints, keyed, plain, record
 
 WINDOW = 13
 MIN_SHARE = 20
@@ -322,9 +322,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                    item_col: str = "item_id", bench_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    rows, unique = attach(docs, text_col, id_col)
-    texts = rows.select(RID, F.col(text_col).alias("text"))
+    """The rows of ``docs`` that are not contaminated, as often as they occur. Null
+    and empty texts stay. Ids may be of any type, and further columns of any name."""
+    base, names = plain(docs)
+    rows, unique = attach(base, names[text_col], names[id_col])
+    texts = rows.select(RID, F.col(names[text_col]).alias("text"))
     bad = (contamination(texts if unique else texts.dropDuplicates([RID]), benchmark, item_col, bench_text, size)
            .withColumn("n_hit", n_hit()).filter(f"n_hit > 0 and {MIN_SHARE} * n_hit >= n_words").select(RID))
-    return rows.join(bad, RID, "left_anti").select(*docs.columns)
+    return rows.join(bad, RID, "left_anti").select(*base.columns).toDF(*names)

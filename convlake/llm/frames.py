@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegralType
+
 from convlake.session import checkpoint_dir
 
 RID = "_rid"
@@ -25,12 +27,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def attach(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, bool]:
     """``docs`` with a long column ``_rid``, and whether it is unique.
 
-    ``_rid`` is the id itself when ids are unique and not null. Otherwise it
-    numbers the different (id, text) pairs in the order null id first, id, text
+    ``_rid`` is the id itself when ids are integers, unique and not null.
+    Otherwise it numbers the different (id, text) pairs in the order null id first, id, text
     hash, so repeated rows share a number and get the same result.
     """
     ids = docs.select(F.col(id_col).alias("_id"))
-    if not ids.groupBy("_id").count().filter("count > 1 or _id is null").limit(1).count():
+    integers = isinstance(ids.schema["_id"].dataType, IntegralType)
+    if integers and not ids.groupBy("_id").count().filter("count > 1 or _id is null").limit(1).count():
         return docs.withColumn(RID, F.col(id_col).cast("long")), True
     tagged = docs.withColumn("_rid_h", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     order = (tagged.select(F.col(id_col).alias("_id"), F.col("_rid_h").alias("_h")).distinct()
@@ -41,6 +44,13 @@ def attach(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> t
     return stored(joined.drop("_rid_h", "_rid_id", "_rid_k"), "numbered"), False
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named _c0, _c1, ..., which no helper column is, and
+    these names by the columns' own."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
     """(texts, rows): ``texts`` has one row (_rid, text) for each different
     document row; ``rows`` is (_rid, _id) for every input row, or None where _rid

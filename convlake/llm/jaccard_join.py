@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from convlake.llm import text as T
 from convlake.llm.components import components
-from convlake.llm.frames import RID, attach, ints, keyed, record, runs, stored
+from convlake.llm.frames import RID, attach, ints, keyed, plain, record, runs, stored
 
 SHINGLE = 4
 PERCENT = 85
@@ -117,6 +117,12 @@ def _profile(size: int):
     return run
 
 
+def _packed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens in their order, 8 bytes each: a row for each batch, not each token."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([ints(batch, "t").astype("<i8").tobytes()], pa.binary())], ["t"])
+
+
 def _prefixes(size: int, percent: int, repeated):
     """First tokens of each different set of a slice under order 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +264,8 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     members = stored(own.filter("n > 0").join(classes, ["n", "k1", "k2"]).select(RID, "n", "cid")
                      .unionByName(own.filter("n = 0").select(RID, "n", F.col(RID).alias("cid"))), "members")
     often = (profile.filter("kind = 1").groupBy(F.col("k1").alias("t")).agg(F.sum("n").alias("c"))
-             .orderBy(F.desc("c"), "t").limit(REPEATED).toPandas())
-    token = often["t"].to_numpy(np.int64).view(np.uint64)
+             .orderBy(F.desc("c"), "t").limit(REPEATED).select("t").mapInArrow(_packed_tokens, "t binary").collect())
+    token = np.frombuffer(b"".join(r["t"] for r in often), np.uint64)
     rank = len(token) - np.arange(len(token), dtype=np.int64)  # the most frequent comes last
     o = np.argsort(token)
     repeated = spark.sparkContext.broadcast((token[o], rank[o]))
@@ -349,11 +355,15 @@ def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SHINGLE,
                 percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, once each."""
-    rows, unique = attach(docs, text_col, id_col)
-    texts = rows.select(RID, F.col(text_col).alias("text"))
+    """The rows of ``docs`` that stand for their component, once each: of each group
+    the row with the smallest id (null first; of one id, by the text's hash).
+    Texts without words are groups of their own. Ids may be of any type, and
+    further columns of any name."""
+    base, names = plain(docs)
+    rows, unique = attach(base, names[text_col], names[id_col])
+    texts = rows.select(RID, F.col(names[text_col]).alias("text"))
     members, links = similar_classes(texts if unique else texts.dropDuplicates([RID]), size, percent)
     labels = components(links).withColumnsRenamed({"node": "cid"})
     first = (members.join(labels, "cid", "left").filter(F.coalesce("component", "cid") == F.col(RID)).select(RID))
     kept = rows.join(first, RID, "left_semi")
-    return (kept if unique else kept.dropDuplicates([RID])).select(*docs.columns)
+    return (kept if unique else kept.dropDuplicates([RID])).select(*base.columns).toDF(*names)

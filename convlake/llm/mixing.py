@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.frames import stored
+from convlake.llm.frames import plain, stored
 
 MAX_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,8 +148,12 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col: str
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source",
           text_col: str = "text", most: int = MAX_COPIES) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with their ``copies``. Rows that
-    repeat an id take the largest number of copies that any of them got."""
-    copies = (mixture(docs, weights, id_col, source_col, text_col, most).groupBy(F.col(id_col).alias("_of"))
-              .agg(F.max("copies").alias("_copies")).filter("_copies > 0"))
-    return docs.join(copies, F.col(id_col).eqNullSafe(F.col("_of"))).select(*docs.columns, F.col("_copies").alias("copies"))
+    """The rows of ``docs`` that the mix takes, with their ``copies`` (a column of
+    that name is replaced). Rows that repeat an id take the largest number of
+    copies that any of them got. Rows without words stay once. Ids may be of any
+    type, and further columns of any name."""
+    base, names = plain(docs.drop("copies"))
+    copies = (mixture(base, weights, names[id_col], names[source_col], names[text_col], most).groupBy(F.col(names[id_col]).alias("_of"))
+              .agg(F.max("copies").alias("copies")).filter("copies > 0"))
+    return (base.join(copies, F.col(names[id_col]).eqNullSafe(F.col("_of"))).select(*base.columns, "copies")
+            .toDF(*names, "copies"))

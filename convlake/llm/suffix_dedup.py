@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import text as T
-from convlake.llm.frames import RID, attach, ints, keyed, record, runs, stored
+from convlake.llm.frames import RID, attach, ints, keyed, plain, record, runs, stored
 
 DEPTH = 100
 ANCHOR = 32
@@ -454,10 +454,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """``docs`` with repeated spans cut out of the texts; a span that would cut a
     UTF-8 character leaves the whole character in place. Rows left without a word
-    go; a null text stays null and its row goes too."""
-    rows, unique = attach(docs, text_col, id_col)
-    texts = rows.select(RID, F.col(text_col).alias("text"))
+    go, so null and empty texts do. Rows repeated with id and text are one document
+    and are cut alike. Ids may be of any type, and further columns of any name."""
+    base, names = plain(docs)
+    rows, unique = attach(base, names[text_col], names[id_col])
+    texts = rows.select(RID, F.col(names[text_col]).alias("text"))
     texts = texts if unique else texts.dropDuplicates([RID])
     cut = (_with_spans(texts, repeated_spans(texts, depth)).mapInArrow(_texts, f"{RID} long, text string, n_removed long")
            .filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(RID, F.col("text").alias("_rest")))
-    return (rows.drop(text_col).join(cut, RID).withColumnRenamed("_rest", text_col).select(*docs.columns))
+    return (rows.drop(names[text_col]).join(cut, RID).withColumnRenamed("_rest", names[text_col]).select(*base.columns).toDF(*names))
