@@ -45,19 +45,43 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append", enabled: bool =
          .write.mode(mode).partitionBy("date").json(path))
 
 
-def read_logs(spark: SparkSession, path: str, quarantine_path: str | None = None, multi_line: bool = False) -> DataFrame:
-    """SRC-1: read every JSON log (one object per line/file) with a fixed schema.
+#: Paths of indented files named one by one; more are found by a join on the file path.
+NAMED_FILES = 10_000
 
-    ``multi_line`` reads files that hold one indented object each. With
-    ``quarantine_path`` the corrupt records are written there.
+
+def read_logs(spark: SparkSession, path: str, quarantine_path: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """SRC-1: read every JSON log under ``path`` with a fixed schema.
+
+    Files may hold one object per line or one indented object each. By default
+    both are read: a file with a corrupt line and no log in any line is read again
+    as a whole. ``multi_line`` False or True reads all files in the one shape, in
+    one pass. With ``quarantine_path`` the corrupt records are written there, with
+    the path of their file.
     """
     schema = S.CONVERSATION_LOG + ", stamp STRING, _corrupt STRING"
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    raw = (reader.option("multiLine", "true") if multi_line else reader).json(path)
-    if quarantine_path:
-        raw.filter(F.col("_corrupt").isNotNull()).select("_corrupt", "session_id").write.mode("append").json(quarantine_path)
+
+    def read(whole: bool, *paths: str) -> DataFrame:
+        r = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        r = r.option("multiLine", "true") if whole else r
+        r = r.option("basePath", path) if paths else r
+        return r.json(list(paths) or path).withColumn("_file", F.col("_metadata.file_path"))
+
     # the second test is always true; it keeps a data column in the scan, as the corrupt column alone cannot be read
-    return raw.filter(F.col("_corrupt").isNull() & (F.coalesce(F.length("session_id"), F.lit(0)) >= 0)).drop("_corrupt")
+    is_row = F.coalesce(F.length("session_id"), F.lit(0)) >= 0
+    good = F.col("_corrupt").isNull() & is_row
+    raw = read(bool(multi_line))
+    if multi_line is None:
+        whole = (raw.groupBy("_file").agg(F.bool_or(~good).alias("broken"), F.bool_or(good & F.col("session_id").isNotNull()).alias("logs"))
+                 .filter("broken and not logs").select("_file"))
+        named = [r["_file"] for r in whole.limit(NAMED_FILES + 1).collect()]
+        if len(named) > NAMED_FILES:
+            raw = raw.join(whole, "_file", "left_anti").unionByName(read(True).join(whole, "_file", "left_semi"))
+        elif named:
+            raw = raw.filter(~F.col("_file").isin(named)).unionByName(read(True, *named))
+    if quarantine_path:
+        (raw.filter(~good).select("_corrupt", "session_id", F.col("_file").alias("file"))
+         .write.mode("append").json(quarantine_path))
+    return raw.filter(good).drop("_corrupt", "_file")
 
 
 def list_logs(logs: DataFrame, limit: int | None = None) -> DataFrame:
