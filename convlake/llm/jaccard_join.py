@@ -11,13 +11,18 @@ of all tokens, so candidates must share one under several orders:
 * orders 2 and 3 are hash orders; their prefixes are compared for the pairs left;
 * what passes all three is verified on the whole sets.
 
-A token's list of up to ``SMALL`` classes gives its pairs. A longer list is split
-by the two exact sizes, each part is compared with its most central members
-(stars), and after the links found so far are contracted only pairs between
-different components are compared, so a large group of copies costs its size and
-not its square. So the links between classes are a connecting subset: all
-components are exact, but two similar texts of one component may have no link of
-their own where every list they share is long, and links are not counted.
+A token's list of up to ``SMALL`` classes gives its pairs. Each class of a longer
+list is compared with the list's most central class c (its pivot). Classes u and v
+that link, but not both with c, differ from c in the same places: with D(x) the
+tokens that only one of x and c has, |u ^ v| = |D(u)| + |D(v)| - 2 |D(u) & D(v)| may
+be at most (100 - percent) (|u| + |v|) / (100 + percent), while one of |D(u)| and
+|D(v)| alone is above its own bound; so D(u) and D(v) share tokens, and how many is
+known. A second prefix filter on the differences, tokens outside c first, gives the
+candidates between the components found so far. What the whole list has in common
+(a copied text, a shared passage) is in no difference, so a large group costs its
+size. The links are a connecting subset: components are exact, but two similar texts
+of one component may have no link of their own where every list they share is long,
+and links are not counted.
 """
 
 from __future__ import annotations
@@ -54,6 +59,8 @@ _PRE = pa.schema([("t", pa.int64()), (RID, pa.int64()), ("n", pa.int64()), ("pos
 _PRE_DDL = f"t long, {RID} long, n long, pos long"
 _SKETCH = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary())])
 _SKETCH_DDL = "cid long, n long, p2 binary, p3 binary"
+_DIF = pa.schema([(c, pa.int64()) for c in ("pivot", "t", "cid", "component", "n", "d", "pos")])
+_DIF_DDL = "pivot long, t long, cid long, component long, n long, d long, pos long"
 _SET = pa.schema([("cid", pa.int64()), ("whole", pa.binary())])
 _SET_DDL = "cid long, whole binary"
 
@@ -123,6 +130,14 @@ def _packed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([ints(batch, "t").astype("<i8").tobytes()], pa.binary())], ["t"])
 
 
+def _late(s: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of tokens in the learnt order; 0, before all others, of those not in it."""
+    if not len(token):
+        return np.zeros(len(s), np.int64)
+    j = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    return np.where(token[j] == s, rank[j], 0)
+
+
 def _prefixes(size: int, percent: int, repeated):
     """First tokens of each different set of a slice under order 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +152,7 @@ def _prefixes(size: int, percent: int, repeated):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
                     done.add(key)
-                    late = np.zeros(len(s), np.int64)
-                    if len(token):
-                        j = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                        late = np.where(token[j] == s, rank[j], 0)
-                    first = np.lexsort((T.mix(s ^ _U(ORDER_SALTS[0])), late))[: prefix_length(len(s), percent)]
+                    first = np.lexsort((T.mix(s ^ _U(ORDER_SALTS[0])), _late(s, token, rank)))[: prefix_length(len(s), percent)]
                     out.append((s[first], int(rid[lo + i]), len(s)))
                 if out:
                     k = np.array([len(o[0]) for o in out])
@@ -247,6 +258,33 @@ def _verified(percent: int):
     return run
 
 
+def _differences(percent: int, repeated):
+    """(pivot, t, cid, component, n, d, pos): the first tokens of each class's
+    difference from its pivot, d its size; tokens that the pivot lacks come first,
+    then order 1. A partner's difference is smaller by at most the spare difference
+    of a linked pair, so one token more than that is enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, rank = repeated.value
+        for batch in batches:
+            for some in _some_pairs([batch]):
+                out: list[np.ndarray] = []
+                sizes, ds = [], []
+                for x, c in zip(some.column("whole"), some.column("pwhole")):
+                    x, c = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint64)
+                    new, gone = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                    d = np.concatenate([new, gone])
+                    own = np.repeat([0, 1], [len(new), len(gone)])
+                    spare = (100 - percent) * (len(x) + 100 * len(x) // percent) // (100 + percent)
+                    out.append(d[np.lexsort((T.mix(d ^ _U(ORDER_SALTS[0])), _late(d, token, rank), own))[: spare + 1]])
+                    sizes.append(len(x))
+                    ds.append(len(d))
+                k = np.array([len(o) for o in out])
+                yield record(_DIF, np.repeat(ints(some, "pivot"), k), np.concatenate(out).view(np.int64), np.repeat(ints(some, "cid"), k),
+                             np.repeat(ints(some, "component"), k), np.repeat(sizes, k), np.repeat(ds, k),
+                             np.concatenate([np.arange(i) for i in k]))
+    return run
+
+
 def _need_sql(x: str, y: str, percent: int) -> str:
     return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
 
@@ -273,7 +311,6 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
         texts.mapInArrow(_prefixes(size, percent, repeated), _PRE_DDL).repartition(parts, "t").sortWithinPartitions("t")
         .mapInArrow(_shared_tokens, _PRE_DDL).join(members.select(RID, "cid"), RID)
         .select("t", "cid", "n", "pos").distinct(), "postings")
-    repeated.unpersist()
     lists = postings.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
     listed = postings.join(lists, "t")
     # short lists: all pairs whose sizes and positions allow a link
@@ -283,33 +320,38 @@ def similar_classes(texts: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     fits = F.expr(f"x.cid < y.cid and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
                   f" and x.pos <= x.n - {need} and y.pos <= y.n - {need}")
     pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & fits).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    # long lists: by exact sizes (p <= q), left side of size p and right side of size q
-    smaller = f"filter(sequence(n, (100 * n) div {percent}), q -> pos <= n - {_need_sql('n', 'q', percent)})"
-    larger = f"filter(sequence(({percent} * n + 99) div 100, n), p -> pos <= n - {_need_sql('p', 'n', percent)})"
+    # long lists: every class against the list's pivot
     central = postings.groupBy("cid").agg(F.count("*").alias("central"))
-    long = listed.filter(F.col("c") > SMALL).select("t", "cid", "n", "pos")
-    sides = stored(
-        long.select("t", "cid", F.col("n").alias("p"), F.explode(F.expr(smaller)).alias("q"), F.lit(0).alias("side"))
-        .unionByName(long.select("t", "cid", F.explode(F.expr(larger)).alias("p"), F.col("n").alias("q"), F.lit(1).alias("side")))
-        .join(central, "cid"), "sides")
-    lead = (sides.groupBy("t", "p", "q", "side").agg(F.max(F.struct("central", -F.col("cid"))).alias("m"))
-            .select("t", "p", "q", (1 - F.col("side")).alias("side"), (-F.col("m.col2")).alias("lead")))
-    stars = sides.join(lead, ["t", "p", "q", "side"]).filter("cid <> lead").select(
-        F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
+    long = listed.filter(F.col("c") > SMALL).select("t", "cid", "n").join(central, "cid")
+    pivots = long.groupBy("t").agg(F.max(F.struct("central", -F.col("cid"), "n")).alias("m")).select(
+        "t", (-F.col("m.col2")).alias("pivot"), F.col("m.n").alias("pn"))
+    around = stored(long.join(pivots, "t").filter("cid <> pivot").select("cid", "n", "pivot", "pn").distinct(), "around")
+    stars = around.filter(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").select(
+        F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
     first = stored(pairs.union(stars).distinct(), "pairs")
-    wanted = first.select("a").union(first.select("b")).union(sides.select("cid"))
+    wanted = first.select("a").union(first.select("b")).union(around.select("cid"))
     sketches = stored(_picked(texts, wanted).mapInArrow(_sketches(size, percent), _SKETCH_DDL), "sketches")
     links = stored(_links(first, texts, sketches, size, percent), "links")
-    # between components that share a long list, the pairs not compared yet
-    labels = components(links)
-    placed = sides.select("t", "p", "q", "side", "cid").join(
-        labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    apart = (placed.groupBy("t", "p", "q").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-             .filter("c0 < c1").drop("c0", "c1"))
-    open_ = placed.join(apart, ["t", "p", "q"])
-    u, v = open_.filter("side = 0").alias("u"), open_.filter("side = 1").alias("v")
-    rest = (u.join(v, F.expr("u.t = v.t and u.p = v.p and u.q = v.q and u.component <> v.component"))
-            .select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
+    # pairs between components around one pivot: those whose differences from it agree
+    placed = around.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select(
+        "pivot", "cid", F.coalesce("component", "cid").alias("component"))
+    apart = (placed.groupBy("pivot").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+             .filter("c0 < c1").select("pivot"))
+    open_ = stored(placed.join(apart, "pivot"), "open")
+    whole = stored(_picked(texts, open_.select("cid").union(open_.select("pivot"))).mapInArrow(_sets(size), _SET_DDL), "sets")
+    differ = stored(
+        open_.join(whole, "cid").join(whole.toDF("pivot", "pwhole"), "pivot")
+        .select("pivot", "cid", "component", "whole", "pwhole").mapInArrow(_differences(percent, repeated), _DIF_DDL), "differences")
+    repeated.unpersist()
+    shared = differ.groupBy("pivot", "t").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1")
+    met = differ.join(shared.select("pivot", "t"), ["pivot", "t"])
+    u, v = met.alias("u"), met.alias("v")
+    spare = f"(({100 - percent} * (u.n + v.n)) div {100 + percent})"
+    common = f"greatest(1, (u.d + v.d - {spare} + 1) div 2)"
+    rest = (u.join(v, F.expr("u.pivot = v.pivot and u.t = v.t and u.cid < v.cid and u.component <> v.component"
+                             f" and 100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)"
+                             f" and u.pos <= u.d - {common} and v.pos <= v.d - {common}"))
+            .select(F.col("u.cid").alias("a"), F.col("v.cid").alias("b")).distinct()
             .join(first, ["a", "b"], "left_anti"))
     return members, links.union(_links(rest, texts, sketches, size, percent))
 
