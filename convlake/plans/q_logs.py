@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
@@ -16,6 +18,8 @@ from convlake.plans.q_rules import PACKS
 from convlake.plans.q_text import DETECTED_AT, _lead_sql
 from convlake.plans.registry import register
 from convlake.plans.views import duckdb_with, view
+from convlake.session import checkpoint_dir
+from convlake.sources import buckets as BK
 from convlake.sources import logs as LG
 from convlake.sources import sse as SSE
 
@@ -99,8 +103,8 @@ SELECT session_id, CAST(arg_max(n, struct_pack(a := updated_at, s := seq)) AS BI
  max(updated_at) AS updated_at FROM u GROUP BY session_id"""
 
 
-@register("snk3_merge_sessions", "SNK-3", oracle=MERGE_SQL)
-def snk3_merge_sessions(spark, sf):
+def _session_updates(spark, sf):
+    """The first two turns of every session, then an update of each with all turns."""
     t = view(spark, sf, "conversations")
     base = LG.sessions_from_turns(t.filter(F.col("turn") <= 1), "conv_id", "turn", "role", "text",
                                   F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
@@ -109,12 +113,33 @@ def snk3_merge_sessions(spark, sf):
               .otherwise(F.concat(F.lit("new"), F.col("conv_id").cast("string"))))
     upd = LG.sessions_from_turns(t, "conv_id", "turn", "role", "text",
                                  F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), title=title)
-    upd = upd.withColumn("seq", F.lit(0).cast("bigint"))
-    m = LG.merge_sessions(base, upd)
+    return base, upd.withColumn("seq", F.lit(0).cast("bigint"))
+
+
+def _merged(m):
     return m.select("session_id", F.size(F.from_json("history", "array<string>")).cast("bigint").alias("n_messages"),
                     "title", "updated_at")
 
 
+@register("snk3_merge_sessions", "SNK-3", oracle=MERGE_SQL)
+def snk3_merge_sessions(spark, sf):
+    return _merged(LG.merge_sessions(*_session_updates(spark, sf)))
+
+
+@register("snk3_upsert_buckets_stream", "SNK-3", oracle=MERGE_SQL)
+def snk3_upsert_buckets_stream(spark, sf):
+    """Both parts arrive as files of one stream that upserts into key buckets."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/sessions/{uuid.uuid4().hex}"
+    base, upd = _session_updates(spark, sf)
+    for part in (base.withColumn("seq", F.lit(0).cast("bigint")), upd):
+        part.write.mode("append").parquet(f"{root}/in")
+        q = BK.upsert_buckets_stream(spark.readStream.schema(upd.schema).parquet(f"{root}/in"), f"{root}/table", f"{root}/ck", buckets=16)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return _merged(BK.read_buckets(spark, f"{root}/table"))
+
+
 _RAW = f"NULLIF(regexp_extract(COALESCE(text, ''), {K.q(K.re2(TC.TOOL_CALL_RX))}, 1), '')"
 
 
