@@ -8,15 +8,21 @@ the last matched group is searched for a city only.
 
 Plan by dictionary size (checked, never assumed):
   <= LITERAL_MAX terms  -> literal array + higher-order ``filter`` (narrow, no shuffle)
+  <= AUTOMATON_BYTES    -> the terms as one broadcast automaton, one pass over each
+                           text in Arrow batches (narrow, no shuffle)
   larger                -> equi-join of text slices with the terms on the first
-                           characters; the terms are broadcast when small in bytes
+                           characters
 
-Both plans answer per row, whatever the ids: a null text has no location, and
+All plans answer per row, whatever the ids: a null text has no location, and
 an empty or null term never matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,10 @@ from convlake.operators.lookup import checked_broadcast
 from convlake.operators.sequence import DENSE_ROWS, carry_last, carry_last_sorted, densest_bucket
 
 LITERAL_MAX = 256
+#: Characters of terms and hit fields, and terms, that one automaton may hold: it is
+#: built once in each worker, from broadcast rows (about 100 bytes a character).
+AUTOMATON_BYTES = 1 << 20
+AUTOMATON_TERMS = 100_000
 ANCHOR = 3
 BLOCK = 256
 HIT_FIELDS = ("kind", "city", "region", "state")
@@ -54,6 +64,10 @@ def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text",
     head = gazetteer.limit(LITERAL_MAX + 1).collect()
     if len(head) <= LITERAL_MAX:
         return _tag_literal(msgs, head, text, phrases)
+    width = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("term", *HIT_FIELDS)), F.lit(0))
+    rows, chars = gazetteer.agg(F.count("*"), F.sum(width)).first()
+    if rows <= AUTOMATON_TERMS and chars <= AUTOMATON_BYTES:
+        return _tag_automaton(msgs, gazetteer, text, phrases)
     return _tag_join(msgs, gazetteer, text, phrases)
 
 
@@ -74,6 +88,45 @@ def _tag_literal(msgs, gazetteer_rows, text, phrases):
         "*", *[F.col("_hit")[f].alias("loc_" + f) for f in HIT_FIELDS]).drop("_hit")
 
 
+def _automaton(rows) -> ahocorasick.Automaton:
+    """Every term with its best row overall and its best city row (row numbers in
+    order of priority; None without a city)."""
+    found = ahocorasick.Automaton()
+    for i, (term, kind, *_) in enumerate(rows):
+        first, city = found.get(term, (i, None))
+        found.add_word(term, (first, i if city is None and kind == "city" else city))
+    found.make_automaton()
+    return found
+
+
+def _tag_automaton(msgs: DataFrame, gazetteer: DataFrame, text: str, phrases) -> DataFrame:
+    """All terms are sought at once in one pass over a text; time follows the text's
+    length and its hits, whatever the longest term."""
+    terms = gazetteer.filter(F.length("term") > 0).select("priority", "term", *HIT_FIELDS).collect()
+    rows = [tuple(r)[1:] for r in sorted(terms, key=lambda r: r["priority"])]
+    known = msgs.sparkSession.sparkContext.broadcast(rows)
+
+    @F.pandas_udf(", ".join(f"{f} string" for f in HIT_FIELDS))
+    def hits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rows = known.value
+        automaton = _automaton(rows) if rows else None
+        for part in parts:
+            out = []
+            for texts in part:
+                best = None
+                for slot, s in enumerate(texts if automaton else ()):
+                    which = 0 if slot == len(phrases) else 1  # phrases name cities only
+                    best = min((v[which] for _, v in automaton.iter(s or "") if v[which] is not None), default=None)
+                    if best is not None:
+                        break
+                out.append(rows[best][1:] if best is not None else (None,) * len(HIT_FIELDS))
+            yield pd.DataFrame(out, columns=list(HIT_FIELDS), dtype=object)
+
+    low = F.lower(F.col(text))
+    return msgs.withColumn("_hit", hits(F.array(*_phrase_texts(low, phrases), low))).select(
+        *msgs.columns, *[F.col("_hit")[f].alias("loc_" + f) for f in HIT_FIELDS])
+
+
 def _slots(msgs: DataFrame, text: str, phrases) -> DataFrame:
     """The texts to search, by (``_key``, slot): equal texts share their key."""
     low = F.lower(F.col(text))

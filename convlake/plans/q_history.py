@@ -96,6 +96,14 @@ def join1_tag_location_broadcast(spark, sf):
     return G._tag_join(m, view(spark, sf, "v_gaz"), "text", D.LOCATION_PHRASES, broadcast=True).drop("text")
 
 
+@register("join1_tag_location_automaton", "JOIN-1", oracle=W("v_msg", "v_gaz").rstrip() + ",\n" + TAG_SQL
+          + "\nSELECT msg_id, loc_kind, loc_city, loc_region, loc_state FROM tg")
+def join1_tag_location_automaton(spark, sf):
+    """Same answer through one automaton of all terms (dictionary above the literal size)."""
+    m = view(spark, sf, "v_msg").select("msg_id", "text")
+    return G._tag_automaton(m, view(spark, sf, "v_gaz"), "text", D.LOCATION_PHRASES).drop("text")
+
+
 @register("join1_tag_location_grams", "JOIN-1", oracle=W("v_msg", "v_gaz").rstrip() + ",\n" + TAG_SQL
           + "\nSELECT msg_id, loc_kind, loc_city, loc_region, loc_state FROM tg")
 def join1_tag_location_grams(spark, sf):
