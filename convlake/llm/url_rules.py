@@ -1,11 +1,14 @@
 """URL verdicts by association rules (native).
 
 URLs become sets of tokens (host, its labels and words, path parts, query keys).
-Spark's FP-growth mines the tokens of labelled URLs together with the mark of the
-bad ones; rules "tokens -> bad" that pass a confidence, a lift and a support
-bound stay. They are matched by an inverted index: each rule waits for its tokens
-under one of them, and a URL that holds all of a rule's tokens is blocked. Given
-host and path rules come first; the longest that fits decides.
+Rules "tokens -> bad" need a number of bad URLs (the same at every table size), a
+confidence and a lift. Tokens that pass alone are rules; Spark's FP-growth mines
+the combinations of the others from the bad URLs, and their confidence comes from
+all labelled URLs. A rule that holds a passing token could not change a verdict,
+so such tokens need not be mined. Rules are matched by an inverted index: each
+waits for its tokens under one of them, and a URL that holds all of a rule's
+tokens is blocked. Given host and path rules come first; the longest that fits
+decides.
 """
 
 from __future__ import annotations
@@ -16,8 +19,6 @@ from pyspark.sql import functions as F
 
 from convlake.llm.frames import stored
 
-BAD = "label:bad"
-MIN_SUPPORT = 0.004
 MIN_COUNT = 20
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 2.0
@@ -44,7 +45,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     tokens = F.concat(
         F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("scheme:"), F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
         F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("part:"), x)),
-        F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("word:"), x)),
+        F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: host.contains("-")), lambda x: F.concat(F.lit("word:"), x)),
         F.transform(F.split(parts, "/"), lambda x: F.concat(F.lit("path:"), x)),
         F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1))))
     return F.array_distinct(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: ~x.endswith(":")))
@@ -61,33 +62,53 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule_id, tokens, confidence, support) of the rules that stay. ``labelled``
-    has tokens (different strings) and bad (boolean). A rule stays only if no
-    rule on a part of its tokens is as confident."""
-    baskets = stored(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")),
-                     "baskets")
-    n = baskets.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n) if n > min_count else 1.0,
-                     minConfidence=min_confidence).fit(baskets)
-    rules = stored(model.associationRules.filter(F.expr(f"consequent = array('{BAD}') and lift >= {min_lift}"))
-                   .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
+         min_count: int = MIN_COUNT) -> DataFrame:
+    """(rule_id, tokens, token, confidence, support) of the rules that stay: token is
+    the rarest of the tokens, support their share of bad URLs among the labelled. ``labelled`` has tokens (different
+    strings) and bad (boolean). A rule stays only if no rule on a part of its
+    tokens is as confident. Without bad rows there is none."""
+    rows = stored(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("key")), "baskets")
+    n, n_bad = rows.agg(F.count("*"), F.count(F.when(F.col("bad"), 1))).first()
+    if n_bad < min_count:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, token string, confidence double, support double")
+
+    def kept(counts: DataFrame) -> DataFrame:
+        """Rules among counts (tokens, of, bad)."""
+        return (counts.withColumn("confidence", F.col("bad") / F.col("of")).withColumn("support", F.col("bad") / n)
+                .filter((F.col("bad") >= min_count) & (F.col("confidence") >= min_confidence) & (F.col("confidence") * n >= min_lift * n_bad))
+                .select(F.xxhash64("tokens").alias("rule_id"), "tokens", "token", "confidence", "support"))
+
+    bad = F.count(F.when(F.col("bad"), 1)).alias("bad")
+    singles = stored(rows.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("of"), bad), "singles")
+    alone = kept(singles.select(F.array("token").alias("tokens"), "token", "of", "bad"))
+    # tokens for combinations: often enough with bad, and no rule by themselves
+    usable = singles.filter(F.col("bad") >= min_count).join(alone.select("token"), "token", "left_anti").select("token")
+    left = stored(rows.select("key", "bad", F.explode("tokens").alias("token")).join(usable, "token")
+                  .groupBy("key", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "combinations")
+    model = FPGrowth(itemsCol="tokens", minSupport=(min_count - 0.5) / n_bad).fit(left.filter("bad"))
+    sets = stored(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= min_count))
+                  .select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("tokens")), "itemsets")
+    rarest = (sets.select("rule_id", F.explode("tokens").alias("token")).join(singles, "token")
+              .groupBy("rule_id").agg(F.min_by("token", F.struct("of", "token")).alias("token")))
+    sets = stored(sets.join(rarest, "rule_id"), "itemsets")
+    # only the good URLs remain to be counted
+    good = matched(left.filter("not bad"), sets).groupBy("rule_id").agg(F.count("*").alias("good"))
+    many = kept(sets.join(good, "rule_id", "left").select("tokens", "token", "bad", (F.col("bad") + F.coalesce("good", F.lit(0))).alias("of")))
+    rules = stored(alone.unionByName(many), "rules")
     # prune by containment through the inverted index: parts of a rule share its tokens
     flat = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
     inside = (flat.alias("a").join(flat.alias("b"), F.expr("a.token = b.token and size(a.tokens) < size(b.tokens) and a.confidence >= b.confidence"))
               .groupBy("a.tokens", "b.tokens").agg(F.count("*").alias("n")).toDF("part", "whole", "n")
               .filter(F.col("n") == F.size("part")).select(F.col("whole").alias("tokens")).distinct())
-    return stored(rules.join(inside, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
-                  .select("rule_id", "tokens", "confidence", "support"), "rules")
+    return stored(rules.join(inside, "tokens", "left_anti").select("rule_id", "tokens", "token", "confidence", "support"), "rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, rule_id) of ``urls`` (key, tokens) that hold all tokens of a rule.
-    Rules are posted under their last token in order, so a URL meets each once."""
-    posted = rules.select("rule_id", F.col("tokens").alias("needed"), F.array_max("tokens").alias("token"))
+    Rules are posted under their rarest token, so a URL meets each once and common
+    tokens post little."""
+    posted = rules.select("rule_id", F.col("tokens").alias("needed"), "token")
     return (urls.select("key", "tokens", F.explode("tokens").alias("token")).join(posted, "token")
             .filter(F.size(F.array_except("needed", "tokens")) == 0).select("key", "rule_id"))
 

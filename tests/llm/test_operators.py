@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing column names."""
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 
@@ -307,3 +308,36 @@ def test_url_rules(spark):
         (None, "allow"), ("com/", "allow")]
     assert (got[2].host, got[2].path, got[8].host) == ("www.example.com", "/en/2", "y:")
     assert all(got[100 + i].verdict == ("block" if i % 4 == 1 else "allow") for i in range(200))
+
+
+def _mined_by_hand(rows, min_count=20, min_confidence=0.6, min_lift=2.0):
+    """Every set of tokens that passes, without those that hold a passing part as confident."""
+    n, n_bad = len(rows), sum(b for _, b in rows)
+    of, bad = collections.Counter(), collections.Counter()
+    for tokens, b in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                of[part] += 1
+                bad[part] += b
+    rules = {s: bad[s] / of[s] for s in of if bad[s] >= min_count and bad[s] / of[s] >= min_confidence and bad[s] * n >= min_lift * n_bad * of[s]}
+    alone = {s[0] for s in rules if len(s) == 1}
+    return {s: c for s, c in rules.items() if (len(s) == 1 or not alone & set(s))
+            and not any(set(o) < set(s) and rules[o] >= c for o in rules)}
+
+
+@pytest.mark.parametrize("good", [300, 6000])
+def test_url_rules_mined(spark, good):
+    """Two tokens that are bad only together, a wholly bad host of 20 URLs, one of 19: the same rules at either size."""
+    rnd = random.Random(3)
+    rows = [(["a", "b", f"x{rnd.randrange(3)}"], True) for _ in range(40)] + [(["bad", "c"], True)] * 20 + [(["less", "c"], True)] * 19
+    rows += [([rnd.choice("ab"), f"x{rnd.randrange(3)}", "c"], False) for _ in range(good)] + [(["a", "b", "x1"], False)] * 5 + [([], False), ([], True)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = {tuple(r.tokens): r.confidence for r in url_rules.mine(df).collect()}
+    assert got == pytest.approx(_mined_by_hand(rows))
+    assert ("bad",) in got and ("a", "b") in got and not any("less" in r for r in got)
+
+
+def test_url_rules_without_any(spark):
+    df = spark.createDataFrame([(["a"], False), (["b"], True)], "tokens array<string>, bad boolean")
+    assert url_rules.mine(df).count() == 0 and url_rules.mine(df, min_count=1).count() == 1
+    assert url_rules.mine(df.limit(0)).count() == 0
