@@ -1,10 +1,10 @@
 """URL verdicts by association rules (native).
 
 URLs become sets of tokens (host, its labels and words, path parts, query keys).
-Rules "tokens -> bad" need a number of bad URLs (the same at every table size), a
-confidence and a lift. Tokens that pass alone are rules; Spark's FP-growth mines
-the combinations of the others from the bad URLs, and their confidence comes from
-all labelled URLs. A rule that holds a passing token could not change a verdict,
+Rules "tokens -> bad" need a number of bad URLs, a confidence and a lift. Tokens
+that pass alone are rules, by the same number at every table size; Spark's
+FP-growth mines the combinations of the others, by support, from the bad URLs,
+and their confidence comes from all labelled URLs. A rule that holds a passing token could not change a verdict,
 so such tokens need not be mined. Rules are matched by an inverted index: each
 waits for its tokens under one of them, and a URL that holds all of a rule's
 tokens is blocked. Given host and path rules come first; the longest that fits
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from convlake.llm.frames import stored
 
+#: Bad URLs that a rule needs; a combination of tokens also this share of all labelled URLs,
+#: so that their number does not grow with the table.
 MIN_COUNT = 20
+MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 2.0
 #: (host/path, verdict), fixed by the contract.
@@ -63,7 +66,7 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
-         min_count: int = MIN_COUNT) -> DataFrame:
+         min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT) -> DataFrame:
     """(rule_id, tokens, token, confidence, support) of the rules that stay: token is
     the rarest of the tokens, support their share of bad URLs among the labelled. ``labelled`` has tokens (different
     strings) and bad (boolean). A rule stays only if no rule on a part of its
@@ -73,6 +76,8 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift:
     if n_bad < min_count:
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, token string, confidence double, support double")
 
+    floor = max(min_count, min_support * n)  # of combinations
+
     def kept(counts: DataFrame) -> DataFrame:
         """Rules among counts (tokens, of, bad)."""
         return (counts.withColumn("confidence", F.col("bad") / F.col("of")).withColumn("support", F.col("bad") / n)
@@ -83,11 +88,11 @@ def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_lift:
     singles = stored(rows.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("of"), bad), "singles")
     alone = kept(singles.select(F.array("token").alias("tokens"), "token", "of", "bad"))
     # tokens for combinations: often enough with bad, and no rule by themselves
-    usable = singles.filter(F.col("bad") >= min_count).join(alone.select("token"), "token", "left_anti").select("token")
+    usable = singles.filter(F.col("bad") >= floor).join(alone.select("token"), "token", "left_anti").select("token")
     left = stored(rows.select("key", "bad", F.explode("tokens").alias("token")).join(usable, "token")
                   .groupBy("key", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "combinations")
-    model = FPGrowth(itemsCol="tokens", minSupport=(min_count - 0.5) / n_bad).fit(left.filter("bad"))
-    sets = stored(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= min_count))
+    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (floor - 0.5) / n_bad)).fit(left.filter("bad"))
+    sets = stored(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= floor))
                   .select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")).withColumn("rule_id", F.xxhash64("tokens")), "itemsets")
     rarest = (sets.select("rule_id", F.explode("tokens").alias("token")).join(singles, "token")
               .groupBy("rule_id").agg(F.min_by("token", F.struct("of", "token")).alias("token")))

@@ -319,7 +319,8 @@ def _mined_by_hand(rows, min_count=20, min_confidence=0.6, min_lift=2.0):
             for part in itertools.combinations(sorted(tokens), k):
                 of[part] += 1
                 bad[part] += b
-    rules = {s: bad[s] / of[s] for s in of if bad[s] >= min_count and bad[s] / of[s] >= min_confidence and bad[s] * n >= min_lift * n_bad * of[s]}
+    rules = {s: bad[s] / of[s] for s in of
+             if bad[s] >= (min_count if len(s) == 1 else max(min_count, 0.004 * n)) and bad[s] / of[s] >= min_confidence and bad[s] * n >= min_lift * n_bad * of[s]}
     alone = {s[0] for s in rules if len(s) == 1}
     return {s: c for s, c in rules.items() if (len(s) == 1 or not alone & set(s))
             and not any(set(o) < set(s) and rules[o] >= c for o in rules)}
