@@ -46,6 +46,24 @@ SELECT msg_id AS lead_id, session_id, brand, CASE WHEN msg_id % 9 = 1 THEN 'webs
  CASE WHEN msg_id % 4 = 0 THEN '' ELSE CONCAT('n', CAST(msg_id AS VARCHAR(20))) END AS name, CASE WHEN msg_id % 5 = 0 THEN NULL ELSE CONCAT('u', CAST(msg_id AS VARCHAR(20)), '@example.com') END AS email FROM {v_msg}""",
     "v_turn": """
 SELECT conv_id, turn, role, text, CAST(conv_id * 100000 + turn AS BIGINT) AS seq, SUBSTRING(text, 1, 200) AS head FROM {conversations}""",
+    # Conversations in which every message rule has something to do.
+    "v_chat": """
+SELECT CAST(conv_id * 100000 + turn AS BIGINT) AS msg_id, CONCAT('c', CAST(CAST(FLOOR(conv_id / 3) AS BIGINT) AS VARCHAR(20))) AS session_id, turn,
+ CASE (conv_id + 3 * turn) % 9 WHEN 1 THEN 'system' WHEN 2 THEN 'tool' WHEN 3 THEN 'function' WHEN 4 THEN NULL WHEN 5 THEN 'assistant' ELSE role END AS role,
+ CASE conv_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'make_audio' WHEN 2 THEN '' ELSE NULL END AS name,
+ CASE (7 * conv_id + 5 * turn) % 14
+  WHEN 0 THEN NULL
+  WHEN 1 THEN ''
+  WHEN 2 THEN CONCAT(' ', chr(9), chr(10))
+  WHEN 3 THEN 'Sorry, we are experiencing high demand, try again'
+  WHEN 4 THEN CONCAT('generate_image({{"prompt": "a ', CAST(conv_id AS VARCHAR(20)), '", "size": "1:1"}})')
+  WHEN 5 THEN 'generate_image({{"prompt": {{"a": 1}}, "size": "1:1"}})'
+  WHEN 6 THEN 'Sure: generate_image({{ ```json {{"prompt": "fenced"}} ``` }})'
+  WHEN 7 THEN 'generate_image {{ ``` {{"prompt": "plain fence", "n": 3}} ``` }}'
+  WHEN 8 THEN 'generate_image{{"prompt": oops}}'
+  WHEN 9 THEN CONCAT('generate_image {{"prompt": "first",', chr(10), ' "tags": [1, 2]}} generate_image{{"prompt": "second"}}')
+  WHEN 10 THEN CONCAT('generate_image', chr(10), '({{}})')
+  ELSE text END AS text FROM {conversations}""",
     # Gazetteer for location tagging: per region its name, then its nations.
     "v_gaz": """
 SELECT CAST(r_regionkey * 1000 AS INT) AS priority, 'region' AS kind, LOWER(r_name) AS term,
@@ -62,6 +80,7 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "v_attempt": ("events",),
     "v_lead": ("v_msg",),
     "v_turn": ("conversations",),
+    "v_chat": ("conversations",),
     "v_gaz": ("nation", "region"),
 }
 
