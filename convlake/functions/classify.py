@@ -70,6 +70,11 @@ def resolve_brand_web(param: Column, other_terms: list[str], other: str, default
     return resolve_brand(param, [(other, other_terms)], default)
 
 
+def brand_or_default(brand: Column) -> Column:
+    """A request without a brand belongs to the default brand."""
+    return F.coalesce(F.nullif(brand, F.lit("")), F.lit(D.DEFAULT_BRAND))
+
+
 def session_key(brand: Column, session_id: Column) -> Column:
     """SCL-10: brand-namespaced key, unless the id already carries the prefix."""
     prefix = F.concat(brand, F.lit("_"))

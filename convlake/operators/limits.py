@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.classify import brand_or_default
 from convlake.operators.sequence import (DENSE_ROWS, bucket_width, carry_last, densest_bucket, epoch_us,
                                          prefix_count, prev_gap, sessionize_sorted, sliding_counts,
                                          sliding_counts_sorted)
@@ -120,8 +121,11 @@ def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id",
                 ts: str = "ts", tiebreak: str = "req_id", stream_col: str = "is_stream") -> DataFrame:
     """JOIN-3 (simple mode): a non-stream request is served from cache when the
     previous non-stream request with the same key is younger than ``ttl_s``.
-    A null stream flag means no stream. The exact mode (a hit does not refresh the entry) is ``sequential.replay_cache``."""
+    A null stream flag means no stream, a missing brand the default brand. The exact mode (a hit does not refresh the entry) is ``sequential.replay_cache``."""
     ns = with_us(reqs.filter(~F.coalesce(F.col(stream_col).cast("boolean"), F.lit(False))), ts)
+    if "brand" in keys:
+        ns = ns.withColumn("_brand", brand_or_default(F.col("brand")))
+        keys = ["_brand" if k == "brand" else k for k in keys]
     ttl = ttl_s * US
     if densest_bucket(ns, list(keys), "_us", bucket_width(ttl)) > DENSE_ROWS:
         k = ns.withColumn("_ck", F.to_json(F.array(*[F.col(c).cast("string") for c in keys])))
@@ -129,7 +133,7 @@ def mark_cached(reqs: DataFrame, ttl_s: int = 600, keys=("brand", "session_id",
             .drop("_ck", "is_start", "session_start_us", "seq_in_session")
     else:
         d = prev_gap(ns, list(keys), "_us", tiebreak, ttl, "_gap")
-    return d.withColumn("cached", F.coalesce(F.col("_gap") < ttl, F.lit(False))).drop("_gap", "_us")
+    return d.withColumn("cached", F.coalesce(F.col("_gap") < ttl, F.lit(False))).drop("_gap", "_us", "_brand")
 
 
 def leads_per_ip(leads: DataFrame, as_of: str, hours: int, ip: str = "ip_address", ts: str = "ts") -> DataFrame:

@@ -16,9 +16,10 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.classify import brand_or_default
 from convlake.functions.dictionaries import RequestPolicy
 from convlake.operators.sequence import epoch_us
 
@@ -134,7 +135,7 @@ def admit(requests: DataFrame, policy: RequestPolicy = RequestPolicy(), partitio
     """
     from convlake.operators.limits import sessionize
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = requests.select("req_id", "ts", "ip", "session_id", "brand", "message",
+    base = requests.select("req_id", "ts", "ip", "session_id", brand_or_default(F.col("brand")).alias("brand"), "message",
                            F.col("is_stream").cast("boolean").alias("is_stream"))
     seg = sessionize(base, state_horizon(policy), key="ip").withColumnRenamed("session_start_us", "_seg")
     d = (seg.withColumn("_us", epoch_us(F.col("ts")))
@@ -185,6 +186,11 @@ def _cache_batches(ttl_us: int):
     return run
 
 
+def cache_key(keys) -> Column:
+    """The key columns as one string; a missing brand is the default brand."""
+    return F.to_json(F.array(*[brand_or_default(F.col(k)) if k == "brand" else F.col(k).cast("string") for k in keys]))
+
+
 def replay_cache(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
                  stream_col: str = "is_stream", partitions: int | None = None,
                  serial_max: int = 1_000_000) -> DataFrame:
@@ -198,7 +204,7 @@ def replay_cache(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = (requests.filter(~F.coalesce(F.col(stream_col).cast("boolean"), F.lit(False)))   # null: no stream
-                 .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("_k"),
+                 .select("req_id", cache_key(keys).alias("_k"),
                          epoch_us(F.col("ts")).alias("_us")))
     sizes = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > serial_max).select("_k")

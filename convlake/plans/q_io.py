@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions import dictionaries as D
 from convlake.operators import leads as L
+from convlake.plans import duck as K
 from convlake.plans.q_logs import SAVED_AT
 from convlake.plans.q_text import DETECTED_AT
 from convlake.plans.registry import REGISTRY, register
@@ -88,6 +89,32 @@ def snk2_append_leads(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("src3_read_quoted_csv", ("SRC-3", "SNK-2"), oracle=duckdb_with("v_chat") + """SELECT CAST(msg_id AS VARCHAR) AS contact_name,
+ NULLIF(text, '') AS notes, TIMESTAMP '2024-01-01 10:00:00' AS created_at, TIMESTAMP '2024-01-01 10:00:00' AS updated_at FROM v_chat""")
+def src3_read_quoted_csv(spark, sf):
+    """Fields with commas, quotes, line ends and outer blanks through the CSV sink and back."""
+    v = view(spark, sf, "v_chat")
+    none = F.lit(None).cast("string")
+    csv = v.select(F.lit("2024-01-01T10:00:00").alias("timestamp"), F.col("msg_id").cast("string").alias("name"), none.alias("phone"),
+                   F.lit("a@example.com").alias("email"), F.lit("chat, \"voice\"").alias("service"), none.alias("best_time"),
+                   F.col("text").alias("details"), F.lit("10.0.0.1").alias("ip_address"))
+    path = _scratch(spark, "leads-quoted")
+    LS.append_leads(csv, path, fmt="csv", name="name")
+    return LS.read_leads(spark, path, "csv").select("contact_name", F.nullif("notes", F.lit("")).alias("notes"), "created_at", "updated_at")
+
+
+@register("snk2_append_stamped", ("SNK-2", "FLT-3"), oracle=W("v_lead") + f"""SELECT name AS contact_name, email,
+ CAST({K.q(DETECTED_AT[:19])} AS TIMESTAMP) AS created_at, CAST({K.q(DETECTED_AT[:19])} AS TIMESTAMP) AS updated_at FROM v_lead
+WHERE COALESCE(length(name), 0) > 0 AND COALESCE(length(email), 0) > 0""")
+def snk2_append_stamped(spark, sf):
+    """New rows of the remote shape with the times of their insert, as JSON and back."""
+    v = view(spark, sf, "v_lead")
+    now = F.lit(DETECTED_AT[:19]).cast("timestamp_ntz")
+    path = _scratch(spark, "leads-remote")
+    LS.append_leads(LS.stamped(v.select(F.col("name").alias("contact_name"), "email"), now), path, fmt="json", rejected_path=path + "_rejected")
+    return LS.read_leads(spark, path, "remote").select("contact_name", "email", "created_at", "updated_at")
+
+
 #: A pack is read as one string, so its size must not grow with the table.
 PACK_BYTES = 32 << 20
 

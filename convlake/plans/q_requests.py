@@ -86,6 +86,19 @@ def join3_mark_cached_lag(spark, sf):
     return LM.mark_cached(view(spark, sf, "v_req"), ttl_s=24 * H).select("req_id", "cached")
 
 
+_BRANDS = "CASE req_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'default' ELSE brand END"
+
+
+@register("join3_default_brand_lag", "JOIN-3", oracle=W("v_req") + f"""SELECT req_id,
+ COALESCE(g < {24 * H * 1_000_000}, false) AS cached FROM (SELECT req_id, epoch_us(ts) - lag(epoch_us(ts))
+ OVER (PARTITION BY CASE WHEN req_id % 4 < 3 THEN 'default' ELSE brand END, session_id, message ORDER BY ts, req_id) AS g
+ FROM v_req WHERE is_stream = 0) t""")
+def join3_default_brand_lag(spark, sf):
+    """A null brand, an empty one and the default brand are one cache key."""
+    r = view(spark, sf, "v_req").withColumn("brand", F.expr(_BRANDS))
+    return LM.mark_cached(r, ttl_s=24 * H).select("req_id", "cached")
+
+
 @register("agg1_leads_per_ip", "AGG-1", oracle=W("v_req") + f"""SELECT ip AS ip_address, CAST(COUNT(*) AS BIGINT) AS n_leads
 FROM v_req WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR GROUP BY ip""")
 def agg1_leads_per_ip(spark, sf):

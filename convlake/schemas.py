@@ -11,6 +11,7 @@ CONVERSATION_LOG = (f"session_id STRING, timestamp STRING, messages ARRAY<{LOG_M
 SESSIONS = "session_id STRING, title STRING, history STRING, updated_at TIMESTAMP_NTZ"
 LEAD = ("company_name STRING, contact_name STRING, email STRING, phone STRING, status STRING, source STRING, "
         "brand STRING, notes STRING, metadata STRING, created_at TIMESTAMP_NTZ")
+LEAD_REMOTE = f"id BIGINT, {LEAD}, updated_at TIMESTAMP_NTZ"
 LEAD_LOCAL = ("id BIGINT, name STRING, phone STRING, email STRING, service STRING, best_time STRING, details STRING, "
               "ip_address STRING, timestamp TIMESTAMP_NTZ")
 LEAD_CSV = ("timestamp STRING, name STRING, phone STRING, email STRING, service STRING, best_time STRING, "

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from convlake.functions.classify import brand_or_default
 from convlake.functions.dictionaries import RequestPolicy
 from convlake.operators import leads as L
 from convlake.operators.sequence import epoch_us
-from convlake.operators.sequential import Admission
+from convlake.operators.sequential import Admission, cache_key
 from convlake.sources import sse as SSE
 
 
@@ -161,7 +162,7 @@ def _with_event_time(d: DataFrame, ts: str, watermark: str) -> DataFrame:
 
 def admit_stream(requests: DataFrame, policy: RequestPolicy = RequestPolicy(), watermark: str = "10 minutes") -> DataFrame:
     d = _with_event_time(requests, "ts", watermark).select(
-        "req_id", "ip", "session_id", "brand", "message", F.col("is_stream").cast("boolean").alias("is_stream"),
+        "req_id", "ip", "session_id", brand_or_default(F.col("brand")).alias("brand"), "message", F.col("is_stream").cast("boolean").alias("is_stream"),
         epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time")
     return d.groupBy("ip").transformWithStateInPandas(
         AdmissionProcessor(policy), "req_id long, ip string, session_id string, verdict string", "Append", "EventTime")
@@ -204,7 +205,7 @@ class CacheProcessor(StatefulProcessor):
 def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
                     watermark: str = "10 minutes") -> DataFrame:
     d = (_with_event_time(requests.filter(F.coalesce(F.col("is_stream"), F.lit(0)) == 0), "ts", watermark)
-         .select("req_id", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias("cache_key"),
+         .select("req_id", cache_key(keys).alias("cache_key"),
                  epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time"))
     return d.groupBy("cache_key").transformWithStateInPandas(
         CacheProcessor(ttl_s * 1_000_000), "req_id long, cached boolean", "Append", "EventTime")

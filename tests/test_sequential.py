@@ -116,3 +116,17 @@ def test_replay_cache_doubling_equals_serial(spark):
     ties = [(i, T0 + timedelta(seconds=(i // 3) * 7), "i", "s", "a", "m", 0) for i in range(60)]
     tdf = spark.createDataFrame(ties, SCHEMA)
     assert {r.req_id: r.cached for r in SQ.replay_cache(tdf, 20, serial_max=0).collect()} == reference_cache(ties, 20)
+
+
+def test_missing_brand_is_the_default_brand(spark):
+    from convlake.functions.dictionaries import DEFAULT_BRAND
+    from convlake.operators import limits as LM
+    reqs = [(i, T0 + timedelta(seconds=30 * i), f"ip{i}", "s", b, "m", None) for i, b in enumerate([None, "", DEFAULT_BRAND, "b", None, "b"])]
+    df = spark.createDataFrame(reqs, SCHEMA)
+    want = {0: False, 1: True, 2: True, 3: False, 4: True, 5: True}
+    assert {r.req_id: r.cached for r in LM.mark_cached(df).collect()} == want
+    assert {r.req_id: r.brand for r in LM.mark_cached(df).collect()} == {r[0]: r[4] for r in reqs}
+    assert {r.req_id: r.cached for r in SQ.replay_cache(df).collect()} == want
+    one = df.selectExpr("req_id", "ts", "'ip' as ip", "session_id", "brand", "message", "is_stream")
+    got = {r.req_id: r.verdict for r in SQ.admit(one, RequestPolicy(session_cooldown=0)).collect()}
+    assert got == {i: "cached" if c else "accepted" for i, c in want.items()}
