@@ -7,9 +7,10 @@ Burrows-Wheeler transform of the segments is held in a wavelet matrix. All
 phrases are searched backward at once by rank queries, occurrences are found by
 walking to sampled suffix positions, and their word spans are merged.
 
-The benchmark is a stated set of phrases: it is searched in blocks of at most
-``BLOCK_BYTES`` of text, each broadcast by itself, so its size is bounded
-whatever the table holds.
+The benchmark is a stated set of phrases: it is searched in blocks of about
+``BLOCK_BYTES`` of text, one after the other. With several blocks each one's hits
+are written to the shared folder and its broadcast is destroyed before the next
+is built, so driver and workers hold one block whatever the table holds.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.llm import text as T
-from convlake.llm.frames import RID, attach, ints, keyed, plain, record
+from convlake.llm.frames import RID, attach, ints, keyed, plain, record, stored
 
 WINDOW = 13
 MIN_SHARE = 20
@@ -238,15 +239,18 @@ def _hits(block):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> Iterator[Phrases]:
-    """The benchmark in blocks of bounded text."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """The number of blocks of bounded text, and the blocks, each built when asked for."""
     base = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
     total = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     dealt = base.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    for b in range(n):
+
+    def block(b: int) -> Phrases:
         rows = dealt.filter(F.col("b") == b).select("i", "t").orderBy(F.asc_nulls_first("i"), "t").collect()
-        yield Phrases([(r["i"], r["t"]) for r in rows], size)
+        return Phrases([(r["i"], r["t"]) for r in rows], size)
+
+    return n, map(block, range(n))
 
 
 def contamination(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", bench_text: str = "text",
@@ -254,13 +258,17 @@ def contamination(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_
     """(_rid, n_words, starts, ends, items): hit word spans of every text, merged,
     and the items with a window in it. ``texts`` has unique ``_rid`` and ``text``."""
     spark = texts.sparkSession
-    parts = [texts.select(RID, "text").mapInArrow(_hits(spark.sparkContext.broadcast(p)), _HIT_DDL)
-             for p in _blocks(benchmark, item_col, bench_text, size, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    n, blocks = _blocks(benchmark, item_col, bench_text, size, block_bytes)
+    if n == 1:
+        return texts.select(RID, "text").mapInArrow(_hits(spark.sparkContext.broadcast(next(blocks))), _HIT_DDL)
+    every = None
+    for phrases in blocks:
+        sent = spark.sparkContext.broadcast(phrases)
+        found = texts.select(RID, "text").mapInArrow(_hits(sent), _HIT_DDL)
+        # the first block keeps a row for every text, the others those with hits
+        found = stored(found if every is None else found.filter(F.size("items") > 0), "block_hits")
+        sent.destroy()
+        every = found if every is None else every.unionByName(found)
     return every.groupBy(RID).agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
