@@ -71,21 +71,24 @@ def tag_location(msgs: DataFrame, gazetteer: DataFrame, text: str = "text",
     return _tag_join(msgs, gazetteer, text, phrases)
 
 
-def _contained_in(t: Column):
-    return lambda g: F.contains(t, g["term"])
-
-
 def _tag_literal(msgs, gazetteer_rows, text, phrases):
+    """The texts to search are the elements of one array, so each is made once per row
+    and not once per term that is compared with it."""
     rows = sorted((r for r in gazetteer_rows if r["term"]), key=lambda r: r["priority"])
-    arr = F.array(*[F.struct(F.lit(r["term"]).alias("term"),
-                             *[F.lit(r[f]).cast("string").alias(f) for f in HIT_FIELDS]) for r in rows])
-    cities = F.filter(arr, lambda g: g["kind"] == "city")
+
+    def first(s: Column, terms) -> Column:
+        if not terms:
+            return F.lit(None)
+        known = F.array(*[F.struct(F.lit(r["term"]).alias("term"),
+                                   *[F.lit(r[f]).cast("string").alias(f) for f in HIT_FIELDS]) for r in terms])
+        return F.get(F.filter(known, lambda g: F.contains(s, g["term"])), 0)
+
+    cities = [r for r in rows if r["kind"] == "city"]
     low = F.lower(F.col(text))
-    picks = [F.get(F.filter(cities, _contained_in(t)), 0) for t in _phrase_texts(low, phrases)]
-    picks.append(F.get(F.filter(arr, lambda g: F.contains(low, g["term"])), 0))
-    hit = F.coalesce(*picks)
-    return msgs.withColumn("_hit", hit).select(
-        "*", *[F.col("_hit")[f].alias("loc_" + f) for f in HIT_FIELDS]).drop("_hit")
+    texts = F.array(*_phrase_texts(low, phrases), low)
+    hits = F.transform(texts, lambda s, slot: F.when(slot < len(phrases), first(s, cities)).otherwise(first(s, rows)))
+    hit = F.get(F.filter(hits, lambda h: h.isNotNull()), 0)
+    return msgs.select("*", F.inline(F.array(hit)).alias("_term", *["loc_" + f for f in HIT_FIELDS])).drop("_term")
 
 
 def _automaton(rows) -> ahocorasick.Automaton:

@@ -1,6 +1,7 @@
 """JOIN-1: the automaton plan answers as the other plans do."""
 
 import random
+import re
 
 from convlake.functions import dictionaries as D
 from convlake.operators import geo as G
@@ -28,3 +29,11 @@ def test_plans_agree(spark):
     none = result(G._tag_automaton(msgs, gaz.limit(0), "text", D.LOCATION_PHRASES))
     assert len(none) == len(texts) and all(r[1:] == (None,) * 4 for r in none)
     assert result(G._tag_automaton(msgs.limit(0), gaz, "text", D.LOCATION_PHRASES)) == []
+
+
+def test_texts_are_made_once_and_not_for_each_term(spark):
+    msgs = spark.createDataFrame([(1, "I'm in Riverton")], "i long, text string")
+    got = G._tag_literal(msgs, G.default_gazetteer(spark).collect(), "text", D.LOCATION_PHRASES)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"(?i)contains\((\w+)", plan)) == {"lambda"}  # a variable, no expression of the text
+    assert result(got) == [(1, "city", "riverton", "North Shore", "Homeland")]
