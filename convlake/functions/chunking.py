@@ -2,15 +2,16 @@
 
 The cursor is sequential (the minimum length of the next chunk depends on
 whether earlier chunks survived cleanup), so the per-reply logic is a small
-Python helper; Spark partitions the replies and ``mapInPandas`` streams them
+Python helper; Spark partitions the replies and ``mapInArrow`` streams them
 through in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
@@ -39,43 +40,51 @@ def speech_text(raw: str) -> str:
     return s
 
 
-def chunk_reply(text: str | None) -> list[str]:
+def iter_chunks(text: str | None) -> Iterator[str]:
     """Chunks of a whole reply, as a stream speaker fed every token would cut it."""
     if not text:
-        return []
-    chunks: list[str] = []
-    buf = text
-
-    def enqueue(raw: str) -> None:
-        spoken = speech_text(raw)
-        if spoken and len(spoken) >= MIN_SPOKEN:
-            chunks.append(spoken)
-
-    while True:
-        min_len = FIRST_MIN if not chunks else NEXT_MIN
-        if len(buf) <= min_len:
-            break
-        m = BOUNDARY.search(buf, min_len)
-        if not m:
-            break
-        enqueue(buf[:m.end()])
-        buf = buf[m.end():]
-    if buf.strip():
-        enqueue(buf)
-    return chunks
+        return
+    at, min_len = 0, FIRST_MIN
+    while len(text) - at > min_len and (m := BOUNDARY.search(text, at + min_len)):
+        spoken = speech_text(text[at:m.end()])
+        at = m.end()
+        if len(spoken) >= MIN_SPOKEN:
+            min_len = NEXT_MIN
+            yield spoken
+    if text[at:].strip():
+        spoken = speech_text(text[at:])
+        if len(spoken) >= MIN_SPOKEN:
+            yield spoken
+
+
+def chunk_reply(text: str | None) -> list[str]:
+    return list(iter_chunks(text))
+
+
+#: Characters of chunks, and chunks, that a worker gathers before it hands them on.
+OUT_CHARS, OUT_ROWS = 1 << 20, 10_000
 
 
 def chunk_sentences(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, chunk_no, chunk) for every reply."""
+    """(id, chunk_no, chunk) for every reply. A worker holds its Arrow batch, one
+    text of it and at most about ``OUT_CHARS`` of chunks, however many the batch has."""
+    schema = pa.schema([(id_col, pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.string())])
+
     def run(batches):
-        for pdf in batches:
-            ids, nos, out = [], [], []
-            for i, t in zip(pdf[id_col], pdf[text]):
-                for n, c in enumerate(chunk_reply(t)):
-                    ids.append(i); nos.append(n); out.append(c)
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype="int64"), "chunk_no": pd.Series(nos, dtype="int32"),
-                                "chunk": pd.Series(out, dtype="object")})
-    return df.select(id_col, text).mapInPandas(run, f"{id_col} long, chunk_no int, chunk string")
+        rows, chars = [], 0
+        for batch in batches:
+            for i, t in zip(*batch.columns):
+                i = i.as_py()
+                for n, chunk in enumerate(iter_chunks(t.as_py())):
+                    rows.append((i, n, chunk))
+                    chars += len(chunk)
+                    if chars >= OUT_CHARS or len(rows) >= OUT_ROWS:
+                        yield pa.record_batch([*zip(*rows)], schema=schema)
+                        rows, chars = [], 0
+        if rows:
+            yield pa.record_batch([*zip(*rows)], schema=schema)
+
+    return df.select(id_col, text).mapInArrow(run, f"{id_col} long, chunk_no int, chunk string")
 
 
 class SentenceChunks:
