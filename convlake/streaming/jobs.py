@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -168,34 +168,76 @@ def admit_stream(requests: DataFrame, policy: RequestPolicy = RequestPolicy(), w
         AdmissionProcessor(policy), "req_id long, ip string, session_id string, verdict string", "Append", "EventTime")
 
 
+#: Groups that a keyed stream is dealt into. A call of a processor costs milliseconds
+#: whatever it holds, so it takes the rows of a whole group; the number belongs to the
+#: checkpoint, as the shuffle partitions do.
+GROUPS = 1024
+
+
+def _group_of(*cols, groups: int) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(groups)).alias("group")
+
+
+def _wake_at(handle: StatefulProcessorHandle, expiry_ms: int) -> None:
+    """One timer per group, at the earliest time at which an entry expires. One that
+    fires is still listed: what it leaves gets its timer by ``registerTimer``."""
+    timers = list(handle.listTimers())
+    if timers and min(timers) <= expiry_ms:
+        return
+    for t in timers:
+        handle.deleteTimer(t)
+    handle.registerTimer(expiry_ms)
+
+
+def _due(timerValues, expiredTimerInfo) -> int:
+    """Entries that expire up to this time (ms) have expired when a timer fires."""
+    return max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+
+
 class CacheProcessor(StatefulProcessor):
     """STR-3: per cache key the time of the last miss; a hit never refreshes it.
-    The entry is dropped by an event-time timer once it can no longer hit."""
+    The entries of a group of keys are one value, read and written once in a
+    micro-batch. They go by an event-time timer once they can no longer hit."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last_miss", "us long")
+        self.entries = handle.getValueState("entries", "cache_key array<string>, us array<long>, until_ms array<long>")
+
+    def _held(self) -> dict[str, tuple[int, int]]:
+        """(last miss, kept until) of each key."""
+        if not self.entries.exists():
+            return {}
+        keys, us, until = self.entries.get()
+        return dict(zip(keys, zip(us, until)))
+
+    def _hold(self, held: dict[str, tuple[int, int]]) -> int:
+        """Keeps these entries; the earliest time at which one expires."""
+        us, until = zip(*held.values())
+        self.entries.update((list(held), list(us), list(until)))
+        return min(until)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(["ts_us", "req_id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        held = self._held()
         hits = []
-        for us in pdf["ts_us"]:
-            us = int(us)
-            if last is not None and us - last < self.ttl_us:
-                hits.append(True)
-            else:
-                hits.append(False)
-                last = us
-        self.last.update((last,))
-        _keep_until(self.handle, int(pdf["wm_us"].max()) // 1000 + self.ttl_us // 1000 + 1)
+        for k, us, wm in zip(pdf["cache_key"], pdf["ts_us"], pdf["wm_us"]):
+            us, until = int(us), int(wm) // 1000 + self.ttl_us // 1000 + 1
+            last, before = held.get(k, (None, until))
+            hits.append(last is not None and us - last < self.ttl_us)
+            held[k] = (last if hits[-1] else us, max(before, until))
+        _wake_at(self.handle, self._hold(held))
         yield pd.DataFrame({"req_id": pdf["req_id"].astype("int64"), "cached": hits})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
+        due = _due(timerValues, expiredTimerInfo)
+        left = {k: e for k, e in self._held().items() if e[1] > due}
+        if left:
+            self.handle.registerTimer(self._hold(left))
+        else:
+            self.entries.clear()
         return iter([])
 
     def close(self) -> None:
@@ -203,11 +245,11 @@ class CacheProcessor(StatefulProcessor):
 
 
 def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "session_id", "message"),
-                    watermark: str = "10 minutes") -> DataFrame:
+                    watermark: str = "10 minutes", groups: int = GROUPS) -> DataFrame:
     d = (_with_event_time(requests.filter(F.coalesce(F.col("is_stream"), F.lit(0)) == 0), "ts", watermark)
          .select("req_id", cache_key(keys).alias("cache_key"),
                  epoch_us(F.col("ts")).alias("ts_us"), "wm_us", "event_time"))
-    return d.groupBy("cache_key").transformWithStateInPandas(
+    return d.withColumn("group", _group_of("cache_key", groups=groups)).groupBy("group").transformWithStateInPandas(
         CacheProcessor(ttl_s * 1_000_000), "req_id long, cached boolean", "Append", "EventTime")
 
 

@@ -211,3 +211,49 @@ def test_chunk_table_function(spark):
     register_chunk_function(spark, "cut_reply")
     got = spark.sql("SELECT doc_id, chunk_no, chunk FROM {docs}, LATERAL cut_reply(text)", docs=docs)
     assert rows(got) == rows(chunk_sentences(docs, "doc_id", "text")) and got.filter("doc_id < 0").count() == 0
+
+
+def test_cache_entries_of_a_group_of_keys_are_one_state_value(spark):
+    # 300 keys come at 00:00 and at 00:05, half of them again at 00:12; a TTL of ten minutes
+    r = _requests(spark, [(f"2024-01-01 00:{m:02d}:{k % 60:02d}", "i", f"s{k}", "q") for m in (0, 5, 12) for k in range(300)
+                          if m < 12 or k % 2])
+    far = {"req_id": -1, "ts": "2100-01-01 00:00:00", "ip": "far", "session_id": "far", "brand": "a", "message": "", "is_stream": 0}
+    progress = []
+    got = run_slices(r, "ts", lambda s: J.suppress_stream(s, 600, groups=4), slices=3, sentinel=far, progress=progress)
+    assert rows(got.filter("req_id >= 0"), "req_id", "cached") == rows(SQ.replay_cache(r, ttl_s=600), "req_id", "cached")
+    # a value and a timer for each group, not for each key; at the end the sentinel's
+    assert max(o["numRowsTotal"] for p in progress for o in p["stateOperators"]) <= 8
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_a_timer_of_a_group_leaves_entries_that_can_still_hit(spark):
+    # one group: s1 has expired when the watermark passes 00:14, s2 has not and hits at 00:24
+    r = _requests(spark, [("2024-01-01 00:00:00", "i", "s1", "q"), ("2024-01-01 00:15:00", "i", "s2", "q"),
+                          ("2024-01-01 00:23:00", "i", "s1", "q"), ("2024-01-01 00:24:00", "i", "s2", "q")])
+    got = run_slices(r, "ts", lambda s: J.suppress_stream(s, 600, watermark="1 minute", groups=1), slices=3)
+    assert rows(got, "req_id", "cached") == [(0, False), (1, False), (2, False), (3, True)]
+    assert rows(got, "req_id", "cached") == rows(SQ.replay_cache(r, ttl_s=600), "req_id", "cached")
+
+
+def test_chunks_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+    from convlake.functions import chunking as C
+
+    texts = ["A first sentence that is long enough. " + "And so the next one goes on and on until it is over here. " * k for k in range(120)]
+    texts += [None, "", " \n ", "x", "short. " * 3 + "tail without an end " * 400]
+    batch = pa.record_batch([list(range(len(texts))), texts], names=["doc_id", "text"])
+    taken = {}
+
+    class Frame:  # takes the function that a worker runs
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken["run"] = run
+            return self
+    monkeypatch.setattr(C, "OUT_CHARS", 2000)
+    C.chunk_sentences(Frame(), "doc_id", "text")
+    out = list(taken["run"](iter([batch])))
+    assert max(sum(len(c) for c in b.column(2).to_pylist()) for b in out) < 2000 + C.WEB_CAP and len(out) > 50
+    got = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(C.chunk_reply(t))]
