@@ -63,17 +63,6 @@ def abandoned_captures(events: DataFrame, idle_s: int = 300, key: str = "session
 # pandas side would see them renamed).
 
 
-def _keep_until(handle: StatefulProcessorHandle, expiry_ms: int) -> None:
-    """One event-time timer per key, that never moves back: a late batch inside
-    the watermark leaves a later one as it is."""
-    timers = list(handle.listTimers())
-    if timers and max(timers) >= expiry_ms:
-        return
-    for t in timers:
-        handle.deleteTimer(t)
-    handle.registerTimer(expiry_ms)
-
-
 class AdmissionProcessor(StatefulProcessor):
     """STR-2: keyed by ip. Accepted times are list state (at most the long
     limit), sessions and cache entries map state, of which a micro-batch reads and
@@ -254,43 +243,57 @@ def suppress_stream(requests: DataFrame, ttl_s: int = 600, keys=("brand", "sessi
 
 
 class AssembleProcessor(StatefulProcessor):
-    """STR-5: events of one reply kept in list state until ``done`` (or ``error``)
-    arrives; then the reply is emitted and the key closed, so that what comes after
+    """STR-5: the events of a reply are kept until ``done`` (or ``error``)
+    arrives; then the reply is emitted and closed, so that what comes after
     the end is ignored. With ``timeout_ms`` (event time) a reply without an event
-    for so long is emitted as it is, ended by ``timeout``, and a closed key is
-    forgotten so long after its last event: the state of a finished stream is empty."""
+    for so long is emitted as it is, ended by ``timeout``, and a closed reply is
+    forgotten so long after its last event: the state of a finished stream is empty.
+    The replies of a group are map state, of which a micro-batch reads and writes
+    only those it names."""
 
     def __init__(self, timeout_ms: int | None = None):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "line_no long, kind string, content string")
-        self.closed = handle.getValueState("closed", "flag boolean")
+        self.replies = handle.getMapState("replies", "conv_id string, turn string",
+                                          "closed boolean, until_ms long, line_no array<long>, kind array<string>, content array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        if self.timeout_ms:
-            _keep_until(self.handle, int(pdf["wm_us"].max()) // 1000 + self.timeout_ms)
-        if self.closed.exists():
-            return
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        got = []
-        for n, kind, content, response, image in zip(pdf["line_no"], pdf["type"], pdf["content"], pdf["response"], pdf["image_url"]):
-            if kind in ("token", "response", "image", "error", "done"):
-                got.append((int(n), kind, {"image": image, "done": response}.get(kind, content)))
-        if not any(kind in ("done", "error") for _, kind, _ in got):
-            if got:
-                self.events.appendList(got)
-            return
-        yield self._reply(key, got, None)
-        self.closed.update((True,))
-
-    def _reply(self, key, got: list[tuple], ended_by: str | None) -> pd.DataFrame:
-        """The reply of the events in state and ``got``; clears them."""
-        if self.events.exists():
-            got = got + [(int(r[0]), r[1], r[2]) for r in self.events.get()]
-            self.events.clear()
+        come: dict[tuple, list[tuple]] = {}
+        last: dict[tuple, int] = {}
+        for pdf in rows:
+            for conv, turn, n, kind, content, wm in zip(*(pdf[c] for c in ("conv_id", "turn", "line_no", "kind", "content", "wm_us"))):
+                reply = (conv, turn)
+                got = come.setdefault(reply, [])
+                if kind is not None:
+                    got.append((int(n), kind, content))
+                if self.timeout_ms:
+                    last[reply] = max(last.get(reply, 0), int(wm))
+        known = self.replies.exists()
+        out = []
+        for reply, got in come.items():
+            closed, until, *events = (known and self.replies.getValue(reply)) or (False, 0)
+            if self.timeout_ms:
+                until = max(until, last[reply] // 1000 + self.timeout_ms)
+            if not closed:
+                got += zip(*events)
+                closed = any(kind in ("done", "error") for _, kind, _ in got)
+                if closed:
+                    out.append(self._reply(reply, got, None))
+            if closed:
+                got = []
+            if got or closed or until:
+                self.replies.updateValue(reply, (closed, until, *([e[i] for e in got] for i in range(3))))
+            if until:
+                last[reply] = until
+        if last:
+            _wake_at(self.handle, min(last.values()))
+        if out:
+            yield self._frame(out)
+
+    def _reply(self, reply: tuple, got: list[tuple], ended_by: str | None) -> tuple:
+        """The row of a reply with these events."""
         got.sort(key=lambda e: e[0])
         end = next((e for e in got if e[1] in ("done", "error")), None)
         before = [e for e in got if end is None or e[0] < end[0]]
@@ -299,15 +302,31 @@ class AssembleProcessor(StatefulProcessor):
             return [c for _, k, c in before if k == kind]
 
         response = end[2] if end and end[1] == "done" and end[2] is not None else next(reversed(of("response")), None)
-        return pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "assembled": ["".join(c or "" for c in of("token"))],
-                             "ended_by": [ended_by or end[1]], "response": [response],
-                             "error": [end[2] if end and end[1] == "error" else None], "images": [of("image")]})
+        return (*(None if k is None else int(k) for k in reply), "".join(c or "" for c in of("token")), ended_by or end[1], response,
+                end[2] if end and end[1] == "error" else None, of("image"))
+
+    def _frame(self, replies: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(replies, columns=["conv_id", "turn", "assembled", "ended_by", "response", "error", "images"], dtype=object)
+        return out.astype({"conv_id": "Int64", "turn": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.closed.exists():
-            self.closed.clear()
-        elif self.events.exists():
-            yield self._reply(key, [], "timeout")
+        due = _due(timerValues, expiredTimerInfo)
+        out, gone, left = [], [], []
+        for reply, (closed, until, *events) in self.replies.iterator():
+            if until > due:
+                left.append(until)
+                continue
+            gone.append(reply)
+            if not closed and events[0]:
+                out.append(self._reply(tuple(reply), [*zip(*events)], "timeout"))
+        if left:
+            for reply in gone:
+                self.replies.removeKey(reply)
+            self.handle.registerTimer(min(left))
+        else:
+            self.replies.clear()
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -316,7 +335,8 @@ class AssembleProcessor(StatefulProcessor):
 REPLY = "conv_id long, turn long, assembled string, ended_by string, response string, error string, images array<string>"
 
 
-def assemble_stream(lines: DataFrame, timeout_s: int | None = None, ts: str = "ts", watermark: str = "1 minute") -> DataFrame:
+def assemble_stream(lines: DataFrame, timeout_s: int | None = None, ts: str = "ts", watermark: str = "1 minute",
+                    groups: int = GROUPS) -> DataFrame:
     """SSE lines (conv_id, turn, line_no, value) -> one row per finished reply.
 
     ``timeout_s`` needs the event time ``ts`` of the lines: a reply that never ends
@@ -325,12 +345,15 @@ def assemble_stream(lines: DataFrame, timeout_s: int | None = None, ts: str = "t
     a flag is kept for each closed one.
     """
     ev = SSE.parse_sse(lines)
+    kind = F.when(F.col("type").isin("token", "response", "image", "error", "done"), F.col("type"))
+    content = F.when(kind == "image", F.col("image_url")).when(kind == "done", F.col("response")).otherwise(F.col("content"))
+    # as strings: a null number would make a whole column of a frame floating point
+    fields = [_group_of("conv_id", "turn", groups=groups), *(F.col(k).cast("string").alias(k) for k in ("conv_id", "turn")),
+              "line_no", kind.alias("kind"), content.alias("content")]
     if not timeout_s:
-        return (ev.groupBy("conv_id", "turn")
+        return (ev.select(*fields, F.lit(0).cast("long").alias("wm_us")).groupBy("group")
                 .transformWithStateInPandas(AssembleProcessor(), REPLY, "Append", "None"))
-    ev = _with_event_time(ev, ts, watermark).select("conv_id", "turn", "line_no", "type", "content", "response", "image_url",
-                                                    "wm_us", "event_time")
-    return (ev.groupBy("conv_id", "turn")
+    return (_with_event_time(ev, ts, watermark).select(*fields, "wm_us", "event_time").groupBy("group")
             .transformWithStateInPandas(AssembleProcessor(timeout_s * 1000), REPLY, "Append", "EventTime"))
 
 

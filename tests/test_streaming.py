@@ -235,6 +235,36 @@ def test_a_timer_of_a_group_leaves_entries_that_can_still_hit(spark):
     assert rows(got, "req_id", "cached") == rows(SQ.replay_cache(r, ttl_s=600), "req_id", "cached")
 
 
+def test_replies_of_one_group_end_and_expire_each_by_itself(spark):
+    def line(conv, turn, n, at, **ev):
+        return (conv, turn, n, "data: " + __import__("json").dumps(ev), f"2024-01-01 {at}")
+    lines = [line(1, 0, 0, "00:00:00", type="token", content="a"), line(2, 0, 0, "00:00:30", type="token", content="b"),
+             line(2, 0, 1, "00:04:30", type="token", content="c"), line(2, None, 0, "00:00:40", type="token", content="n"),
+             line(2**60 + 1, 0, 0, "00:00:50", type="token", content="big"), line(2**60 + 1, 0, 1, "00:06:00", type="done"),
+             line(4, 0, 0, "00:07:00", type="ping"), line(2, 0, 2, "00:08:00", type="done"),
+             line(2, 0, 3, "00:12:00", type="token", content="late"), line(5, 0, 0, "00:30:00", type="token", content="x")]
+    df = spark.createDataFrame(lines, "conv_id long, turn long, line_no long, value string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    far = {"conv_id": -1, "turn": -1, "line_no": 0, "value": 'data: {"type": "token"}', "ts": "2100-01-01 00:00:00"}
+    progress = []
+    out = run_slices(df, "ts", lambda s: J.assemble_stream(s, 300, groups=1), slices=5, progress=progress, sentinel=far)
+    assert {(r.conv_id, r.turn): (r.assembled, r.ended_by) for r in out.collect()} == {
+        (1, 0): ("a", "timeout"), (2, 0): ("bc", "done"), (2, None): ("n", "timeout"), (2**60 + 1, 0): ("big", "done"),
+        (5, 0): ("x", "timeout")}
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_closed_replies_of_one_group_stay_closed(spark):
+    t = spark.range(60).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.concat(F.lit("reply "), F.col("id").cast("string")).alias("text"))
+    keys = ["conv_id", "turn"]
+    lines = SSE.render_sse(SSE.tokenize(t, "text", keys), keys, full=t.select(*keys, F.col("text").alias("response")))
+    d = tempfile.mkdtemp(prefix="convlake-sse-") + "/data"
+    half = F.col("conv_id") % 2 == 0
+    for part in (lines.filter(half | (F.col("line_no") == 0)), lines):  # the first half a second time, the others from their second line
+        part.coalesce(1).write.mode("append").parquet(d)
+    got = run_available(J.assemble_stream(stream_source(spark, d, lines.schema, max_files=1), groups=2))
+    assert sorted((r.conv_id, r.response) for r in got.collect()) == [(i, f"reply {i}") for i in range(60)]
+
+
 def test_chunks_are_handed_on_in_bounded_batches(spark, monkeypatch):
     import pyarrow as pa
     from convlake.functions import chunking as C
