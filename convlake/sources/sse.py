@@ -39,11 +39,11 @@ def render_sse(tokens: DataFrame, keys: list[str], full: DataFrame | None = None
 
 def parse_sse(lines: DataFrame, value: str = "value") -> DataFrame:
     """SRC-4: keep ``data: `` lines, JSON-decode the rest, drop lines that do not
-    parse (comments, heartbeats and broken JSON are ignored)."""
+    parse (comments, heartbeats and broken JSON are ignored). ``inline`` has a line
+    decoded once, whatever fields are read of it."""
     ev = F.from_json(F.substring(F.col(value), len(DATA_PREFIX) + 1, 1 << 30), S.SSE_EVENT, {"mode": "PERMISSIVE"})
     return (lines.filter(F.startswith(F.col(value), F.lit(DATA_PREFIX)))
-                 .withColumn("_e", ev).filter(F.col("_e.type").isNotNull())
-                 .select(*[c for c in lines.columns if c != value], "_e.*"))
+                 .select(*[c for c in lines.columns if c != value], F.inline(F.array(ev))).filter(F.col("type").isNotNull()))
 
 
 def assemble(events: DataFrame, keys: list[str], seq: str = "line_no") -> DataFrame:
