@@ -36,4 +36,4 @@ def test_texts_are_made_once_and_not_for_each_term(spark):
     got = G._tag_literal(msgs, G.default_gazetteer(spark).collect(), "text", D.LOCATION_PHRASES)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert set(re.findall(r"(?i)contains\((\w+)", plan)) == {"lambda"}  # a variable, no expression of the text
-    assert result(got) == [(1, "city", "riverton", "North Shore", "Homeland")]
+    assert result(got) == [(1, "city", "Riverton", "North Shore", "Homeland")]
